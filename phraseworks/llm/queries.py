@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseworks.llm import distinct, glyphs, leakage, repetition, terms
+from phraseworks.llm import distinct, glyphs, leakage, pii, repetition, terms
 from phraseworks.session import table
 
 
@@ -19,6 +19,15 @@ def p1_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "term_rows"), table(spark, d, "analyze_runs"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "session_docs"), table(spark, d, "person_names"))
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Every uploaded text once, with typed placeholders."""
+    return pii.masked(table(spark, d, "session_docs").dropDuplicates(["doc_id"]), table(spark, d, "person_names"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     docs = glyphs.inconsistent_rows(table(spark, d, "session_docs"), "doc_id", "text")
     phrases = glyphs.inconsistent_rows(table(spark, d, "phrase_rows"), "phrase_id", "text")
@@ -67,7 +76,7 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_term_frequencies, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p8_found, p8_repetition)
+    f.__name__: f for f in (p1_found, p1_term_frequencies, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p8_found, p8_repetition)
 }
 
 _P1 = r"""
