@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseworks.llm import distinct, glyphs, leakage, pii, repetition, terms
+from phraseworks.llm import clusters, distinct, glyphs, leakage, pii, repetition, terms
 from phraseworks.session import table
 
 
@@ -19,6 +19,20 @@ def p1_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return terms.term_frequencies(table(spark, d, "term_rows"), table(spark, d, "analyze_runs"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_topic_clusters(spark, d).where("first_key <> topic_key")
+
+
+def p2_topic_clusters(spark: SparkSession, d: str) -> DataFrame:
+    made = clusters.topic_clusters(table(spark, d, "topics_local"), table(spark, d, "phrase_rows"))
+    return made.select(F.col("cluster").alias("first_key"), "topic_key")
+
+
+def p2_described(spark: SparkSession, d: str) -> DataFrame:
+    """Every cluster with its size in topics and documents, a name, and its most typical topics."""
+    return clusters.describe_topics(table(spark, d, "topics_local"), table(spark, d, "topic_previews"), table(spark, d, "phrase_rows"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "session_docs"), table(spark, d, "person_names"))
 
@@ -76,7 +90,7 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_term_frequencies, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p8_found, p8_repetition)
+    f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_topic_clusters, p2_described, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p8_found, p8_repetition)
 }
 
 _P1 = r"""
