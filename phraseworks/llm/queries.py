@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseworks.llm import clusters, distinct, glyphs, leakage, pii, repetition, terms
+from phraseworks.llm import clusters, distinct, glyphs, leakage, mixing, pii, repetition, terms
 from phraseworks.session import table
 
 
@@ -81,6 +81,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the mix with its copies."""
+    selection, _ = mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return selection.where("copies > 0").select("doc_id", "source", "tokens", "copies")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Targets and actual shares by source."""
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents")).select("doc_id")
 
@@ -90,7 +101,7 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_topic_clusters, p2_described, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p8_found, p8_repetition)
+    f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_topic_clusters, p2_described, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p7_selection, p7_shares, p8_found, p8_repetition)
 }
 
 _P1 = r"""
