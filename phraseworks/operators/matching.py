@@ -14,8 +14,11 @@ MAX_HITS = 12
 
 
 def with_match_text(docs: DataFrame, text: str = "text", into: str = "match_text") -> DataFrame:
-    """Adds the padded tokens; every predicate on a document reads this one column."""
-    return docs.withColumn(into, t.padded(t.tokenize_for_match(t.normalize_ws(F.col(text)))))
+    """Adds the padded tokens; every predicate on a document reads this one column.
+
+    A generator binds it: projections that use it many times would otherwise be merged with it and work it out each time.
+    """
+    return docs.select(*[c for c in docs.columns if c != into], F.explode(F.array(t.padded(t.tokenize_for_match(t.normalize_ws(F.col(text)))))).alias(into))
 
 
 def phrase_in_tokens(phrase: str, match_text: Column) -> Column:
@@ -50,7 +53,7 @@ def with_presence(docs: DataFrame, rules: Sequence[r.Rule], into: str = "present
     """Every distinct phrase of all rules tested once per document, as an array of flags; and the flag of each phrase."""
     sequences = distinct_sequences(rules)
     flags = F.array(*[F.contains("match_text", F.lit(f" {s} ")) for s in sequences]) if sequences else F.array().cast("array<boolean>")
-    return with_match_text(docs).withColumn(into, flags), {s: F.col(into)[i] for i, s in enumerate(sequences)}
+    return with_match_text(docs).select("*", F.explode(F.array(flags)).alias(into)), {s: F.col(into)[i] for i, s in enumerate(sequences)}
 
 
 def test_policy(docs: DataFrame, policy_text: str) -> DataFrame:

@@ -11,7 +11,7 @@ from phraseworks.plans.rules import Join, Node, Phrase, Rule, parse_policy
 
 BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 TOKEN = r"[A-Za-z0-9\x{0600}-\x{06FF}]+"
-W = r"[\p{L}\p{N}_]"
+ARABIC = r"\x{0600}-\x{06FF}"
 NOT_W = r"[^\p{L}\p{N}_]"
 
 
@@ -131,13 +131,19 @@ def phrase_row() -> str:
     return "(SELECT phrase_id, any_value(topic_key) AS topic_key, any_value(phrase_rank) AS phrase_rank, any_value(text) AS text FROM phrase_rows GROUP BY 1)"
 
 
+def between_words(text: str, phrase: str) -> str:
+    """``phrase`` is of letters and blanks, so it needs no escapes."""
+    return f"regexp_matches({text}, {lit(f'(^|{NOT_W}){phrase.lower()}($|{NOT_W})')})"
+
+
 def presence(listed: Sequence[str]) -> str:
     values = ", ".join(f"({i}, {lit(p)})" for i, p in enumerate(listed))
     lc = f"lower({ws('text')})"
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS idx FROM lower_texts WHERE {between_words('lc', p)}" for i, p in enumerate(listed))
     return (
         f"WITH {CORPUS}, {LABELS}, phrase(idx, phrase) AS (VALUES {values}), sizes AS (SELECT label, count(*) AS docs FROM labels GROUP BY 1), "
         f"lower_texts AS (SELECT doc_id, {lc} AS lc FROM corpus), "
-        rf"present AS (SELECT label, doc_id, CAST(idx AS INTEGER) AS idx FROM lower_texts JOIN labels USING (doc_id), phrase WHERE contains(lc, lower(phrase)) AND regexp_matches(lc, '(^|{NOT_W})' || regexp_escape(lower(phrase)) || '($|{NOT_W})')), "
+        f"present AS (SELECT label, doc_id, CAST(idx AS INTEGER) AS idx FROM labels JOIN ({found}) USING (doc_id)), "
         "lp AS (SELECT l AS label, CAST(idx AS INTEGER) AS idx, phrase FROM phrase, range(4) t(l)), "
         "df AS (SELECT CAST(lp.label AS INTEGER) AS label, lp.idx, lp.phrase, count(doc_id) AS df FROM lp LEFT JOIN present USING (label, idx) GROUP BY ALL), "
         "pairs AS (SELECT a.label, a.idx AS i, b.idx AS j, count(*) AS n FROM present a JOIN present b ON a.label = b.label AND a.doc_id = b.doc_id AND a.idx < b.idx GROUP BY ALL)"
@@ -227,10 +233,12 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         "test_policy_hits": f"WITH {matches(rules, docs)} SELECT rule_id, phrase, count(*) AS docs FROM hits GROUP BY ALL",
         "policy_on_eval_items": f"WITH {matches(rules, 'SELECT item_id AS doc_id, text FROM eval_items')}, flat AS ({flat}) SELECT doc_id, rule_id, hits FROM flat",
         "phrase_equi_match": f"WITH texts AS (SELECT doc_id, {match_text('text')} AS m FROM documents), phrase(phrase, s) AS (VALUES {', '.join(f'({lit(p)}, {lit(chr(32) + chr(32).join(match_tokens(p)) + chr(32))})' for p in listed)}) SELECT phrase, count(*) AS docs, min(doc_id) AS first_doc FROM texts JOIN phrase ON contains(m, s) GROUP BY 1",
-        "phrase_present_variants": f"WITH texts AS (SELECT {match_text('text')} AS m, lower({ws('text')}) AS lc, {match_form('text')} AS form FROM documents), "
-        f"phrase(phrase, s, f) AS (VALUES {', '.join(f'({lit(p)}, {lit(chr(32) + chr(32).join(match_tokens(p)) + chr(32))}, {lit(p)})' for p in listed)}) "
-        rf"SELECT phrase, count(*) FILTER (contains(m, s)) AS in_tokens, count(*) FILTER (contains(lc, f) AND regexp_matches(lc, '(^|{NOT_W})' || regexp_escape(f) || '($|{NOT_W})')) AS between_words, "
-        r"count(*) FILTER (contains(form, f) AND regexp_matches(form, '(^|[^A-Za-z0-9\x{0600}-\x{06FF}])' || regexp_escape(f) || '($|[^A-Za-z0-9\x{0600}-\x{06FF}])')) AS between_alphanumerics FROM texts, phrase GROUP BY 1",
+        "phrase_present_variants": f"WITH texts AS (SELECT {match_text('text')} AS m, lower({ws('text')}) AS lc, {match_form('text')} AS form FROM documents) "
+        + " UNION ALL ".join(
+            f"SELECT {lit(p)} AS phrase, count(*) FILTER (contains(m, {lit(f' {p} ')})) AS in_tokens, count(*) FILTER ({between_words('lc', p)}) AS between_words, "
+            rf"count(*) FILTER (regexp_matches(form, {lit(f'(^|[^A-Za-z0-9{ARABIC}]){p}($|[^A-Za-z0-9{ARABIC}])')})) AS between_alphanumerics FROM texts"
+            for p in listed
+        ),
         "rule_coverage": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) {' UNION ALL '.join(f'SELECT {i} AS rule_id, count(*) FILTER ({truth(r.tree)}) AS docs FROM texts' for i, r in enumerate(rules, 1))}",
         "rule_mask_histogram": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) SELECT CAST({mask(rules)} AS BIGINT) AS mask, count(*) AS n FROM texts GROUP BY 1",
         "combined_expression": " UNION ALL ".join(f"SELECT {i} AS rule_id, {lit(render.all_of(g))} AS expression" for i, g in rule_groups),
