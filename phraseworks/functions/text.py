@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The token class, and what matching folds away.
 TOKEN = r"[A-Za-z0-9؀-ۿ]+"
@@ -35,7 +36,7 @@ def tokenize(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(blank_free(c)), F.lit(TOKEN), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
