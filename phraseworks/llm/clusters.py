@@ -262,7 +262,7 @@ def describe_topics(topics: DataFrame, previews: DataFrame, phrases: DataFrame,
     records = topics.select(F.col("topic_key").alias("record"))
     assigned = cut_lineage(cluster(terms, records))
     docs = topics.select(F.col("topic_key").alias("record"), F.explode("doc_ids").alias("doc")).join(assigned, "record").select("cluster", "doc").distinct().groupBy("cluster").agg(F.count("*").alias("n_docs"))
-    named = previews.where("name is not null").groupBy("topic_key").agg(F.max_by("name", "loaded_at").alias("name"))
+    named = previews.where("name is not null").groupBy("topic_key").agg(F.max_by("name", F.struct("loaded_at", "name")).alias("name"))
     near = typical(terms, assigned, k).join(named.withColumnRenamed("topic_key", "record"), "record", "left")
     good = ~F.lower("name").rlike(r"^\s*(?:topic \d+|general topic|untitled topic|single document topic)\s*$")
     head = near.groupBy("cluster").agg(

@@ -35,6 +35,8 @@ CYRILLIC = dict(zip("АВЕКМНОРСТХУЅІЈаеорсухѕіјһԁԛԝ"
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυχϲ", "ABEZHIKMNOPTYXovaipuxc", strict=True))
 LATIN_LIKE = dict(zip("ɑɡոօս", "agnou", strict=True))
 PERSIAN = dict(zip("کیہھە", "كيههه", strict=True))
+#: Look-alikes that the common alphabet of their script lacks: a word of such letters is none of that script.
+RARE = "ЅІЈѕіјһԁԛԝϲ"
 TATWEEL = 0x640
 #: Visible format characters (Arabic number signs and the like).
 VISIBLE_FORMAT = frozenset([*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x8E2, 0x110BD, 0x110CD])
@@ -42,6 +44,7 @@ VISIBLE_FORMAT = frozenset([*range(0x600, 0x606), 0x6DD, 0x70F, 0x890, 0x891, 0x
 INVISIBLE_OTHER = frozenset([0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xE0100, 0xE01F0)])
 LINE_BREAKS = frozenset([0x0A, 0x0D, 0x85, 0x2028, 0x2029])
 
+_RARE = [ord(c) for c in RARE]
 # Script bits of the token step.
 LETTER, LATIN, FOREIGN, ARABIC, PERSIAN_ONLY, GREEK_BIT = 1, 2, 4, 8, 16, 32
 
@@ -116,7 +119,7 @@ def _compositions() -> dict[tuple[str, str], str]:
 
 @functools.lru_cache(maxsize=65536)
 def recompose(run: str) -> tuple[str, bool]:
-    """A base with its marks, marks ordered by class and taken up by the base where one composed letter exists; whether any was."""
+    """A base with its marks, marks ordered by class and taken up by the base where one composed letter exists; whether more than their order changed."""
     flat = unicodedata.normalize("NFD", run)
     ordered: list[str] = []
     marks: list[str] = []
@@ -140,7 +143,8 @@ def recompose(run: str) -> tuple[str, bool]:
             last = ccc
         out.append(ch)
     done = "".join(out)
-    return done, len(done) < len(run)
+    first = next((i for i, ch in enumerate(run) if unicodedata.combining(ch)), len(run))
+    return done, done != run[:first] + "".join(sorted(run[first:], key=unicodedata.combining))
 
 
 class Exploded:
@@ -227,12 +231,13 @@ class Exploded:
         truly = has(((bits & FOREIGN) > 0) & ~look)
         persian_only = has((bits & PERSIAN_ONLY) > 0)
         single_greek = (np.bincount(token[letter], minlength=n) == 1) & has((bits & GREEK_BIT) > 0)
+        # neighbouring tokens of another script are one phrase of it as soon as one of them is truly of that script
         token_row = row[start]
-        beside = np.zeros(n, bool)
-        same = token_row[1:] == token_row[:-1]
-        beside[1:] |= truly[:-1] & same
-        beside[:-1] |= truly[1:] & same
-        fold = latin | (~truly & ~beside & ~single_greek)
+        other = has((bits & FOREIGN) > 0) & ~latin
+        phrase = np.cumsum(np.concatenate([[True], (token_row[1:] != token_row[:-1]) | ~other[1:] | ~other[:-1]])) - 1
+        in_phrase = np.bincount(phrase, truly, minlength=n)[phrase] > 0
+        rare = has(np.isin(code, _RARE)) & (np.bincount(token[letter], minlength=n) > 1)
+        fold = latin | (~truly & (~in_phrase | rare) & ~single_greek)
         fold_arabic = arabic & ~persian_only
         replaced = look & letter & np.where(persian, fold_arabic[token], fold[token])
         if replaced.any():
@@ -302,7 +307,7 @@ def phrase_key(text: Column) -> Column:
 SUSPECT = (
     r"[\x00-\x09\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\xa0\xad\x{251}\x{261}\x{300}-\x{58f}\x{61c}\x{640}\x{653}-\x{65f}\x{6a9}-\x{6ed}\x{7eb}-\x{8ff}"
     r"\x{1100}-\x{11ff}\x{1680}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{1ab0}-\x{1aff}\x{1dc0}-\x{1dff}\x{2000}-\x{200f}\x{202a}-\x{202f}\x{205f}-\x{206f}"
-    r"\x{20d0}-\x{214f}\x{3000}\x{302a}-\x{302f}\x{3099}\x{309a}\x{3164}\x{a000}-\x{abff}\x{d7b0}-\x{10ffff}]|[\p{M}&&[^\x{64b}-\x{652}\x{670}]]"
+    r"\x{20d0}-\x{214f}\x{3000}\x{302a}-\x{302f}\x{3099}\x{309a}\x{309f}\x{30ff}\x{3164}\x{a000}-\x{abff}\x{d7b0}-\x{10ffff}]|[\p{M}&&[^\x{64b}-\x{652}\x{670}]]"
 )
 
 
