@@ -63,16 +63,22 @@ def graph_of_words(words: DataFrame, n_records: int, window: int = WINDOW) -> Da
 
 
 def phrase_rows(rows: DataFrame) -> DataFrame:
-    """PhraseRows, each id once, with their key: ``(phrase_id, topic_key, phrase_rank, df_ratio, term)``."""
-    once = rows.dropDuplicates(["phrase_id"]).where("text is not null and topic_key is not null")
-    keyed = with_consistent_form(once.select("phrase_id", "topic_key", "phrase_rank", "df_ratio", "text"), "text")
+    """PhraseRows with their key: ``(phrase_id, record, phrase_rank, df_ratio, term)``; repeated rows stay."""
+    given = rows.where("text is not null and topic_key is not null").select("phrase_id", "topic_key", "phrase_rank", "df_ratio", "text")
+    keyed = with_consistent_form(given, "text")
     return keyed.select("phrase_id", F.col("topic_key").alias("record"), "phrase_rank", "df_ratio", phrase_key(F.col("consistent")).alias("term"))
 
 
 def top_phrases(phrases: DataFrame, topics: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` highest scored phrases of each topic as ``(topic_key, phrase_id, term, score, rank)``, ties to the smaller id."""
+    """The ``k`` highest scored phrases of each topic as ``(topic_key, phrase_id, score, rank)``, ties to the smaller id.
+
+    Keys are compared by 64-bit hashes, so all that is shuffled has fixed width. Rows of one phrase_id count once; should
+    they differ, the least topic, key hash and df_ratio stand.
+    """
     total = topics.select("topic_key").distinct().count()
+    hashed = phrase_rows(phrases).select("phrase_id", "record", "df_ratio", F.xxhash64("term").alias("term"))
+    once = hashed.groupBy("phrase_id").agg(F.min("record").alias("record"), F.min("df_ratio").alias("df_ratio"), F.min("term").alias("term"))
     inside = F.when(F.col("df_ratio").between(0.0, 1.0), F.col("df_ratio"))  # NaN sorts above 1 and is outside
-    scored = distinctiveness(phrase_rows(phrases), total, inside).where("score is not null")
+    scored = distinctiveness(once, total, inside).where("score is not null")
     w = Window.partitionBy("record").orderBy(F.desc("score"), "phrase_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("record").alias("topic_key"), "phrase_id", "term", "score", "rank")
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("record").alias("topic_key"), "phrase_id", "score", "rank")

@@ -73,7 +73,7 @@ def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of every topic's phrases by distinct neighbours times rarity."""
     rows = table(spark, d, "phrase_rows")
     total = table(spark, d, "topics_local").select("topic_key").distinct().count()
-    phrases = distinct.phrase_rows(rows).select("record", F.split("term", " ").alias("words"))
+    phrases = distinct.phrase_rows(rows).select("record", "term").distinct().select("record", F.split("term", " ").alias("words"))
     return distinct.graph_of_words(phrases, total).withColumnRenamed("record", "topic_key")
 
 
