@@ -184,6 +184,16 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
     last_topic = "SELECT topic_key, arg_max(name, (loaded_at, name)) AS name FROM topic_previews GROUP BY 1"
     centroid = f"{VECTORS}, {LABELS}, cn AS (SELECT label, count(*) AS n FROM labels GROUP BY 1), cent AS (SELECT label, term, round(sum(weight) / any_value(cn.n), 9) AS weight FROM weights JOIN labels USING (doc_id) JOIN cn USING (label) GROUP BY 1, 2)"
     spaced = r"regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+    cut = (
+        rf"runs AS (SELECT doc_id, regexp_extract_all(lower({mined}), '[\p{{L}}\p{{N}}_/-]+') AS r FROM corpus), "
+        rf"cut AS (SELECT doc_id, list_filter(list_transform(r, lambda x: regexp_replace(x, '^[/-]+|[/-]+$', '', 'g')), lambda x: length(x) >= 2 AND x NOT IN ({words_list(stop)})) AS k FROM runs), "
+        rf"g AS (SELECT doc_id, {grams('k')} AS g FROM cut), o AS (SELECT doc_id, unnest(g) AS term FROM g), c AS (SELECT doc_id, term, count(*) AS tf FROM o GROUP BY 1, 2)"
+    )
+    stopworded = (
+        f"WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), {cut}, stats AS (SELECT term, count(*) AS df, count(*) / any_value(n) AS df_ratio FROM c, n GROUP BY 1), "
+        "raw AS (SELECT doc_id, term, tf * (ln((1.0::DOUBLE + n) / (1 + df)) + 1) AS w FROM c JOIN stats USING (term), n), norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1), "
+        "weights AS (SELECT doc_id, term, w / norm AS weight FROM raw JOIN norms USING (doc_id))"
+    )
     q: dict[str, str] = {
         "normalize_ws_docs": f"SELECT doc_id, {ws('text')} AS text FROM documents",
         "readable_docs": f"SELECT doc_id, length({ws('text')}) > 0 AS readable FROM documents",
@@ -203,10 +213,7 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         "fallback_topic_candidates": f"{STATS} SELECT term, tf, df, df_ratio FROM stats WHERE df_ratio BETWEEN 0.10::DOUBLE AND 0.85::DOUBLE AND length(term) BETWEEN 2 AND 60 ORDER BY df_ratio DESC, tf DESC, term LIMIT 25",
         "single_doc_topic": f"WITH {CORPUS}, largest AS (SELECT source, arg_max(doc_id, (length(text), -doc_id)) AS doc_id FROM corpus WHERE source IS NOT NULL GROUP BY 1), own AS (SELECT * FROM corpus SEMI JOIN largest USING (doc_id)), {counted('own')} "
         "SELECT source, CAST(rank AS INTEGER) AS rank, term, tf FROM (SELECT l.source, term, tf, row_number() OVER (PARTITION BY l.source ORDER BY tf DESC, term) AS rank FROM counts JOIN largest l USING (doc_id)) WHERE rank <= 20",
-        "mine_terms": rf"WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), "
-        rf"runs AS (SELECT doc_id, regexp_extract_all(lower({mined}), '[\p{{L}}\p{{N}}_/-]+') AS r FROM corpus), "
-        rf"cut AS (SELECT doc_id, list_filter(list_transform(r, lambda x: regexp_replace(x, '^[/-]+|[/-]+$', '', 'g')), lambda x: length(x) >= 2 AND x NOT IN ({words_list(stop)})) AS k FROM runs), "
-        rf"g AS (SELECT doc_id, {grams('k')} AS g FROM cut), o AS (SELECT doc_id, unnest(g) AS term FROM g), c AS (SELECT doc_id, term, count(*) AS tf FROM o GROUP BY 1, 2) "
+        "mine_terms": f"WITH {CORPUS}, n AS (SELECT count(*) AS n FROM corpus), {cut} "
         "SELECT term, CAST(sum(tf) AS BIGINT) AS tf, count(*) AS df, count(*) / any_value(n) AS df_ratio FROM c, n WHERE length(term) >= 3 GROUP BY 1 ORDER BY df_ratio DESC, tf DESC, term LIMIT 200",
         "low_generalization_terms": f"{STATS} SELECT CAST(len(string_split(term, ' ')) AS INTEGER) AS n_words, {LOW} AS low, count(*) AS n FROM stats GROUP BY 1, 2",
         "heuristic_exclude": f"{STATS} SELECT term FROM stats WHERE df_ratio > 0.80::DOUBLE OR length(term) <= 3",
@@ -215,6 +222,9 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         "include_exclude_review": f"{STATS} SELECT term, df, CASE WHEN term IN ({words_list(stopwords.ENGLISH)}) THEN 'exclude' ELSE 'include' END AS decision FROM stats WHERE term IN ({words_list([*stopwords.ENGLISH, *[w for p in listed for w in p.split()]])})",
         "tfidf_weights": f"{VECTORS} SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, weight FROM (SELECT doc_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS rank FROM weights) WHERE rank <= 5",
         "tfidf_column_sums": f"{VECTORS} SELECT term, round(sum(weight), 6) AS score FROM weights GROUP BY 1",
+        "tfidf_stopworded": f"{stopworded} SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, weight FROM (SELECT doc_id, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 6) DESC, term) AS rank FROM weights) WHERE rank <= 5",
+        "inferred_topics": f"{stopworded}, cent AS (SELECT term, round(sum(weight) / any_value(n), 9) AS weight FROM weights, n GROUP BY 1), fit AS (SELECT term, df_ratio, row_number() OVER (ORDER BY weight DESC, term DESC) AS rank FROM cent JOIN stats USING (term) WHERE df_ratio BETWEEN 0.05::DOUBLE AND 0.85::DOUBLE AND NOT {LOW}) "
+        "SELECT 0 AS label, CAST(rank AS INTEGER) AS rank, term AS phrase, df_ratio FROM fit WHERE rank <= 24",
         "topic_tfidf_sums": f"{centroid}, scan AS (SELECT * FROM cent QUALIFY row_number() OVER (PARTITION BY label ORDER BY weight DESC, term DESC) <= 250), "
         r"fit AS (SELECT label, term, df_ratio, row_number() OVER (PARTITION BY label ORDER BY weight DESC, term DESC) AS rank FROM scan JOIN stats USING (term) WHERE df_ratio BETWEEN 0.10::DOUBLE AND 0.85::DOUBLE AND length(term) >= 3 AND NOT regexp_matches(term, '^[0-9\x{0660}-\x{0669}\x{06F0}-\x{06F9}]+$')) "
         "SELECT label, CAST(rank AS INTEGER) AS rank, term AS phrase, df_ratio FROM fit WHERE rank <= 40",
@@ -230,6 +240,7 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         "topic_groups": f'{presence(listed)}{groups_sql("internal use only")} SELECT CAST(label AS INTEGER) AS label, CAST(dense_rank() OVER (PARTITION BY label ORDER BY part) AS INTEGER) AS "group", CAST(rank AS INTEGER) AS rank, phrase FROM parts',
         "default_groups": f"WITH p AS (SELECT topic_key, list({ws('text')} ORDER BY phrase_rank, phrase_id) AS ps FROM {phrase_row()} WHERE phrase_rank <= 12 GROUP BY 1) SELECT topic_key, array_to_string(ps[1:6], '|') AS group1, array_to_string(CASE WHEN len(ps) > 6 THEN ps[7:12] ELSE ps[1:6] END, '|') AS group2 FROM p",
         "test_policy_flat": f"WITH {matches(rules, docs)} {flat}",
+        "test_policy_stream": f"WITH {matches(rules, docs)} {flat}",
         "test_policy_hits": f"WITH {matches(rules, docs)} SELECT rule_id, phrase, count(*) AS docs FROM hits GROUP BY ALL",
         "policy_on_eval_items": f"WITH {matches(rules, 'SELECT item_id AS doc_id, text FROM eval_items')}, flat AS ({flat}) SELECT doc_id, rule_id, hits FROM flat",
         "phrase_equi_match": f"WITH texts AS (SELECT doc_id, {match_text('text')} AS m FROM documents), phrase(phrase, s) AS (VALUES {', '.join(f'({lit(p)}, {lit(chr(32) + chr(32).join(match_tokens(p)) + chr(32))})' for p in listed)}) SELECT phrase, count(*) AS docs, min(doc_id) AS first_doc FROM texts JOIN phrase ON contains(m, s) GROUP BY 1",

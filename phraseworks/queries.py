@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,8 @@ from phraseworks.functions import text as t
 from phraseworks.operators import boilerplate, cooccurrence, identifiers, matching, selection, stopwords, terms, topics, vectors, whitelist
 from phraseworks.plans import render
 from phraseworks.plans.rules import Rule, parse_policy
-from phraseworks.session import cut_lineage, table
+from phraseworks.session import cut_lineage, ensure_checkpoint_dir, table
+from phraseworks.streaming import matcher
 
 #: A policy on the subjects of the corpus: invoices, agreements, inspections, personnel, access.
 POLICY = """# Example policy
@@ -228,6 +230,22 @@ def aux_topic_phrases(spark, d):
     return topics.aux_topic_phrases(centroids, _stats(spark, d), 0.05, 0.85).select("label", "rank", "phrase", "df_ratio")
 
 
+def tfidf_stopworded(spark, d):
+    """The five heaviest terms of every document without stop-words, over all terms."""
+    docs = corpus(spark, d)
+    n = _n(docs)
+    counts = cut_lineage(terms.doc_term_counts(docs, tokens=terms.mined_tokens(F.col("text"), [*stopwords.ENGLISH, *stopwords.ARABIC])))
+    weights = vectors.tfidf(counts, terms.term_stats(counts, n).select("term", "df"), n).withColumn("weight", F.round("weight", 6))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
+    return weights.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("doc_id", "rank", "term", "weight")
+
+
+def inferred_topics(spark, d):
+    """The auxiliary inference over the whole corpus as one topic: phrases by their summed weight."""
+    found = topics.infer_topics(corpus(spark, d), [*stopwords.ENGLISH, *stopwords.ARABIC], low=0.05, labels=corpus(spark, d).select("doc_id", F.lit(0).alias("label")))
+    return found.phrases.select("label", "rank", "phrase", "df_ratio")
+
+
 def topic_sizes(spark, d):
     docs = corpus(spark, d).where("source is not null").select("doc_id", F.col("source").alias("label"))
     return topics.topic_sizes(docs, 20).select("label", "n", "first_doc", "rank")
@@ -344,6 +362,14 @@ def test_policy_files(spark, d):
     return matching.test_policy(rows, POLICY).select("doc_id", F.coalesce("name", F.lit("unknown")).alias("name"), "readable", "matched_any", F.size("matched_rules").cast("bigint").alias("n_rules"))
 
 
+def test_policy_stream(spark, d):
+    """The same from a stream of document files, through a Parquet sink."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4()}"
+    stream = matcher.document_stream(spark, f"{d}/documents.parquet")
+    matcher.write_matches(stream, POLICY, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", F.inline("matched_rules")).select("doc_id", "rule_id", "rule_name", F.array_join("hit_phrases", "|").alias("hits"))
+
+
 def policy_on_eval_items(spark, d):
     rows = table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), "text")
     return matching.test_policy_flat(rows, POLICY).select("doc_id", "rule_id", "hits")
@@ -444,8 +470,8 @@ def session_term_rows(spark, d):
 _ALL = (
     normalize_ws_docs, readable_docs, clean_text_docs, doc_tokens_count, match_tokens_count, identifier_token_stats, topic_titles, letter_garbage_docs, quoted_phrases_docs, corpus_summary,
     doc_ngrams_123, term_stats, term_stats_window, top_terms, top_terms_md, fallback_topic_candidates, single_doc_topic, mine_terms, low_generalization_terms, heuristic_exclude, auto_stopwords,
-    include_exclude_review, tfidf_weights, tfidf_column_sums, topic_tfidf_sums, aux_topic_phrases, topic_sizes, topic_members, kmeans_topics, cooc_presence, cooc_phrase_df, cooc_pair_df, cooc_lift,
-    topic_anchors, topic_groups, default_groups, candidate_filter, whitelist_allowed, whitelist_clean, test_policy_flat, test_policy_hits, test_policy_files, policy_on_eval_items, phrase_equi_match,
+    include_exclude_review, tfidf_weights, tfidf_column_sums, tfidf_stopworded, inferred_topics, topic_tfidf_sums, aux_topic_phrases, topic_sizes, topic_members, kmeans_topics, cooc_presence, cooc_phrase_df, cooc_pair_df, cooc_lift,
+    topic_anchors, topic_groups, default_groups, candidate_filter, whitelist_allowed, whitelist_clean, test_policy_flat, test_policy_hits, test_policy_files, test_policy_stream, policy_on_eval_items, phrase_equi_match,
     phrase_present_variants, rule_coverage, rule_mask_histogram, rule_penalty, selected_policy, near_policy_payload, combined_expression, regex_catalogue_hits, regex_suggestions, boilerplate_lines,
     boilerplate_counts, cleaned_text, structured_previews, session_term_rows,
 )
