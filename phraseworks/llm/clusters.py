@@ -10,12 +10,13 @@ leaves must be confirmed by one exactly similar pair; Ward's cost decides the or
 that are joined already are not tried again.
 
 1. Equal feature sets are collapsed to their least record.
-2. Records are routed by their rarest features: of n features the n - ceil(n/2) + 1 rarest, so any two similar records
-   meet in a bucket. Buckets beyond ``HOT`` are split by pairs of rare features (similar records that share one feature
-   only are a single and a pair, joined by an exact lookup), so no bucket gathers a feature that a third of all records has.
+2. Records are routed by their rarest features: of n features the n - ceil(n/2) + 1 first in one global order, so any two
+   similar records meet in a bucket. The order follows counters of hash slots, tables of a fixed size. Buckets beyond
+   ``HOT`` are split by pairs of features (similar records that share one feature only are a single and a pair, joined by
+   an exact lookup), so no bucket gathers a feature that a third of all records has.
 3. A partition builds a cluster-feature tree per bucket. A record descends to the nearest leaf and is absorbed when it is
    similar to the leaf's first record; else it opens a leaf. The triangle inequality on Jaccard distance rules out leaves
-   that cannot hold a similar record. A bucket emits at most one link per record.
+   that cannot hold a similar record. A task emits at most one link per record.
 4. Links are merged to clusters across partitions (components), every record is assigned, clusters get the sums of their
    features, and members are ranked by their distance to the centroid.
 
@@ -28,7 +29,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ from phraseworks.session import cut_lineage
 
 #: Records of a bucket beyond which it is split by pairs of features.
 HOT = 2000
+#: Powers of two between which the number of counter slots follows the number of records: at most 32 MB a table.
+MIN_SLOTS, MAX_SLOTS = 16, 22
 #: Leaves below a node of the tree.
 BRANCHING = 16
 
@@ -154,15 +159,32 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]]) -> list[tuple[int, in
 
 _LINKS = "u bigint, v bigint"
 _LINKS_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+_ENTRIES = "bucket bigint, record bigint, features array<bigint>"
+_ENTRIES_ARROW = pa.schema([("bucket", pa.int64()), ("record", pa.int64()), ("features", pa.list_(pa.int64()))])
+
+
+class Forest(dict):
+    """Union-find over the records a task has linked."""
+
+    def root(self, k: int) -> int:
+        while (up := self.setdefault(k, k)) != k:
+            self[k] = self[up]
+            k = up
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self[max(a, b)] = min(a, b)
+        return a != b
 
 
 def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition is sorted by bucket."""
-    key, bucket, links = None, {}, []
+    """The partition is sorted by bucket. Links between records the task has joined already are not emitted again."""
+    key, bucket, found, forest = None, {}, [], Forest()
 
     def close() -> None:
         if len(bucket) > 1:
-            links.extend(bucket_links([*bucket.items()]))
+            found.extend(x for x in bucket_links([*bucket.items()]) if forest.join(*x))
 
     for batch in batches:
         for k, record, features in zip(*(batch[c].to_pylist() for c in ("bucket", "record", "features")), strict=True):
@@ -170,49 +192,104 @@ def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 close()
                 key, bucket = k, {}
             bucket[record] = frozenset(features)
-        if len(links) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], schema=_LINKS_ARROW)
-            links = []
+        if len(found) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_LINKS_ARROW)
+            found.clear()
     close()
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=_LINKS_ARROW)
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=_LINKS_ARROW)
 
 
 def feature_sets(terms: DataFrame) -> DataFrame:
-    """``(record, features)``: each record's distinct terms as sorted 64-bit hashes, the rarest first (ties by hash)."""
-    held = terms.where("record is not null and term is not null").select("record", F.xxhash64("term").alias("h")).distinct()
-    counts = held.groupBy("h").agg(F.count("*").alias("n"))
-    return held.join(counts, "h").groupBy("record").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("ranked"))
+    """``(record, features)``: each record's distinct terms as sorted 64-bit hashes; repeated terms go before the shuffle."""
+    return terms.where("record is not null and term is not null").groupBy("record").agg(F.array_sort(F.collect_set(F.xxhash64("term"))).alias("features"))
+
+
+class Prefixes:
+    """The records of a batch with their features in one global order: those of the least counters first, ties by hash."""
+
+    def __init__(self, batch: pa.RecordBatch, counters: np.ndarray | None):
+        column = batch["features"]
+        self.flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.size = np.diff(column.offsets.to_numpy())
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        if counters is not None:
+            order = np.lexsort((self.flat, counters[slot(self.flat, len(counters))], self.row))
+            self.flat = self.flat[order]
+            self.place = np.arange(len(self.flat)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+            self.prefix = self.size - (self.size + 1) // 2 + 1
+
+
+def slot(features: np.ndarray, slots: int) -> np.ndarray:
+    return (features.astype(np.uint64) % np.uint64(slots)).astype(np.int64)
+
+
+def _tally(sets: DataFrame, slots: int, counters: np.ndarray | None = None) -> np.ndarray:
+    """How many features (given the order: how many prefix features) fall into each of a fixed number of slots."""
+    shared = sets.sparkSession.sparkContext.broadcast(counters)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            p = Prefixes(batch, shared.value)
+            flat = p.flat if shared.value is None else p.flat[p.place < p.prefix[p.row]]
+            total += np.bincount(slot(flat, slots), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    summed = sets.select("features").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    made = np.zeros(slots, np.int64)
+    made[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+    return made
+
+
+def buckets(sets: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(bucket, record, features)`` of distinct ``sets (record, features)``: any two similar ones, but a single and a pair, share a bucket.
+
+    Rarity comes from counters of hash slots: a consistent global order is all that the prefix argument needs. Slots that
+    one prefix feature falls into need no bucket; features of slots beyond ``hot`` are split by pairs.
+    """
+    slots = 1 << min(MAX_SLOTS, max(MIN_SLOTS, (4 * sets.count()).bit_length()))
+    counters = _tally(sets, slots)
+    entries = _tally(sets, slots, counters)
+    shared = sets.sparkSession.sparkContext.broadcast((counters, entries))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, entries = shared.value
+        for batch in batches:
+            p = Prefixes(batch, counters)
+            load = entries[slot(p.flat, slots)]
+            chosen = (p.place < p.prefix[p.row]) & (load > 1)
+            plain = np.flatnonzero(chosen & (load <= hot))
+            bucket, row = p.flat[plain], p.row[plain]
+            if (wide := np.flatnonzero(chosen & (load > hot))).size:
+                pairs = []
+                starts = np.cumsum(p.size) - p.size
+                for at in wide.tolist():
+                    r, f = int(p.row[at]), int(p.flat[at])
+                    for other in p.flat[starts[r] : starts[r] + min(p.size[r], p.prefix[r] + 1)].tolist():
+                        if other != f:
+                            pairs.append((xxhash.xxh64_intdigest(f"{min(f, other)} {max(f, other)}") - (1 << 63), r))
+                pairs = sorted({*pairs}, key=lambda x: x[1])
+                bucket = np.concatenate([bucket, np.array([x[0] for x in pairs], np.int64)])
+                row = np.concatenate([row, np.array([x[1] for x in pairs], np.int64)])
+            for a in range(0, len(row), 10_000):
+                part = pa.array(row[a : a + 10_000])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 10_000]), batch["record"].take(part), batch["features"].take(part)], schema=_ENTRIES_ARROW)
+
+    return sets.mapInArrow(route, _ENTRIES)
 
 
 def links(sets: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(u, v)`` that join all similar records of ``(record, ranked)``; records of equal sets by their least one."""
-    sized = sets.select("record", F.transform("ranked", lambda x: x["h"]).alias("features"), F.transform("ranked", lambda x: x["n"]).alias("held"))
-    same = F.xxhash64("features", F.size("features"))
-    keyed = sized.select("record", "features", "held", same.alias("signature"))
-    least = keyed.groupBy("signature").agg(F.min("record").alias("least"))
-    equal = keyed.select("record", "signature").join(least, "signature").where("record <> least").select(F.col("record").alias("u"), F.col("least").alias("v"))
-    # one record for each set; a record and its set are taken together, by the least record
-    distinct_sets = keyed.groupBy("signature").agg(F.min_by(F.struct("record", "features", "held"), "record").alias("s")).select("s.*")
-    n = F.size("features")
-    prefix = n - F.ceil(n / 2).cast("int") + 1
-    routed = cut_lineage(distinct_sets.select("record", "features", "held", prefix.alias("prefix")))
-    positions = routed.select("record", "features", "prefix", F.posexplode(F.arrays_zip(F.slice("features", 1, F.col("prefix")).alias("h"), F.slice("held", 1, F.col("prefix")).alias("n"))).alias("at", "x"))
-    entries = positions.where("x.n > 1").select("record", "features", "prefix", "at", F.col("x.h").alias("h"))
-    sizes = entries.groupBy("h").agg(F.count("*").alias("size"))
-    hot_features = sizes.where(F.col("size") > hot).select("h")
-    alone = sizes.where("size = 1").select("h")
-    plain = entries.join(hot_features, "h", "left_anti").join(alone, "h", "left_anti").select(F.col("h").alias("bucket"), "record", "features")
-    # similar records of which neither is a single share two of their prefix + 1 rarest features
-    wide = entries.join(hot_features, "h", "left_semi")
-    pairs = wide.select("record", "features", F.col("h"), F.explode(F.slice("features", 1, F.col("prefix") + 1)).alias("other")).where("h <> other")
-    split = pairs.select(F.xxhash64(F.least("h", "other"), F.greatest("h", "other")).alias("bucket"), "record", "features")
-    many = split.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    in_buckets = plain.unionAll(split.join(many, "bucket", "left_semi"))
-    found = in_buckets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_partition, _LINKS)
-    single = routed.where(F.size("features") == 1).select(F.col("record").alias("v"), F.col("features")[0].alias("h"))
-    double = routed.where(F.size("features") == 2).select(F.col("record").alias("u"), F.explode("features").alias("h"))
+    """``(u, v)`` that join all similar records of ``(record, features)``; records of equal sets by their least one."""
+    signed = cut_lineage(sets.select("record", "features", F.xxhash64("features", F.size("features")).alias("signature")))
+    least = signed.groupBy("signature").agg(F.min("record").alias("least"))
+    equal = signed.select("record", "signature").join(least, "signature").where("record <> least").select(F.col("record").alias("u"), F.col("least").alias("v"))
+    leading = cut_lineage(signed.join(equal.select(F.col("u").alias("record")), "record", "left_anti").select("record", "features"))
+    found = buckets(leading, hot).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_partition, _LINKS)
+    single = leading.where(F.size("features") == 1).select(F.col("record").alias("v"), F.col("features")[0].alias("h"))
+    double = leading.where(F.size("features") == 2).select(F.col("record").alias("u"), F.explode("features").alias("h"))
     within = double.join(single, "h").select("u", "v")
-    return found.unionAll(equal).unionAll(within).distinct()
+    return found.unionAll(equal).unionAll(within)
 
 
 def cluster(terms: DataFrame, records: DataFrame) -> DataFrame:
