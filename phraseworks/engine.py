@@ -64,8 +64,9 @@ class Engine:
             found = phrases.select(F.lit(0).alias("label"), F.col("term").alias("phrase"), "df_ratio", F.expr("cast(row_number() over (order by df desc, tf desc, term) as int)").alias("rank"))
             labelled, names = readable.select("doc_id", F.lit(0).alias("label")), {0: "Single Document Topic"}
         else:
-            weights = cut_lineage(vectors.tfidf(counts, vectors.vocabulary(stats), n_docs))
-            labelled = cut_lineage(labels if labels is not None else vectors.kmeans_labels(weights, vectors.topic_count(n_docs, max_topics)))
+            vocab = cut_lineage(vectors.vocabulary(stats))
+            weights = vectors.tfidf(counts, vocab, n_docs)
+            labelled = cut_lineage(labels) if labels is not None else vectors.kmeans_labels(vectors.document_vectors(readable, vocab, n_docs), vectors.topic_count(n_docs, max_topics))
             found, names = topics.candidates(topics.centroid_weights(weights, labelled), stats, low, high), {}
         sizes = topics.topic_sizes(labelled, max_topics).collect()  # at most 20 rows
         found = cut_lineage(found)

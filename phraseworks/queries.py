@@ -260,8 +260,9 @@ def topic_members(spark, d):
 
 def kmeans_topics(spark, d):
     docs = corpus(spark, d)
-    weights = cut_lineage(_weights(spark, d))
-    found = vectors.kmeans_labels(weights, vectors.topic_count(_n(docs), 8), restarts=3)
+    n = _n(docs)
+    points = vectors.document_vectors(docs, vectors.vocabulary(_stats(spark, d)), n)
+    found = vectors.kmeans_labels(points, vectors.topic_count(n, 8))
     return topics.named(topics.topic_sizes(found, 8)).select("topic_name", "n", "rank")
 
 

@@ -42,6 +42,10 @@ def test_tfidf_is_normalised(spark):
     counts = terms.doc_term_counts(docs)
     w = vectors.tfidf(counts, vectors.vocabulary(terms.term_stats(counts, 3)), 3)
     assert all(abs(r["n"] - 1) < 1e-12 for r in w.groupBy("doc_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect())
+    vocab = vectors.vocabulary(terms.term_stats(counts, 3))
+    words = sorted(r["term"] for r in vocab.collect())
+    sparse = {(r["doc_id"], words[i]): x for r in vectors.document_vectors(docs, vocab, 3).collect() for i, x in zip(r["features"].indices, r["features"].values, strict=True)}
+    assert {k: round(x, 12) for k, x in sparse.items()} == {(r["doc_id"], r["term"]): round(r["weight"], 12) for r in w.collect()}
     assert vectors.topic_count(5, 8) == 3 and vectors.aux_topic_count(2, 8) == 1 and vectors.aux_topic_count(10, 8) == 4
 
 
@@ -155,6 +159,15 @@ def test_writers(tmp_path):
     assert writer.DeterministicWriter().refine_stopwords(asked)["stopwords"] == ["t"]
 
 
+def test_inferred_topics(spark):
+    docs = spark.createDataFrame([(i, f"pump seal ppm ppm {'report work permit' if i % 2 else 'invoice bank transfer'} ref{1000 + i}") for i in range(8)], "doc_id bigint, text string")
+    found = topics.infer_topics(docs, ["report"], max_topics=2)
+    assert sorted(r["n"] for r in found.sizes.collect()) == [4, 4]
+    listed = {r["phrase"] for r in found.phrases.collect()}
+    assert "work permit" in listed and "invoice bank" in listed and "ppm ppm" not in listed and "report" not in listed and "ref1000" not in listed
+    assert topics.infer_topics(docs.limit(1), [], low=0.0, high=1.0).sizes.count() == 1
+
+
 def test_topics(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 2)], "doc_id bigint, label int")
     assert rows(topics.topic_sizes(labels, 2).select("rank", "label", "n")) == [(1, 1, 2), (2, 0, 1)]
