@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseworks.functions import text as t
@@ -23,14 +23,14 @@ def marked_lines(docs: DataFrame, least: int = 8, ratio: float = 0.35) -> DataFr
     """``(doc_id, pos, line, norm, repeats, boilerplate)``.
 
     A line is boilerplate when its normalised form is repeated often enough for the document's length, or when it names
-    itself so. Counts are pre-aggregated per (document, form); the document's own count is derived from them.
+    itself so. Both counts are windows over one partitioning by document: a single shuffle of lines.
     """
-    every = lines(docs, least)
-    forms = every.groupBy("doc_id", "norm").agg(F.count("*").alias("repeats"))
-    totals = forms.groupBy("doc_id").agg(F.sum("repeats").alias("n"))
+    every = lines(docs, least).repartition("doc_id")
+    repeats = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "norm"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id"))
+    counted = every.withColumn("repeats", repeats).withColumn("n", n)
     threshold = F.greatest(F.lit(3), F.floor(F.col("n") * F.lit(ratio) * F.lit(0.05)))
-    often = forms.join(totals, "doc_id").select("doc_id", "norm", "repeats", (F.col("repeats") >= threshold).alias("often"))
-    return every.join(often, ["doc_id", "norm"]).select("doc_id", "pos", "line", "norm", "repeats", (F.col("often") | F.col("line").rlike(MARKERS)).alias("boilerplate"))
+    return counted.select("doc_id", "pos", "line", "norm", "repeats", ((F.col("repeats") >= threshold) | F.col("line").rlike(MARKERS)).alias("boilerplate"))
 
 
 def boilerplate_lines(docs: DataFrame) -> DataFrame:
