@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,5 +27,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def show_package_to_workers(spark: SparkSession) -> None:
+    """Python workers import this package from where the driver has it (clusters may ship it with ``--py-files`` instead)."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join(p for p in [root, *paths] if p)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    show_package_to_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
