@@ -42,7 +42,7 @@ def lift(df: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """``(label, i, j, n, lift)``: p(ab) / (p(a) p(b)), 0 where a marginal is."""
     a, b = df.select("label", F.col("idx").alias("i"), F.col("df").alias("da")), df.select("label", F.col("idx").alias("j"), F.col("df").alias("db"))
     n = F.greatest("docs", F.lit(1))
-    joined = pairs.join(a, ["label", "i"]).join(b, ["label", "j"]).join(F.broadcast(sizes.select("label", F.col("n").alias("docs"))), "label")
+    joined = pairs.join(a, ["label", "i"]).join(b, ["label", "j"]).join(sizes.select("label", F.col("n").alias("docs")), "label")
     value = F.when((F.col("da") > 0) & (F.col("db") > 0), (F.col("n") / n) / ((F.col("da") / n) * (F.col("db") / n))).otherwise(0.0)
     return joined.select("label", "i", "j", "n", value.alias("lift"))
 
@@ -57,7 +57,7 @@ def _eligible(phrases: DataFrame, df: DataFrame, generic: list[str]) -> DataFram
 def anchors(phrases: DataFrame, df: DataFrame, sizes: DataFrame, generic: list[str] = ()) -> DataFrame:
     """``(label, rank, idx, phrase, df)``: phrases in the middle of the range, r (1 - r), then df, then the later one."""
     r = F.col("df") / F.greatest("n", F.lit(1))
-    fit = _eligible(phrases, df, generic).where(~t.is_digits(t.norm_lc(F.col("phrase")))).join(F.broadcast(sizes.select("label", "n")), "label").withColumn("midness", r * (1.0 - r))
+    fit = _eligible(phrases, df, generic).where(~t.is_digits(t.norm_lc(F.col("phrase")))).join(sizes.select("label", "n"), "label").withColumn("midness", r * (1.0 - r))
     w = Window.partitionBy("label").orderBy(F.desc("midness"), F.desc("df"), F.desc("idx"))
     return fit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ANCHORS).select("label", "rank", "idx", "phrase", "df")
 
@@ -70,7 +70,7 @@ def context(phrases: DataFrame, df: DataFrame, pairs: DataFrame, sizes: DataFram
     a = anchored.select("label", F.col("rank").alias("anchor"), F.col("idx").alias("a_idx"), F.col("df").alias("a_df"))
     both = pairs.where(F.col("n") >= MIN_PAIR).select("label", F.explode(F.array(F.struct(F.col("i").alias("a_idx"), F.col("j").alias("idx")), F.struct(F.col("j").alias("a_idx"), F.col("i").alias("idx")))).alias("p"), F.col("n").alias("pair_docs")).select("label", "p.a_idx", "p.idx", "pair_docs")
     others = _eligible(phrases, df, generic).join(anchored.select("label", "idx"), ["label", "idx"], "left_anti")
-    scored = both.join(F.broadcast(a), ["label", "a_idx"]).join(others, ["label", "idx"]).join(F.broadcast(sizes.select("label", F.col("n").alias("docs"))), "label")
+    scored = both.join(a, ["label", "a_idx"]).join(others, ["label", "idx"]).join(sizes.select("label", F.col("n").alias("docs")), "label")
     n = F.greatest("docs", F.lit(1))
     scored = scored.withColumn("lift", (F.col("pair_docs") / n) / ((F.col("a_df") / n) * (F.col("df") / n)))
     best = scored.groupBy("label", "idx", "phrase", "df").agg(F.max(F.struct("lift", -F.col("anchor"), "pair_docs")).alias("b")).where("b.lift > 0")
@@ -84,7 +84,7 @@ def groups(phrases: DataFrame, df: DataFrame, pairs: DataFrame, sizes: DataFrame
     ranked = context(phrases, df, pairs, sizes, anchored, generic)
     near = ranked.where(F.col("rank") <= GROUP)
     share = F.col("df") / F.greatest("n", F.lit(1))
-    further = ranked.where(F.col("rank").between(GROUP + 1, GROUP + CONTROL_SCAN)).join(F.broadcast(sizes.select("label", "n")), "label").where(share.between(0.35, 0.85))
+    further = ranked.where(F.col("rank").between(GROUP + 1, GROUP + CONTROL_SCAN)).join(sizes.select("label", "n"), "label").where(share.between(0.35, 0.85))
     control = further.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("rank"))).where(F.col("rank") <= GROUP)
     bare = phrases.join(anchored.select("label").distinct(), "label", "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("idx"))).where(F.col("rank") <= GROUP)
     parts = [x.select("label", F.lit(i).alias("part"), "rank", "phrase") for i, x in enumerate((anchored, near, control), 1)] + [bare.select("label", F.lit(1).alias("part"), "rank", "phrase")]

@@ -270,7 +270,7 @@ def kmeans_topics(spark, d):
 
 
 def _phrases_by_label(spark) -> DataFrame:
-    return phrase_table(spark).crossJoin(spark.range(4).select(F.col("id").cast("int").alias("label"))).select("label", "idx", "phrase")  # 48 rows
+    return spark.createDataFrame([(label, i, p) for label in range(4) for i, p in enumerate(PHRASES)], "label int, idx int, phrase string")
 
 
 def _presence(spark, d) -> DataFrame:
