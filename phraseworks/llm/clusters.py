@@ -299,8 +299,8 @@ def cluster(terms: DataFrame, records: DataFrame) -> DataFrame:
     return every.join(joined.select(F.col("node").alias("record"), "root"), "record", "left").select("record", F.coalesce("root", "record").alias("cluster"))
 
 
-def typical(terms: DataFrame, assigned: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` members nearest the centroid of each cluster: ``(cluster, record, rank, distance, n_records)``.
+def distances(terms: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Every member's distance to the centroid of its cluster: ``(cluster, record, distance, n_records)``.
 
     The merged cluster feature of a cluster is, per term, in how many members it is; a member's squared distance to the
     centroid follows from sums over its own terms. Counts are pre-aggregated per (cluster, term).
@@ -314,8 +314,18 @@ def typical(terms: DataFrame, assigned: DataFrame, k: int = 3) -> DataFrame:
     zero = F.lit(0.0)
     squared = F.coalesce(F.col("size"), zero) - 2 * F.coalesce(F.col("dot"), zero) / F.col("n_records") + F.coalesce(F.col("square"), zero) / (F.col("n_records") * F.col("n_records"))
     away = F.round(F.sqrt(F.greatest(squared, zero)), 9)
+    return placed.select("cluster", "record", away.alias("distance"), "n_records")
+
+
+def nearest(placed: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` first members of each cluster of ``placed (cluster, record, distance, ...)``, with their ``rank``."""
     w = Window.partitionBy("cluster").orderBy("distance", "record")
-    return placed.select("cluster", "record", away.alias("distance"), "n_records").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return placed.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def typical(terms: DataFrame, assigned: DataFrame, k: int = 3) -> DataFrame:
+    """The ``k`` members nearest the centroid of each cluster: ``(cluster, record, distance, n_records, rank)``."""
+    return nearest(distances(terms, assigned), k)
 
 
 def topic_terms(phrases: DataFrame) -> DataFrame:
@@ -332,19 +342,20 @@ def topic_clusters(topics: DataFrame, phrases: DataFrame) -> DataFrame:
 def describe_topics(topics: DataFrame, previews: DataFrame, phrases: DataFrame, k: int = 3) -> DataFrame:
     """Clusters of topics: ``(cluster, n_topics, n_docs, name, typical)``, the name and members nearest the centroid first.
 
-    ``n_docs`` counts the documents of the topics once (a doc_id is one document); the name is that of the nearest member
-    whose latest preview has one that is not a default name.
+    ``n_docs`` counts the documents of the topics once (a doc_id is one document); the name is that of the nearest of all
+    members whose latest preview has one that is not a default name; ``typical`` has ``k`` of them.
     """
     terms = cut_lineage(topic_terms(phrases).distinct())
     records = topics.select(F.col("topic_key").alias("record"))
     assigned = cut_lineage(cluster(terms, records))
     docs = topics.select(F.col("topic_key").alias("record"), F.explode("doc_ids").alias("doc")).join(assigned, "record").select("cluster", "doc").distinct().groupBy("cluster").agg(F.count("*").alias("n_docs"))
     named = previews.where("name is not null").groupBy("topic_key").agg(F.max_by("name", F.struct("loaded_at", "name")).alias("name"))
-    near = typical(terms, assigned, k).join(named.withColumnRenamed("topic_key", "record"), "record", "left")
     good = ~F.lower("name").rlike(r"^\s*(?:topic \d+|general topic|untitled topic|single document topic)\s*$")
-    head = near.groupBy("cluster").agg(
+    placed = cut_lineage(distances(terms, assigned))
+    names = placed.join(named.where(good).withColumnRenamed("topic_key", "record"), "record").groupBy("cluster").agg(F.min_by("name", F.struct("distance", "record")).alias("name"))
+    head = nearest(placed, k).groupBy("cluster").agg(
         F.max("n_records").alias("n_topics"),
-        F.min_by("name", F.when(good, F.col("rank"))).alias("name"),
         F.array_sort(F.collect_list(F.struct("rank", "record"))).alias("members"),  # at most k
     )
-    return head.join(docs, "cluster", "left").select("cluster", "n_topics", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "name", F.transform("members", lambda m: m["record"]).alias("typical"))
+    described = head.join(names, "cluster", "left").join(docs, "cluster", "left")
+    return described.select("cluster", "n_topics", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "name", F.transform("members", lambda m: m["record"]).alias("typical"))

@@ -108,3 +108,10 @@ def test_topics(spark):
     got = {r["cluster"]: tuple(r)[1:] for r in clusters.describe_topics(topics, previews, phrases).collect()}
     assert got == {1: (2, 2, "Pumps", [1, 2]), 3: (1, 0, None, [3]), 4: (1, 0, None, [4])}
     assert clusters.topic_clusters(topics.where("false"), phrases.where("false")).count() == 0
+
+
+def test_a_name_is_sought_among_all_members(spark):
+    topics = spark.createDataFrame([(k, [k]) for k in range(1, 7)], "topic_key bigint, doc_ids array<bigint>")
+    phrases = spark.createDataFrame([(k, k, 1, "pump seal", 0.1) for k in range(1, 7)], "phrase_id bigint, topic_key bigint, phrase_rank int, text string, df_ratio double")
+    previews = spark.createDataFrame([(1, "Topic 1", None), (2, None, None), (3, "general topic", None), (5, "Pumps", None), (6, "Seals", None)], "topic_key bigint, name string, loaded_at timestamp")
+    assert rows(clusters.describe_topics(topics, previews, phrases)) == [(1, 6, 6, "Pumps", [1, 2, 3])]
