@@ -246,6 +246,11 @@ def inferred_topics(spark, d):
     return found.phrases.select("label", "rank", "phrase", "df_ratio")
 
 
+def inferred_topics_kmeans(spark, d):
+    """The auxiliary inference as a whole: topics by k-means over all terms, each with its phrases."""
+    return topics.infer_topics(corpus(spark, d), [*stopwords.ENGLISH, *stopwords.ARABIC], low=0.05).phrases.select("label", "rank", "phrase", "df_ratio")
+
+
 def topic_sizes(spark, d):
     docs = corpus(spark, d).where("source is not null").select("doc_id", F.col("source").alias("label"))
     return topics.topic_sizes(docs, 20).select("label", "n", "first_doc", "rank")
@@ -471,7 +476,7 @@ def session_term_rows(spark, d):
 _ALL = (
     normalize_ws_docs, readable_docs, clean_text_docs, doc_tokens_count, match_tokens_count, identifier_token_stats, topic_titles, letter_garbage_docs, quoted_phrases_docs, corpus_summary,
     doc_ngrams_123, term_stats, term_stats_window, top_terms, top_terms_md, fallback_topic_candidates, single_doc_topic, mine_terms, low_generalization_terms, heuristic_exclude, auto_stopwords,
-    include_exclude_review, tfidf_weights, tfidf_column_sums, tfidf_stopworded, inferred_topics, topic_tfidf_sums, aux_topic_phrases, topic_sizes, topic_members, kmeans_topics, cooc_presence, cooc_phrase_df, cooc_pair_df, cooc_lift,
+    include_exclude_review, tfidf_weights, tfidf_column_sums, tfidf_stopworded, inferred_topics, inferred_topics_kmeans, topic_tfidf_sums, aux_topic_phrases, topic_sizes, topic_members, kmeans_topics, cooc_presence, cooc_phrase_df, cooc_pair_df, cooc_lift,
     topic_anchors, topic_groups, default_groups, candidate_filter, whitelist_allowed, whitelist_clean, test_policy_flat, test_policy_hits, test_policy_files, test_policy_stream, policy_on_eval_items, phrase_equi_match,
     phrase_present_variants, rule_coverage, rule_mask_histogram, rule_penalty, selected_policy, near_policy_payload, combined_expression, regex_catalogue_hits, regex_suggestions, boilerplate_lines,
     boilerplate_counts, cleaned_text, structured_previews, session_term_rows,

@@ -1,8 +1,11 @@
+import os
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from phraseworks import queries
 from phraseworks.operators import boilerplate, cooccurrence, identifiers, selection, stopwords, terms, topics, vectors, whitelist
 from phraseworks.plans import render, writer
 from tests.conftest import rows
@@ -168,6 +171,30 @@ def test_inferred_topics(spark):
     assert topics.infer_topics(docs.limit(1), [], low=0.0, high=1.0).sizes.count() == 1
 
 
+def test_inferred_topics_cluster_by_all_terms(spark):
+    common = " ".join(f"w{i}" for i in range(25_000))  # of higher tf than what tells the documents apart
+    docs = spark.createDataFrame([(i, f"{common} {common} {' '.join(['pump seal' if i % 2 else 'invoice bank'] * 3)} only{i}") for i in range(6)], "doc_id bigint, text string")
+    found = topics.infer_topics(docs, [], max_topics=2, n_max=1)
+    assert sorted(r["n"] for r in found.sizes.collect()) == [3, 3]
+
+
+def test_weight_vectors_keep_all_distances(spark):
+    weights = {0: {"a": 0.6, "b": 0.8}, 1: {"a": 1.0}, 2: {"b": 0.3, "c": 0.4, "d": 0.5}, 3: {}}
+    df = spark.createDataFrame([(d, t, w) for d, x in weights.items() for t, w in x.items()], "doc_id bigint, term string, weight double")
+    got = {r["doc_id"]: r["features"] for r in vectors.weight_vectors(df, spark.createDataFrame([(d,) for d in weights], "doc_id bigint")).collect()}
+    for a, x in weights.items():
+        for b, y in weights.items():
+            assert abs(got[a].squared_distance(got[b]) - sum((x.get(t, 0) - y.get(t, 0)) ** 2 for t in "abcd")) < 1e-12
+
+
+def test_whole_inference_is_a_query(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    found = queries.QUERIES["inferred_topics_kmeans"](spark, folder).groupBy("label").agg(F.max("rank").alias("n")).collect()
+    assert len(found) > 1 and max(r["n"] for r in found) == topics.AUX_KEEP
+
+
 def test_topics(spark):
     labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 2)], "doc_id bigint, label int")
     assert rows(topics.topic_sizes(labels, 2).select("rank", "label", "n")) == [(1, 1, 2), (2, 0, 1)]
