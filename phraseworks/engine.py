@@ -58,13 +58,15 @@ class Engine:
         if not n_docs:
             raise NoReadableText("no readable text extracted from the documents")
         counts = cut_lineage(terms.doc_term_counts(readable))
-        stats = cut_lineage(terms.term_stats(counts, n_docs))
+        stats = whole = cut_lineage(terms.term_stats(counts, n_docs))
+        if not readable.where(F.length("text") > terms.MAX_TOKENS).isEmpty():  # only statistics are capped, vectors are not
+            stats = cut_lineage(terms.term_stats(terms.doc_term_counts(readable, cap=terms.MAX_TOKENS), n_docs))
         if n_docs == 1 and labels is None:
             phrases = stats.orderBy(F.desc("df"), F.desc("tf"), "term").limit(20)
             found = phrases.select(F.lit(0).alias("label"), F.col("term").alias("phrase"), "df_ratio", F.expr("cast(row_number() over (order by df desc, tf desc, term) as int)").alias("rank"))
             labelled, names = readable.select("doc_id", F.lit(0).alias("label")), {0: "Single Document Topic"}
         else:
-            vocab = cut_lineage(vectors.vocabulary(stats))
+            vocab = cut_lineage(vectors.vocabulary(whole))
             weights = vectors.tfidf(counts, vocab, n_docs)
             labelled = cut_lineage(labels) if labels is not None else vectors.kmeans_labels(vectors.document_vectors(readable, vocab, n_docs), vectors.topic_count(n_docs, max_topics))
             found, names = topics.candidates(topics.centroid_weights(weights, labelled), stats, low, high), {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from phraseworks.functions import text as t
 from phraseworks.operators.matching import ngrams
 
-#: Tokens of a document that count for statistics.
+#: Tokens of a document that count for term statistics; term mining and vectors read whole texts.
 MAX_TOKENS = 120_000
 N_MAX = 3
 
@@ -18,10 +18,10 @@ def grams(tokens: Column, n_max: int = N_MAX) -> Column:
     return F.concat(*[ngrams(tokens, n) for n in range(1, n_max + 1)])
 
 
-def doc_tokens(docs: DataFrame, tokens: Column | None = None, cap: int = MAX_TOKENS) -> DataFrame:
-    """``(doc_id, tokens)``; a generator binds the tokens, so later expressions do not tokenise again."""
+def doc_tokens(docs: DataFrame, tokens: Column | None = None, cap: int | None = None) -> DataFrame:
+    """``(doc_id, tokens)``, the first ``cap`` if given; a generator binds the tokens, so later expressions do not tokenise again."""
     found = t.tokenize(F.col("text")) if tokens is None else tokens
-    return docs.select("doc_id", F.explode(F.array(F.slice(found, 1, cap))).alias("tokens"))
+    return docs.select("doc_id", F.explode(F.array(found if cap is None else F.slice(found, 1, cap))).alias("tokens"))
 
 
 def _counted(items: Column) -> Column:
@@ -37,9 +37,9 @@ def _counted(items: Column) -> Column:
     return F.transform(F.array(F.array_sort(items)), runs)[0]
 
 
-def doc_term_counts(docs: DataFrame, n_max: int = N_MAX, tokens: Column | None = None) -> DataFrame:
+def doc_term_counts(docs: DataFrame, n_max: int = N_MAX, tokens: Column | None = None, cap: int | None = None) -> DataFrame:
     """``(doc_id, term, tf)``, one row per document and distinct term, made inside the document's row."""
-    tokenised = doc_tokens(docs, tokens).where(F.size("tokens") > 0)
+    tokenised = doc_tokens(docs, tokens, cap).where(F.size("tokens") > 0)
     return tokenised.select("doc_id", F.inline(_counted(grams(F.col("tokens"), n_max))))
 
 
@@ -63,7 +63,7 @@ def top_terms(stats: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     if last is None:
         return stats.select("*", F.lit(0).alias("rank")).where("false")
     reach = stats.where((F.col("df") > last["df"]) | ((F.col("df") == last["df"]) & (F.col("tf") >= last["tf"])))
-    first = doc_tokens(docs).withColumnRenamed("doc_id", "first_doc").join(reach, "first_doc")
+    first = doc_tokens(docs, cap=MAX_TOKENS).withColumnRenamed("doc_id", "first_doc").join(reach, "first_doc")
     placed = first.select("first_doc", "term", "tf", "df", "df_ratio", F.array_position(grams(F.col("tokens")), F.col("term")).alias("at"))
     best = placed.orderBy(F.desc("df"), F.desc("tf"), "first_doc", "at").limit(k)
     ranked = best.groupBy().agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("a"), (-F.col("tf")).alias("b"), "first_doc", "at", "term", "tf", "df", "df_ratio"))).alias("r"))  # k rows

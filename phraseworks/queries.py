@@ -129,13 +129,13 @@ def corpus_summary(spark, d):
 
 def doc_ngrams_123(spark, d):
     """How many 1-, 2- and 3-grams every document has, and how many distinct ones."""
-    counts = terms.doc_term_counts(documents(spark, d))
+    counts = terms.doc_term_counts(documents(spark, d), cap=terms.MAX_TOKENS)
     return counts.groupBy("doc_id").agg(F.sum("tf").alias("n"), F.count("*").alias("n_distinct"), F.max("tf").alias("max_tf"))
 
 
 def _stats(spark, d) -> DataFrame:
     docs = corpus(spark, d)
-    return terms.term_stats(terms.doc_term_counts(docs), _n(docs))
+    return terms.term_stats(terms.doc_term_counts(docs, cap=terms.MAX_TOKENS), _n(docs))
 
 
 def term_stats(spark, d):
@@ -165,7 +165,7 @@ def single_doc_topic(spark, d):
     """The topic of each source's largest document taken as a corpus of its own: its first 20 terms by tf (ties by term)."""
     docs = corpus(spark, d).where("source is not null")
     largest = docs.groupBy("source").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
-    counts = terms.doc_term_counts(docs.join(largest.select("doc_id"), "doc_id", "left_semi")).join(largest, "doc_id")
+    counts = terms.doc_term_counts(docs.join(largest.select("doc_id"), "doc_id", "left_semi"), cap=terms.MAX_TOKENS).join(largest, "doc_id")
     w = Window.partitionBy("source").orderBy(F.desc("tf"), "term")
     return counts.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("source", "rank", "term", "tf")
 
@@ -202,8 +202,9 @@ def include_exclude_review(spark, d):
 
 
 def _weights(spark, d) -> DataFrame:
+    """Weights over the counts of the term statistics, capped as their SQL is."""
     docs = corpus(spark, d)
-    counts = terms.doc_term_counts(docs)
+    counts = terms.doc_term_counts(docs, cap=terms.MAX_TOKENS)
     n = _n(docs)
     return vectors.tfidf(counts, vectors.vocabulary(terms.term_stats(counts, n)), n)
 
@@ -266,7 +267,7 @@ def topic_members(spark, d):
 def kmeans_topics(spark, d):
     docs = corpus(spark, d)
     n = _n(docs)
-    points = vectors.document_vectors(docs, vectors.vocabulary(_stats(spark, d)), n)
+    points = vectors.document_vectors(docs, vectors.vocabulary(terms.term_stats(terms.doc_term_counts(docs), n)), n)
     found = vectors.kmeans_labels(points, vectors.topic_count(n, 8))
     return topics.named(topics.topic_sizes(found, 8)).select("topic_name", "n", "rank")
 

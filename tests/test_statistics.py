@@ -57,6 +57,16 @@ def test_mined_terms_bridge_stopwords(spark):
     assert "pump sealed" in got and "the" not in got and "was" not in got
 
 
+def test_only_term_statistics_are_capped(spark):
+    docs = spark.createDataFrame([(1, "aa " * terms.MAX_TOKENS + "tail")], "doc_id bigint, text string")
+    assert {r["term"]: r["tf"] for r in terms.mine_terms(docs, [], 1, n_max=1).collect()} == {"tail": 1}
+    whole = terms.doc_term_counts(docs, 1)
+    assert rows(whole) == [(1, "aa", terms.MAX_TOKENS), (1, "tail", 1)]
+    assert rows(terms.doc_term_counts(docs, 1, cap=terms.MAX_TOKENS)) == [(1, "aa", terms.MAX_TOKENS)]
+    vocab = vectors.vocabulary(terms.term_stats(whole, 1))
+    assert vectors.document_vectors(docs, vocab, 1, n_max=1).first()["features"].numNonzeros() == 2
+
+
 def test_boilerplate(spark):
     repeated = [f"line with number {i}" for i in range(5)]
     text = "\n".join(["Acme report page 1 of 3", "Acme report page 2 of 3", "Acme report page 3 of 3", "Document Control sheet", "short", *(f"{x} text {'abcdefghij'[i]}" for i, x in enumerate(repeated))])
