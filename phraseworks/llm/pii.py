@@ -7,8 +7,8 @@ the text (see ``glyphs``), spans are carried back to the text as it stands.
 
 Names and towns have an open vocabulary, so two passes: the first reads, over all documents, the parts of names and the
 towns that stand in unmistakable places (``Prepared by ..., Department``; ``..., Town 12345``); those held by at least
-``MIN_SUPPORT`` documents, with the given list of names, are the lexicon of the second. It is replicated, so its size is
-checked: the ``MAX_LEXICON`` most frequent parts (ties by spelling), about 10 MB.
+``MIN_SUPPORT`` documents, with the given list of names, are the lexicon of the second. Up to ``MAX_LEXICON`` parts (about
+10 MB) it is replicated; a larger one is joined to the texts by what each may look up, with the same result.
 
 Defined results: null gives null and no spans; empty texts have none; a document's row is found per distinct string and
 kind; re-sent rows count once; texts of any length are read whole; nothing but the found spans changes.
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phraseworks.llm.glyphs import consistent_batch, suspect
+from phraseworks.session import cut_lineage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
@@ -400,41 +401,110 @@ def _read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(parts, pa.string())], schema=_PARTS_ARROW)
 
 
-def learn_lexicon(docs: DataFrame, person_names: DataFrame) -> Lexicon:
-    """Name parts and towns read from all documents, and the given list."""
+#: What a part of a name can be cut from, and a family name's particle that stands as a word of its own.
+RUN = re.compile(r"[\w'’ً-ْ-]+")
+PARTICLE_BEFORE = re.compile(r"(?<!\w)(?:al|el|van|de|bin|ibn)[ ]$", re.I)
+
+
+def lookups(text: str) -> set[tuple[bool, str]]:
+    """``(town, part)``: whatever ``spans`` may look up for ``text`` (in consistent form), and more."""
+    low = text.lower().replace("’", "'")
+    made: set[tuple[bool, str]] = set()
+    for run in RUN.finditer(text):
+        a, b = run.span()
+        starts = [i for i in range(a, b) if text[i].isalnum() and (i == a or not text[i - 1].isalnum())]
+        ends = [i for i in range(a + 1, b + 1) if i == b or not text[i].isalnum()]
+        for start in starts:
+            particle = PARTICLE_BEFORE.search(text, max(0, start - 5), start)
+            for end in ends:
+                if end > start + 1:
+                    part = fold(text[start:end])
+                    made.add((False, part))
+                    if len(low) == len(text):
+                        made.add((False, low[start:end]))
+                    if particle:
+                        made.add((False, f"{fold(particle.group()[:-1])} {part}"))
+    for m in _address_matches(text, number_starts(text)):
+        at = m.start("town")
+        words = [*re.finditer(r"[^\W\d_][\w'’-]*", text[at : m.end("town")])]
+        for k in range(1, len(words) + 1):
+            made |= {(True, " ".join(fold(w.group()) for w in words[:k])), (True, fold(text[at : at + words[k - 1].end()]))}
+    return made
+
+
+_LOOKUPS_ARROW = pa.schema([("key", pa.int64()), ("town", pa.bool_()), ("part", pa.string())])
+
+
+def _read_lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, text in zip(batch["key"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist()), strict=True):
+            made = [*lookups(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(made), pa.int64()), pa.array([t for t, _ in made], pa.bool_()), pa.array([x for _, x in made], pa.string())], schema=_LOOKUPS_ARROW)
+
+
+def of_parts(parts: list[tuple[str, str]]) -> Lexicon:
+    return Lexicon(*(frozenset(part for kind, part in parts if kind == k) for k in ("given", "family", "town")))
+
+
+def learn_parts(docs: DataFrame, person_names: DataFrame) -> DataFrame:
+    """``(kind, part)``: all name parts and towns read from all documents, and the given list."""
     read = _texts(docs).select("text", "suspect").where("text is not null").mapInArrow(_read_parts, "kind string, part string")
     counted = read.groupBy("kind", "part").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
-    rows = counted.orderBy(F.desc("n"), "part", "kind").limit(MAX_LEXICON).collect()
-    listed = person_names.where("name_part is not null").select("kind", F.lower("name_part").alias("part")).distinct().limit(MAX_LEXICON).collect()
-    of = {k: frozenset(r["part"] for r in [*rows, *listed] if r["kind"] == k) for k in ("given", "family", "town")}
-    return Lexicon(of["given"], of["family"], of["town"])
+    listed = person_names.where("name_part is not null").select("kind", F.lower("name_part").alias("part"))
+    return cut_lineage(counted.select("kind", "part").unionAll(listed).distinct())
+
+
+def with_lexicon(docs: DataFrame, person_names: DataFrame) -> tuple[DataFrame, Lexicon | None]:
+    """The texts, and the lexicon to replicate. Beyond ``MAX_LEXICON`` parts none: each text then brings its ``own`` parts.
+
+    Those are joined on what the text may look up. Texts of one key share their parts, which adds known parts only.
+    """
+    parts = learn_parts(docs, person_names)
+    rows = parts.limit(MAX_LEXICON + 1).collect()
+    if len(rows) <= MAX_LEXICON:
+        return _texts(docs), of_parts([(r["kind"], r["part"]) for r in rows])
+    texts = _texts(docs).withColumn("key", F.xxhash64("text"))
+    asked = texts.where("text is not null").select("key", "text", "suspect").mapInArrow(_read_lookups, "key bigint, town boolean, part string").distinct()
+    known = asked.join(parts.withColumn("town", F.col("kind") == "town"), ["town", "part"])
+    own = known.groupBy("key").agg(F.collect_list(F.struct("kind", "part")).alias("own"))  # at most the words of a text
+    return texts.join(own, "key", "left").select("doc_id", "text", "suspect", "own"), None
+
+
+def _batch_spans(batch: pa.RecordBatch, lexicon: Lexicon | None) -> list[list[Span]]:
+    texts, odd = [t or "" for t in batch["text"].to_pylist()], batch["suspect"].to_pylist()
+    if lexicon is not None:
+        return original_spans(texts, lexicon, odd)
+    own = [of_parts([(x["kind"], x["part"]) for x in parts or []]) for parts in batch["own"].to_pylist()]
+    return [original_spans([t], x, [o])[0] for t, x, o in zip(texts, own, odd, strict=True)]
 
 
 def find(docs: DataFrame, person_names: DataFrame) -> DataFrame:
     """``(doc_id, kind, found)``, one row per document, kind and distinct string as it stands in the text."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn_lexicon(docs, person_names))
+    rows, lexicon = with_lexicon(docs, person_names)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            rows = set()
-            for doc, text, found in zip(batch["doc_id"].to_pylist(), texts, original_spans(texts, shared.value, batch["suspect"].to_pylist()), strict=True):
-                rows |= {(doc, s.kind, text[s.start : s.end]) for s in found}
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            strings = set()
+            for doc, text, found in zip(batch["doc_id"].to_pylist(), texts, _batch_spans(batch, shared.value), strict=True):
+                strings |= {(doc, s.kind, text[s.start : s.end]) for s in found}
+            columns = list(zip(*strings, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
 
-    return _texts(docs).where("text is not null").mapInArrow(search, "doc_id bigint, kind string, found string").distinct()
+    return rows.where("text is not null").mapInArrow(search, "doc_id bigint, kind string, found string").distinct()
 
 
 def masked(docs: DataFrame, person_names: DataFrame) -> DataFrame:
     """``(doc_id, text, n_found)``: every row's text with placeholders in place of what was found, all else unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn_lexicon(docs, person_names))
+    rows, lexicon = with_lexicon(docs, person_names)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
             out, counts = [], []
-            for text, found in zip(texts, original_spans([t or "" for t in texts], shared.value, batch["suspect"].to_pylist()), strict=True):
+            for text, found in zip(texts, _batch_spans(batch, shared.value), strict=True):
                 pieces, at = [], 0
                 for s in found:
                     pieces += [text[at : s.start], PLACEHOLDER[s.kind]]
@@ -443,4 +513,4 @@ def masked(docs: DataFrame, person_names: DataFrame) -> DataFrame:
                 counts.append(len(found))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.string()), pa.array(counts, pa.int32())], schema=_MASKED_ARROW)
 
-    return _texts(docs).mapInArrow(mask, "doc_id bigint, text string, n_found int")
+    return rows.mapInArrow(mask, "doc_id bigint, text string, n_found int")

@@ -63,3 +63,17 @@ def test_tables(spark):
     assert got[1] == ("Prepared by [NAME], Legal Affairs. [NAME] ([EMAIL]) asked", 3) and got[2] == (None, 0) and got[3] == ("", 0)
     assert got[4][0] == long.replace("Tarvin Oselle", "[NAME]")
     assert pii.find(docs.where("false"), names.where("false")).count() == 0
+
+
+def test_a_lexicon_beyond_the_limit_is_joined(spark, monkeypatch):
+    cued = "Prepared by {} {}, Procurement. Lives at 12 King Street, {} 12345."
+    named = [("Omar", "Varkand", "Rasanah"), ("Nadia", "al-Oselle", "Nemeth Park"), ("Tarvin", "van Dorn", "Serrin Old Town"), ("Odette-Marie", "O’Dell", "Ilvane"), ("Ruta", "Jalvari", "Tolmera")]
+    data = [cued.format(*n) for n in named for _ in range(2)]
+    data += [f"seen: {g} {f} there, or {f}, {g}; {f.upper()}, X. and at 7 Queen Road, {t} today" for g, f, t in named]
+    data += ["للموظف هدى الحزموري.", "للموظف هدى الحزموري. x", "قال هدى الحزموري ثم", "farida ｖａｒｋａｎｄ", "", None]
+    docs = spark.createDataFrame([*enumerate(data)], "doc_id bigint, text string")
+    names = spark.createDataFrame([("Farida", "given", "en"), ("Fellaby", "family", "en"), (None, "given", None)], "name_part string, kind string, lang string")
+    want = rows(pii.find(docs, names)), rows(pii.masked(docs, names))
+    assert (10, "name", "Omar Varkand") in want[0] and (12, "address", "7 Queen Road, Serrin Old Town") in want[0]
+    monkeypatch.setattr(pii, "MAX_LEXICON", 3)
+    assert (rows(pii.find(docs, names)), rows(pii.masked(docs, names))) == want
