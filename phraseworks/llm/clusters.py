@@ -43,6 +43,8 @@ from phraseworks.session import cut_lineage
 HOT = 2000
 #: Powers of two between which the number of counter slots follows the number of records: at most 32 MB a table.
 MIN_SLOTS, MAX_SLOTS = 16, 22
+#: The distance of similar records, with room for the rounding of sums of distances: pruning must not lose an exact 1/2.
+REACH = 0.5 + 1e-9
 #: Leaves below a node of the tree.
 BRANCHING = 16
 
@@ -97,7 +99,7 @@ class FeatureTree:
     def insert(self, record: int, features: frozenset[int]) -> None:
         nearest, away = None, 2.0
         for i, (first, leaves) in enumerate(self.nodes):
-            if distance(first, features) - self.reach[i] > 0.5:
+            if distance(first, features) - self.reach[i] > REACH:
                 continue
             for leaf in leaves:
                 d = distance(leaf.first, features)
@@ -142,7 +144,7 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]]) -> list[tuple[int, in
     for i, a in enumerate(leaves):
         for j in range(i + 1, len(leaves)):
             b = leaves[j]
-            if distance(a.first, b.first) - a.radius - b.radius <= 0.5:  # else no member of one is similar to one of the other
+            if distance(a.first, b.first) - a.radius - b.radius <= REACH:  # else no member of one is similar to one of the other
                 order.append((a.ward(b), i, j))
     heapq.heapify(order)
     while order:
@@ -150,7 +152,7 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]]) -> list[tuple[int, in
         if find(i) == find(j):
             continue
         a, b = leaves[i], leaves[j]
-        link = next(((r, s) for r, x in a.members if distance(x, b.first) - b.radius <= 0.5 for s, y in b.members if similar(x, y)), None)
+        link = next(((r, s) for r, x in a.members if distance(x, b.first) - b.radius <= REACH for s, y in b.members if similar(x, y)), None)
         if link:
             links.append(link)
             parent[find(i)] = find(j)

@@ -115,3 +115,10 @@ def test_a_name_is_sought_among_all_members(spark):
     phrases = spark.createDataFrame([(k, k, 1, "pump seal", 0.1) for k in range(1, 7)], "phrase_id bigint, topic_key bigint, phrase_rank int, text string, df_ratio double")
     previews = spark.createDataFrame([(1, "Topic 1", None), (2, None, None), (3, "general topic", None), (5, "Pumps", None), (6, "Seals", None)], "topic_key bigint, name string, loaded_at timestamp")
     assert rows(clusters.describe_topics(topics, previews, phrases)) == [(1, 6, 6, "Pumps", [1, 2, 3])]
+
+
+def test_a_link_of_exactly_one_half_survives_rounding():
+    bucket = [(1, frozenset([1, 2, 3, 4, 5])), (2, frozenset([1, 2, 3, 4, 5, 6])), (3, frozenset([4, 5, 6]))]
+    assert clusters.similar(bucket[1][1], bucket[2][1]) and not clusters.similar(bucket[0][1], bucket[2][1])
+    links = clusters.bucket_links(bucket)
+    assert len(links) == 2 and (2, 3) in {tuple(sorted(x)) for x in links}
