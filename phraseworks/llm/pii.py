@@ -42,6 +42,8 @@ D = "[0-9٠-٩۰-۹]"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 #: The sign or words between the parts of an address; local part and domain are read from there to either side.
 AT = re.compile(r"@|\s*[(\[{<]\s*at\s*[)\]}>]\s*|\s+at\s+(?=[A-Za-z0-9-]+\s+dot\s)", re.I)
+#: Without the sign, "dot" or this, no AT leads to an address.
+BRACKETED_AT = re.compile(r"[(\[{<]\s*at\s*[)\]}>]", re.I)
 LOCAL = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]*$")
 DOMAIN = re.compile(rf"{LABEL}(?:(?:\.|\s*[(\[{{<]\s*dot\s*[)\]}}>]\s*|\s+dot\s+){LABEL})+", re.I)
 EXTENSION = rf"(?:[ ,]*(?:ext\.?|extension|x|تحويلة|داخلي)[ .:]*{D}{{1,6}})?"
@@ -169,8 +171,8 @@ def split_name(name: str) -> tuple[str, str]:
     return fold(first), fold(bare)
 
 
-#: Where a number may begin: one scan by character class, the patterns are then tried only there.
-NUMBER_START = re.compile(r"[+(0-9٠-٩۰-۹A-Z](?<![\w+./-].)")
+#: Where a number may begin: one scan by what all patterns share, these are tried there with lookbehinds of their own.
+NUMBER_START = re.compile(r"[+(\dA-Z](?<!\w.)")
 #: What may stand before the number of a room, building or box; an address begins there.
 BEFORE_NUMBER = re.compile(rf"(?<![\w-])(?:{ROOM}|Building|Bldg\.?|House|P\.?[ ]?O\.?[ ]?Box)[ ]+$", re.I)
 
@@ -257,8 +259,7 @@ def _addresses(text: str, starts: list[int], towns: frozenset[str]) -> Iterator[
 
 
 def _emails(text: str) -> Iterator[Span]:
-    low = text.lower()
-    if not any(x in low for x in ("@", "(at", "[at", "{at", "<at", "( at", "[ at", " dot ")):
+    if "@" not in text and "dot" not in text.lower() and not BRACKETED_AT.search(text):
         return
     for m in AT.finditer(text):
         a = m.start()

@@ -77,3 +77,15 @@ def test_a_lexicon_beyond_the_limit_is_joined(spark, monkeypatch):
     assert (10, "name", "Omar Varkand") in want[0] and (12, "address", "7 Queen Road, Serrin Old Town") in want[0]
     monkeypatch.setattr(pii, "MAX_LEXICON", 3)
     assert (rows(pii.find(docs, names)), rows(pii.masked(docs, names))) == want
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "want"),
+    [
+        ("email", "to jo { at } norvane.test today", ["jo { at } norvane.test"]), ("email", "to jo < at > norvane.test today", ["jo < at > norvane.test"]), ("email", "to jo (  AT ) norvane.test today", ["jo (  AT ) norvane.test"]),
+        ("email", "to jo at norvane dot\ntest today", ["jo at norvane dot\ntest"]), ("address", "No.12 King Street, Serrin 12345.", ["12 King Street, Serrin 12345"]), ("address", "c/12 King Street, Serrin 12345.", ["12 King Street, Serrin 12345"]),
+        ("phone", "acct GB26 ABCD 0055 5123 4567 A is", []), ("phone", "acct-GB26 ABCD 0055 5123 4567 A is", []), ("phone", "acct/GB26 ABCD 0055 5123 4567 A is", []),
+    ],
+)
+def test_no_gate_is_narrower_than_its_pattern(kind, text, want):
+    assert found(text, kind) == want
