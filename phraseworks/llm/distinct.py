@@ -56,9 +56,15 @@ def distinctiveness(terms: DataFrame, n_records: int, local: Column, record: str
     return scored.withColumn("score", F.when(usable, local * F.col("rarity")))
 
 
-def graph_of_words(words: DataFrame, n_records: int, window: int = WINDOW) -> DataFrame:
-    """``(record, word, degree, n, score)`` for records of words: degree times rarity."""
+def graph_of_words(words: DataFrame, n_records: int, window: int = WINDOW, alone: bool = False) -> DataFrame:
+    """``(record, word, degree, n, score)`` for records of words: degree times rarity.
+
+    ``alone``: words without a neighbour in their record have degree 0 there and count in n; else only words with edges do.
+    """
     weighted = degrees(words, window=window)
+    if alone:
+        held = words.select("record", F.explode("words").alias("word")).where("word <> ''").distinct()
+        weighted = held.join(weighted, ["record", "word"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return distinctiveness(weighted.withColumnRenamed("word", "term"), n_records, F.col("degree").cast("double")).withColumnRenamed("term", "word").select("record", "word", "degree", "n", "score")
 
 

@@ -74,7 +74,7 @@ def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "phrase_rows")
     total = table(spark, d, "topics_local").select("topic_key").distinct().count()
     phrases = distinct.phrase_rows(rows).select("record", "term").distinct().select("record", F.split("term", " ").alias("words"))
-    return distinct.graph_of_words(phrases, total).withColumnRenamed("record", "topic_key")
+    return distinct.graph_of_words(phrases, total, alone=True).withColumnRenamed("record", "topic_key")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import math
 
-from phraseworks.llm import distinct
+from phraseworks.llm import distinct, queries
 from tests.conftest import rows
 
 PHRASES = "phrase_id bigint, topic_key bigint, phrase_rank int, text string, df_ratio double, score string"
@@ -41,3 +41,12 @@ def test_graph_of_words_equals_brute_force(spark):
 def test_pieces_of_a_record_join(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (1, ["a", "b"])], "record bigint, words array<string>")
     assert rows(distinct.degrees(df)) == [(1, "a", 1), (1, "b", 2), (1, "c", 1)]
+
+
+def test_words_alone_count_in_n(spark, tmp_path):
+    data = [(1, 1, 1, "pump seal", 0.5), (2, 2, 1, "pump", 0.5), (3, 2, 2, "seal", 0.5), (4, 3, 1, "pump report", 0.5), (5, 4, 1, "only", 0.5)]
+    spark.createDataFrame(data, "phrase_id bigint, topic_key bigint, phrase_rank int, text string, df_ratio double").write.parquet(f"{tmp_path}/phrase_rows.parquet")
+    spark.createDataFrame([(k,) for k in range(1, 6)], "topic_key bigint").write.parquet(f"{tmp_path}/topics_local.parquet")
+    got = rows(queries.QUERIES["p5_graph_of_words"](spark, str(tmp_path)).select("topic_key", "word", "degree", "n", "score"))
+    pump, seal = math.log(5 / 3), math.log(5 / 2)
+    assert got == [(1, "pump", 1, 3, pump), (1, "seal", 1, 2, seal), (2, "pump", 0, 3, 0.0), (2, "seal", 0, 2, 0.0), (3, "pump", 1, 3, pump), (3, "report", 1, 1, None), (4, "only", 0, 1, None)]
