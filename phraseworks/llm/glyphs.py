@@ -269,7 +269,8 @@ _RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("ch
 BATCH_CODES = 4_000_000
 
 
-def _pieces(texts: list[str]):
+def pieces(texts: list[str]):
+    """Bounds of runs of texts of at most ``BATCH_CODES`` code points, single longer ones by themselves."""
     a = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > BATCH_CODES:
@@ -286,7 +287,7 @@ def _consistent(column: pd.Series) -> pd.DataFrame:
     texts = ["" if z else s for s, z in zip(column, null, strict=True)]
     out: list[str | None] = []
     changed: list[bool] = []
-    for a, b in _pieces(texts):
+    for a, b in pieces(texts):
         x = consistent_batch(texts[a:b])
         out += x.rebuilt()
         changed += x.changed.tolist()

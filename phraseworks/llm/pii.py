@@ -5,10 +5,13 @@ which are business data and block what overlaps them) confirm or weaken them; wo
 above the threshold count, overlaps go to the higher score, then the longer span. Patterns run on the consistent form of
 the text (see ``glyphs``), spans are carried back to the text as it stands.
 
-Names and towns have an open vocabulary, so two passes: the first reads, over all documents, the parts of names and the
-towns that stand in unmistakable places (``Prepared by ..., Department``; ``..., Town 12345``); those held by at least
-``MIN_SUPPORT`` documents, with the given list of names, are the lexicon of the second. Up to ``MAX_LEXICON`` parts (about
-10 MB) it is replicated; a larger one is joined to the texts by what each may look up, with the same result.
+Names have an open vocabulary. A proposal is anything of a name's shape (``Given Family``, ``Family, Given``, initials); its
+score is the sum of what speaks for it: capitals, a title, a word that persons follow (``by``, ``contact``, ``dear``), a
+closing line, what follows (an address, a telephone, ``lives at``), parts that are known names; and against it: words of
+organisations, places and dates, or a company word behind it. Two passes: the first reads, over all documents, the parts
+of names whose context alone suffices, and the towns before postal codes; those held by two different documents at least
+(re-sent rows are one document), with the given list of names, are the lexicon of the second. Up to ``MAX_LEXICON`` parts
+(about 10 MB) it is replicated; a larger one is joined to the texts by what each may look up, with the same result.
 
 Defined results: null gives null and no spans; empty texts have none; a document's row is found per distinct string and
 kind; re-sent rows count once; texts of any length are read whole; nothing but the found spans changes.
@@ -16,27 +19,28 @@ kind; re-sent rows count once; texts of any length are read whole; nothing but t
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from typing import NamedTuple
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phraseworks.llm.glyphs import consistent_batch, suspect
+from phraseworks.llm.glyphs import consistent_batch, pieces, suspect
 from phraseworks.session import cut_lineage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
 THRESHOLD = 0.5
-MIN_SUPPORT = 2
 MAX_LEXICON = 100_000
 #: Characters of context on either side of a span.
 NEAR = 40
+#: Characters a name may reach before or behind a known part of it.
+LONGEST_NAME = 80
 
 D = "[0-9٠-٩۰-۹]"
 LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -51,19 +55,26 @@ PHONE = re.compile(
     rf"(?<![\w+./-])(?:\+{D}{{8,15}}|\+{D}{{1,3}}[ .-]?\(?{D}{{1,4}}\)?[ .-]?{D}{{3,4}}[ .-]?{D}{{3,4}}|\+{D}{{1,3}}[ .-]{D}(?:[ .-]{D}{{2}}){{4}}|\+{D}{{1,3}}(?:[ .-]{D}{{2}}){{4}}"
     rf"|00{D}{{2,3}}(?:[ .-]{D}{{2,4}}){{2,4}}"
     rf"|\({D}{{2,4}}\)[ .-]?{D}{{3}}[ .-]{D}{{3,4}}"
-    rf"|{D}{{3}}\.{D}{{3}}\.{D}{{4}}"
-    rf"|[0٠۰]{D}{{3}}[ -]{D}{{3}}[ -]{D}{{3}}"
+    rf"|{D}{{3}}\.{D}{{3}}\.{D}{{4}}|{D}{{3}}-{D}{{3}}-{D}{{4}}"
+    rf"|[0٠۰]{D}{{2,4}}[ -]{D}{{3,4}}[ -]{D}{{3,4}}"
     rf"|[0٠۰]{D}{{8,10}}){EXTENSION}(?![\w@]|[-./]{D})",
     re.I,
 )
+#: Digits in any grouping: a telephone where the word before says so.
+LABELLED = re.compile(rf"(?<![\w+./-])\+?\(?{D}(?:[ .()-]{{0,2}}{D}){{6,14}}{EXTENSION}(?![\w@]|[-./]{D})", re.I)
+PHONE_BEFORE = re.compile(r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|dial|whatsapp)\b|هاتف|جوال|اتصل)[\s.:#-]*(?:no\b|number\b|at\b|on\b|me\b|us\b|على)?[\s.:#]*(?:at\b|on\b)?\s*$", re.I)
+#: A telephone word and what stands before the number it announces.
+PHONE_WORD = re.compile(r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|dial|whatsapp)\b|هاتف|جوال|اتصل)(?:[\s.:#-]|no\b|number\b|at\b|on\b|me\b|us\b|على)*(?=[+(0-9٠-٩۰-۹])", re.I)
+DATE = re.compile(rf"{D}{{4}}[-.]{D}{{2}}[-.]{D}{{2}}$|{D}{{1,2}}[-.]{D}{{1,2}}[-.]{D}{{4}}$")
 IDENTITY = re.compile(
-    rf"(?<![\w./-])(?:(?P<national>[12١٢۱۲]-{D}{{4}}-{D}{{4}}-{D}|[12١٢۱۲]{D}{{9}})|(?P<social>{D}{{3}}(?P<s>[- ]){D}{{2}}(?P=s){D}{{4}})|(?P<passport>[A-Z]{{1,2}}[- ]?{D}{{7}}))(?![\w@]|[-./]{D})"
+    rf"(?<![\w./-])(?:(?P<national>[12١٢۱۲]-{D}{{4}}-{D}{{4}}-{D}|[12١٢۱۲]{D}{{9}})|(?P<social>{D}{{3}}(?P<s>[- ]){D}{{2}}(?P=s){D}{{4}})|(?P<passport>[A-Z]{{1,2}}[- ]?{D}{{7}})|(?P<bare>{D}{{6,15}}))(?![\w@]|[-./]{D})"
 )
 ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
 ID_BEFORE = re.compile(r"(?:\bnational\s+id\b|\bssn\b|\bsocial\s+security\b|\bpassport\b|\bid\b|\bidentity\b|هوية|جواز|الضمان\s+الاجتماعي)[^\n]{0,18}$", re.I)
 BUSINESS_BEFORE = re.compile(r"(?:\bserial\b|\breference\b|\bref\b|\bticket\b|\binvoice\b|\border\b|\bvendor\b|\bpo\b|\bpermit\b|\bagreement\b|\bemployee\s+id\b|\baccount\b|\biban\b|الوظيفي|الفاتورة|التسلسلي|المرجع|الحساب)[\s:#.no]*$", re.I)
 NATIONAL_BEFORE = re.compile(r"(?:national\s+id|هوية|\bid)\W*(?:no\.?|number)?\W*$", re.I)
 PASSPORT_BEFORE = re.compile(r"(?:passport|جواز|\bid)\W*(?:السفر|no\.?|number|رقم)?\W*$", re.I)
+BARE_BEFORE = re.compile(r"(?:\bnational\s+id|\bidentity|\bssn|\bsocial\s+security|\bpassport|هوية|جواز)\W*(?:no\.?|number|card|رقم|السفر)?\W*$", re.I)
 BUSINESS_PREFIX = frozenset(["PO", "CC", "WP", "INV", "EMP", "VND", "MSA", "PRJ"])
 
 STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Crescent|Cres|Drive|Dr|Boulevard|Blvd|Way|Close|Place|Pl|Square|Sq|Terrace|Row)\b\.?"
@@ -79,50 +90,141 @@ ADDRESS_AR = re.compile(rf"(?<!\w)(?:(?:شقة|مبنى|بناية|عمارة|ف
 BOX_AR = re.compile(rf"(?<!\w)(?:ص\.?\s?ب\.?|صندوق\s+بريد)\s+{D}+(?P<sep>\s*[،,]\s*|[ ]*\n\s*)(?P<town>[^\W\d_]+(?:[ ][^\W\d_]+){{0,2}})")
 POSTCODE = re.compile(rf"[ ,،]{{1,2}}{D}{{5}}(?:-{D}{{4}})?(?![\w-])")
 
-PART = r"[^\W\d_؀-ۿ]{2,}(?:[-'’][^\W\d_؀-ۿ]+)*"
-FAMILY = rf"(?:(?:al|el|van|de|bin|ibn)[- ])?{PART}"
+PART = r"(?:[^\W\d_؀-ۿ]['’])?[^\W\d_؀-ۿ]{2,}(?:[-'’][^\W\d_؀-ۿ]+)*"
+ARABIC = re.compile(r"[؀-ۿ]")
+PARTICLES = ("al", "el", "van", "de", "bin", "ibn")
+FAMILY = rf"(?:(?:{'|'.join(PARTICLES)})[- ])?{PART}"
 INITIAL = r"[^\W\d_؀-ۿ]\."
 NAME = rf"(?:{FAMILY},[ ](?:{PART}(?:[ ]{INITIAL})?|{INITIAL}(?:[ ]?{INITIAL})?)|{PART}(?:[ ]{INITIAL})*[ ]{FAMILY}|(?:{INITIAL}[ ]?){{1,2}}{FAMILY})"
-#: Places where only a person's name stands; the shape must fill the place.
-CUES = tuple(
-    (words, re.compile(x, re.I))
-    for words, x in (
-        ("signed by", rf"\bsigned[ ]by[ ](?P<a>{NAME})[ ]and[ ](?P<b>{NAME})(?=[\s.,;]|$)"),
-        ("interviewed", rf"\binterviewed[ ](?P<a>{NAME})(?=[ ]on[ ])"),
-        ("prepared by", rf"\bprepared[ ]by[ ](?P<a>{NAME})(?=,)"),
-        ("contact ", rf"\bcontact[ ](?P<a>{NAME})(?=[ ]at[ ])"),
-        ("attn", rf"\battn\.?:?[ ](?P<a>{NAME})(?=:)"),
-        ("dear ", rf"\bdear[ ](?:mr|ms|mrs|miss|dr|eng|prof)\.?[ ](?P<a>{NAME})(?=,)"),
-        ("regards,", rf"\bregards,[ ]*\n[ ]*(?P<a>{NAME})(?=[ ]*(?:\n|$))"),
-        ("emergency contact", rf"\bemergency[ ]contact[ ]*[-–:][ ]*(?P<a>{NAME})(?=,[ ]*(?:tel|phone|mobile))"),
-        ("ask ", rf"\bask[ ](?P<a>{NAME})(?=[ ]whether)"),
-        ("copied for", rf"\bcopied[ ]for[ ](?P<a>{NAME})(?=[\s.;]|$)"),
-        ("on file", rf"\b(?:id|ssn|passport)\b[^\n.]{{3,24}}[ ]of[ ](?P<a>{NAME})(?=[ ]is[ ]on[ ]file)"),
-    )
+PART_AR = r"[ء-غف-ْ]{2,}"
+GIVEN_AR = rf"(?!ال){PART_AR}"
+NAME_AR = rf"(?:{GIVEN_AR}[ ]ال{PART_AR}|ال{PART_AR}[،,][ ]{GIVEN_AR})"
+NAME_AT = re.compile(rf"{NAME}(?![\w@]|-\d)", re.I)
+NAME_AR_AT = re.compile(rf"{NAME_AR}(?!\w)")
+#: Two given names before a known family name.
+THREE = re.compile(rf"{PART}[ ]{PART}[ ]{FAMILY}(?![\w@])", re.I)
+#: Context words before a name by kind, what may stand between them and it, and how much each kind says.
+CUE = {
+    w: kind
+    for kind, listed in {
+        "title": "mr mrs ms miss mx dr prof professor eng sir madam sheikh judge captain capt rev",
+        "close": "regards sincerely faithfully truly best wishes thanks cheers",
+        "strong": "by contact call phone ask tell email e-mail dear attn attention interviewed interview met meet named name employee signatory witness applicant tenant caller author undersigned",
+        "weak": "from to cc for of with and told asks notify",
+    }.items()
+    for w in listed.split()
+}
+GAP = {
+    "title": re.compile(r"\.?[ ]+"),
+    "close": re.compile(r"[,!.]?[ ]*\n\s*|[,!.][ ]+"),
+    "strong": re.compile(r"(?:[ ]is)?[ ]*[.:,–-]*[ ]+"),
+    "weak": re.compile(r"[:,]?[ ]+"),
+}
+BEFORE_AR = re.compile(
+    r"(?<!\w)(?:(?P<title>(?:السيدة?|الآنسة)[ ])|(?P<strong>للتواصل[ ]مع[ ]|للموظفة?[ ]|(?:ال)?(?:اسم|إسم)[ ]?:?[ ]|باسم[ ]|اتصل[ ]ب)"
+    r"|(?P<role>(?:المهندسة?|الدكتورة?|الأستاذة?)[ ])|(?P<weak>وقعت?[ ]|مع[ ]|من[ ]قبل[ ]|بواسطة[ ]))"
 )
-#: What stands right after a name; the name is read backwards from there, from at most so many characters before.
-AFTER_NAME = re.compile(r"[ ](?:\((?=[^()\s]{1,80}(?:@|[ ][(\[]at[)\]][ ]))|(?:lives|resides)[ ]at[ ])", re.I)
-NAME_BEFORE = re.compile(rf"(?<![\w.,-]){NAME}$", re.I)
-LONGEST_NAME = 80
+WEIGHT = {"title": 0.4, "close": 0.4, "strong": 0.35, "weak": 0.15, "none": 0.0}
+WEIGHT_AR = {"title": 0.5, "strong": 0.4, "role": 0.3, "weak": 0.25, "none": 0.0}
+#: What follows a name: an address in brackets, a telephone, a home.
+AFTER = re.compile(r"[ ]\((?=[^()\s]{1,80}(?:@|[ ][(\[]at[)\]][ ]))|[ ](?:lives|resides)[ ]at[ ]|,[ ](?:tel|phone|mobile)\b|[ ](?:at|on)[ ](?=[+(]?\d[\d ().-]{6}|[^\s@]{1,64}@)", re.I)
+AFTER_WORDS = {"lives": 1, "resides": 1, "tel": 2, "phone": 2, "mobile": 2, "at": 1, "on": 1}
+CONTEXT = CUE.keys() | AFTER_WORDS.keys()
+AFTER_WEAK = re.compile(r"[ ](?:said|says|asked|wrote|called|visited|signed|joined|left|resigned|confirmed|agreed)\b", re.I)
+AFTER_AR = re.compile(r"[ ](?:على[ ](?:الرقم|البريد)|راجعت?[ ]|يسكن|تسكن|يقيم|تقيم)|[ ]\(")
+NEXT = re.compile(r"[ ](?:and|&)[ ]", re.I)
+NEXT_AR = re.compile(r"[ ](?:مع|و)[ ]?")
+WORD = re.compile(r"(?:\b(?:tel|telephone|phone|mobile|cell|fax|call|dial|whatsapp)\b|هاتف|جوال|اتصل)(?:[\s.:#-]|no\b|number\b|at\b|on\b|me\b|us\b|على)*(?=[+(0-9٠-٩۰-۹])", re.I)
+DATE = re.compile(rf"{D}{{4}}[-.]{D}{{2}}[-.]{D}{{2}}$|{D}{{1,2}}[-.]{D}{{1,2}}[-.]{D}{{4}}$")
+IDENTITY = re.compile(
+    rf"(?<![\w./-])(?:(?P<national>[12١٢۱۲]-{D}{{4}}-{D}{{4}}-{D}|[12١٢۱۲]{D}{{9}})|(?P<social>{D}{{3}}(?P<s>[- ]){D}{{2}}(?P=s){D}{{4}})|(?P<passport>[A-Z]{{1,2}}[- ]?{D}{{7}})|(?P<bare>{D}{{6,15}}))(?![\w@]|[-./]{D})"
+)
+ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
+ID_BEFORE = re.compile(r"(?:\bnational\s+id\b|\bssn\b|\bsocial\s+security\b|\bpassport\b|\bid\b|\bidentity\b|هوية|جواز|الضمان\s+الاجتماعي)[^\n]{0,18}$", re.I)
+BUSINESS_BEFORE = re.compile(r"(?:\bserial\b|\breference\b|\bref\b|\bticket\b|\binvoice\b|\border\b|\bvendor\b|\bpo\b|\bpermit\b|\bagreement\b|\bemployee\s+id\b|\baccount\b|\biban\b|الوظيفي|الفاتورة|التسلسلي|المرجع|الحساب)[\s:#.no]*$", re.I)
+NATIONAL_BEFORE = re.compile(r"(?:national\s+id|هوية|\bid)\W*(?:no\.?|number)?\W*$", re.I)
+PASSPORT_BEFORE = re.compile(r"(?:passport|جواز|\bid)\W*(?:السفر|no\.?|number|رقم)?\W*$", re.I)
+BARE_BEFORE = re.compile(r"(?:\bnational\s+id|\bidentity|\bssn|\bsocial\s+security|\bpassport|هوية|جواز)\W*(?:no\.?|number|card|رقم|السفر)?\W*$", re.I)
+BUSINESS_PREFIX = frozenset(["PO", "CC", "WP", "INV", "EMP", "VND", "MSA", "PRJ"])
+
+STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Crescent|Cres|Drive|Dr|Boulevard|Blvd|Way|Close|Place|Pl|Square|Sq|Terrace|Row)\b\.?"
+NAMED = r"[A-Za-z][\w'’-]*(?:[ ][A-Za-z][\w'’-]*){0,2}?"
+ROOM = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Villa|Floor|Room|Office)"
+BREAK = r"(?:[ ]*,\s*|[ ]*\n\s*)"
+ADDRESS = re.compile(
+    rf"(?<![\w-])(?:(?:{ROOM}[ ]+\d+[A-Za-z]?{BREAK})?(?:(?:Building|Bldg\.?|House|Villa)[ ]+\d+[A-Za-z]?{BREAK}|\d{{1,5}}[A-Za-z]?,?[ ]+){NAMED}[ ]+{STREET}(?:{BREAK}{ROOM}[ ]+\d+[A-Za-z]?)?"
+    rf"|P\.?[ ]?O\.?[ ]?Box[ ]+\d+)(?P<sep>{BREAK})(?P<town>[^\W\d_][\w'’-]*(?:[ ][^\W\d_][\w'’-]*){{0,2}})",
+    re.I,
+)
+ADDRESS_AR = re.compile(rf"(?<!\w)(?:(?:شقة|مبنى|بناية|عمارة|فيلا)\s+{D}+\s*[،,]\s*)?شارع\s+[^\W\d_]+(?:[ ][^\W\d_]+){{0,2}}?\s+{D}+(?P<sep>\s*[،,]\s*|[ ]*\n\s*)(?P<town>[^\W\d_]+(?:[ ][^\W\d_]+){{0,2}})")
+BOX_AR = re.compile(rf"(?<!\w)(?:ص\.?\s?ب\.?|صندوق\s+بريد)\s+{D}+(?P<sep>\s*[،,]\s*|[ ]*\n\s*)(?P<town>[^\W\d_]+(?:[ ][^\W\d_]+){{0,2}})")
+POSTCODE = re.compile(rf"[ ,،]{{1,2}}{D}{{5}}(?:-{D}{{4}})?(?![\w-])")
+
+PART = r"(?:[^\W\d_؀-ۿ]['’])?[^\W\d_؀-ۿ]{2,}(?:[-'’][^\W\d_؀-ۿ]+)*"
+ARABIC = re.compile(r"[؀-ۿ]")
+PARTICLES = ("al", "el", "van", "de", "bin", "ibn")
+FAMILY = rf"(?:(?:{'|'.join(PARTICLES)})[- ])?{PART}"
+INITIAL = r"[^\W\d_؀-ۿ]\."
+NAME = rf"(?:{FAMILY},[ ](?:{PART}(?:[ ]{INITIAL})?|{INITIAL}(?:[ ]?{INITIAL})?)|{PART}(?:[ ]{INITIAL})*[ ]{FAMILY}|(?:{INITIAL}[ ]?){{1,2}}{FAMILY})"
 PART_AR = r"[ء-غف-ْ]{2,}"
 GIVEN_AR = rf"(?!ال){PART_AR}"
 NAME_AR = rf"(?:{GIVEN_AR}[ ]ال{PART_AR}|ال{PART_AR}[،,][ ]{GIVEN_AR})"
-CUES_AR = tuple(
-    (words, re.compile(x))
-    for words, x in (
-        ("للتواصل", rf"(?<!\w)للتواصل[ ]مع[ ](?P<a>{NAME_AR})(?=[ ]على[ ])"),
-        ("للموظف", rf"(?<!\w)للموظفة?[ ](?P<a>{NAME_AR})(?=[\s.،]|$)"),
-        ("وقع", rf"(?<!\w)وقعت?[ ](?P<a>{NAME_AR})[ ]مع[ ](?P<b>{NAME_AR})(?=[ ]على[ ])"),
-        ("السيد", rf"(?<!\w)السيدة?[ ](?P<a>{NAME_AR})(?=[ ]راجعت?[ ])"),
-        ("راجع", rf"(?<!\w)(?:المهندسة?|الدكتورة?|الأستاذة?)[ ](?P<a>{GIVEN_AR}[ ]ال{PART_AR})(?=[ ]راجعت?[ ])"),
-    )
+NAME_AT = re.compile(rf"{NAME}(?![\w@]|-\d)", re.I)
+NAME_AR_AT = re.compile(rf"{NAME_AR}(?!\w)")
+#: Two given names before a known family name.
+THREE = re.compile(rf"{PART}[ ]{PART}[ ]{FAMILY}(?![\w@])", re.I)
+#: Context words before a name by kind, what may stand between them and it, and how much each kind says.
+CUE = {
+    w: kind
+    for kind, listed in {
+        "title": "mr mrs ms miss mx dr prof professor eng sir madam sheikh judge captain capt rev",
+        "close": "regards sincerely faithfully truly best wishes thanks cheers",
+        "strong": "by contact call phone ask tell email e-mail dear attn attention interviewed interview met meet named name employee signatory witness applicant tenant caller author undersigned",
+        "weak": "from to cc for of with and told asks notify",
+    }.items()
+    for w in listed.split()
+}
+GAP = {
+    "title": re.compile(r"\.?[ ]+"),
+    "close": re.compile(r"[,!.]?[ ]*\n\s*|[,!.][ ]+"),
+    "strong": re.compile(r"(?:[ ]is)?[ ]*[.:,–-]*[ ]+"),
+    "weak": re.compile(r"[:,]?[ ]+"),
+}
+BEFORE_AR = re.compile(
+    r"(?<!\w)(?:(?P<title>(?:السيدة?|الآنسة)[ ])|(?P<strong>للتواصل[ ]مع[ ]|للموظفة?[ ]|(?:ال)?(?:اسم|إسم)[ ]?:?[ ]|باسم[ ]|اتصل[ ]ب)"
+    r"|(?P<role>(?:المهندسة?|الدكتورة?|الأستاذة?)[ ])|(?P<weak>وقعت?[ ]|مع[ ]|من[ ]قبل[ ]|بواسطة[ ]))"
 )
-#: Any place: counts only with the lexicon's consent.
-ANYWHERE = re.compile(rf"(?<![\w@.-]){NAME}(?![\w@])", re.I)
+WEIGHT = {"title": 0.4, "close": 0.4, "strong": 0.35, "weak": 0.15, "none": 0.0}
+WEIGHT_AR = {"title": 0.5, "strong": 0.4, "role": 0.3, "weak": 0.25, "none": 0.0}
+#: What follows a name: an address in brackets, a telephone, a home.
+AFTER = re.compile(r"[ ]\((?=[^()\s]{1,80}(?:@|[ ][(\[]at[)\]][ ]))|[ ](?:lives|resides)[ ]at[ ]|,[ ](?:tel|phone|mobile)\b|[ ](?:at|on)[ ](?=[+(]?\d[\d ().-]{6}|[^\s@]{1,64}@)", re.I)
+AFTER_WORDS = {"lives": 1, "resides": 1, "tel": 2, "phone": 2, "mobile": 2, "at": 1, "on": 1}
+CONTEXT = CUE.keys() | AFTER_WORDS.keys()
+AFTER_WEAK = re.compile(r"[ ](?:said|says|asked|wrote|called|visited|signed|joined|left|resigned|confirmed|agreed)\b", re.I)
+AFTER_AR = re.compile(r"[ ](?:على[ ](?:الرقم|البريد)|راجعت?[ ]|يسكن|تسكن|يقيم|تقيم)|[ ]\(")
+NEXT = re.compile(r"[ ](?:and|&)[ ]", re.I)
+NEXT_AR = re.compile(r"[ ](?:مع|و)[ ]?")
+NAME_BEFORE = re.compile(rf"(?<![\w.,-]){NAME}$", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-ANYWHERE_AR = re.compile(rf"(?<!\w){NAME_AR}(?!\w)")
-COMPANY_AFTER = re.compile(r"^[ ,]*(?:holding|group|trading|consulting|contracting|engineering|industrial|supplies|utilities|freight|services|water|power|systems|works|partners|house|llc|ltd|est|co|inc|station|yard|field|basin|ridge|terminal|depot)\b", re.I)
-TITLES = frozenset(["mr", "ms", "mrs", "dr", "eng", "miss", "prof", "dear", "regards", "and", "or", "the", "for", "attn", "ask", "by", "cc"])
+COMPANY_AFTER = re.compile(r"^[ ,]*(?:holding|group|trading|consulting|contracting|engineering|industrial|supplies|utilities|freight|services|water|power|systems|works|partners|house|llc|ltd|est|co|inc|corp|gmbh|station|yard|field|basin|ridge|terminal|depot)\b", re.I)
+#: Words that no part of a person's name is: function words, titles, and words of organisations, places and dates.
+NO_NAME = frozenset(
+    "mr mrs ms miss mx dr eng prof sir madam dear regards and or the for attn ask by cc to of in on at from with a an this that these those we you he she they it his her our your their my no not all any each every "
+    "id ids ssn tel fax mobile passport emergency interviewed interview prepared written signed approved reviewed kept copied sent met meet tell phone email name named reach cell note notes re fwd subject from date "
+    "both please thanks best sincerely when while if as once until unless after before because although though since so than then there here who what which how why yes hello hi good see call contact "
+    "is are was were be been has have had do does did will would can could may might must shall should".split()
+) | frozenset(
+    "affairs audit auditor authority accounts account agency assets asset assurance bank block board branch building bureau capital center centre client clinic college committee company consulting contracting controls "
+    "control corporation council customer data department depot desk division engineering enterprise facilities facility field finance foundation freight fund governance group hiring holding hospital hotel house human "
+    "industrial institute integrity internal laboratory legal limited logistics management manager marketing ministry office officer operations partners payable payroll permit planning plant police port procurement project "
+    "purchasing quality receivable resources safety sales school security service services site society staff station store supplies support systems team technical technology terminal trading treasury union unit university "
+    "utilities vendor warehouse water works yard zone basin ridge wadi umm qasr street road avenue lane court drive box floor room annex appendix section article clause table figure page version invoice order agreement "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december today tomorrow yesterday morning evening".split()
+)
+NO_NAME_AR = frozenset(
+    "حسب بعد قبل خلال ضمن فوق تحت حول دون بين مع على عن من إلى الى في عند لدى منذ حتى كما بينما عندما لأن لكن حيث ثم أو او بموجب جانب هذا هذه ذلك تلك كل بعض غير قد لم لن إن أن كان كانت "
+    "قسم إدارة ادارة مركز شركة مؤسسة وزارة هيئة بنك ميناء محطة مبنى مدير فريق لجنة مشروع عقد أمر رقم فاتورة تصريح شارع وادي قصر حوض حقل ساحة أم مدينة".split()
+)
 
 
 class Span(NamedTuple):
@@ -203,6 +305,10 @@ def _numbers(text: str, starts: list[int]) -> Iterator[Span]:
             before = text[max(0, m.start() - NEAR) : m.start()]
             score = 0.7 - 0.5 * bool(BUSINESS_BEFORE.search(before)) - 0.3 * bool(NATIONAL_BEFORE.search(before))
             yield Span(m.start(), m.end(), "phone", score)
+    for label in PHONE_WORD.finditer(text):
+        at = label.end()
+        if (m := LABELLED.match(text, at)) and free(m) and PHONE_BEFORE.search(text, max(0, at - NEAR), at) and not DATE.match(m.group()):
+            yield Span(m.start(), m.end(), "phone", 0.6)
     for m in _at_starts(text, starts, IDENTITY):
         if not free(m):
             continue
@@ -212,6 +318,8 @@ def _numbers(text: str, starts: list[int]) -> Iterator[Span]:
             score = 0.3 + 0.1 * luhn(digits(m.group())) + 0.1 * ("-" in m.group()) + 0.4 * bool(ID_BEFORE.search(before)) - 0.6 * business
         elif m["social"]:
             score = 0.5 + 0.3 * bool(ID_BEFORE.search(before)) - 0.5 * business
+        elif m["bare"]:
+            score = 0.1 + 0.5 * bool(BARE_BEFORE.search(before)) - 0.5 * business
         else:
             known = re.match(r"[A-Z]+", m.group()).group() not in BUSINESS_PREFIX
             score = (0.3 + 0.5 * bool(PASSPORT_BEFORE.search(before)) - 0.5 * business) * known
@@ -270,70 +378,147 @@ def _emails(text: str) -> Iterator[Span]:
             yield Span(local.start(), domain.end(), "email", 0.95)
 
 
-def _cued(text: str) -> Iterator[tuple[int, int]]:
-    low = text.lower()
-    for patterns in (CUES, CUES_AR):
-        for words, pattern in patterns:
-            if words in low:
-                for m in pattern.finditer(text):
-                    yield m.span("a")
-                    if "b" in pattern.groupindex:
-                        yield m.span("b")
-    for m in AFTER_NAME.finditer(text):
-        if name := NAME_BEFORE.search(text, max(0, m.start() - LONGEST_NAME), m.start()):
-            yield name.span()
+NOTHING = Lexicon(frozenset(), frozenset(), frozenset())
 
 
-@functools.lru_cache(maxsize=4)
-def _automaton(families: frozenset[str]):
-    made = ahocorasick.Automaton()
-    for f in families:
-        made.add_word(f, len(f))
-    made.make_automaton()
-    return made if families else None
+def _initial(given: str, name: str) -> bool:
+    return not given and "." in name
 
 
-def _family_words(text: str, families: frozenset[str]) -> Iterator[tuple[int, int]]:
-    """Where whole words of the text are known family names, in one pass over the text for all names."""
-    low = text.lower().replace("’", "'")
-    automaton = _automaton(families)
-    if automaton is None:
-        return
-    if len(low) != len(text):  # a letter whose lower case is longer moved the positions
-        yield from (m.span() for m in WORD.finditer(text) if fold(m.group()) in families)
-        return
-    for last, n in automaton.iter(low):
-        start, stop = last - n + 1, last + 1
-        if (start == 0 or not low[start - 1].isalnum()) and (stop == len(low) or not low[stop].isalnum()):
-            yield start, stop
+def name_score(text: str, a: int, b: int, context: float, lexicon: Lexicon) -> float:
+    """The score of the name at ``text[a:b]``: ``context`` is what the words before it say."""
+    name = text[a:b]
+    given, family = split_name(name)
+    words = [fold(w) for w in WORD.findall(name)]
+    if not family or any(w in NO_NAME for w in words if len(w) > 1 and w not in PARTICLES):
+        return 0.0
+    if COMPANY_AFTER.match(text[b : b + 24]):
+        return 0.0
+    known = 0.3 * (given in lexicon.given) + 0.25 * (family in lexicon.family)
+    capitals = all(w[0].isupper() for w in WORD.findall(name) if w.lower() not in PARTICLES and not w.lower().startswith(("al-", "el-")))
+    context += 0.3 * bool(AFTER.match(text, b)) + 0.15 * bool(AFTER_WEAK.match(text, b)) + 0.25 * _initial(given, name)
+    if capitals:
+        return context + known + 0.2
+    return context + known - 0.2 * (known < 0.5 and not (_initial(given, name) and known))
+
+
+def name_score_ar(text: str, a: int, b: int, context: float, lexicon: Lexicon) -> float:
+    given, family = split_name(text[a:b])
+    if given in NO_NAME_AR or given[1:] in NO_NAME_AR or family in NO_NAME_AR:
+        return 0.0
+    return 0.1 + context + 0.3 * (given in lexicon.given) + 0.25 * (family in lexicon.family) + 0.2 * bool(AFTER_AR.match(text, b))
+
+
+class Words:
+    """The words of a text: where they begin, and their folded forms."""
+
+    def __init__(self, text: str):
+        self.text = text
+        low = fold(text)
+        if len(low) == len(text):
+            self.form, self.start = WORD.findall(low), [m.start() for m in WORD.finditer(low)]
+        else:  # a letter whose lower case is longer moved the positions
+            self.form, self.start = [fold(w) for w in WORD.findall(text)], [m.start() for m in WORD.finditer(text)]
+
+    def end(self, i: int) -> int:
+        return WORD.match(self.text, self.start[i]).end()
+
+    def of(self, listed: Set[str]) -> list[int]:
+        return [i for i, w in enumerate(self.form) if w in listed]
+
+    def starts_before(self, i: int, at: int, n: int = 4) -> list[int]:
+        """Where up to ``n`` words before word ``i`` begin, no more than ``LONGEST_NAME`` characters before ``at``; the earliest first."""
+        return [x for x in self.start[max(0, i - n) : i] if x >= at - LONGEST_NAME]
+
+
+def _context_names(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, int, float]]:
+    """Names that stand where their context points, with their scores, from the threshold on."""
+    text, afters = words.text, []
+    for i in words.of(CONTEXT):
+        w = words.form[i]
+        if w in AFTER_WORDS:
+            afters.append((i, words.start[i] - AFTER_WORDS[w]))
+        if not (kind := CUE.get(w)) or not (gap := GAP[kind].match(text, words.end(i))):
+            continue
+        at = gap.end()
+        while at < len(text) and (text[at].isupper() or kind in ("close", "title")) and (name := NAME_AT.match(text, at)):
+            a, b = name.span()
+            alone = kind == "close" and (b == len(text) or text[b : b + 2].lstrip(" ")[:1] == "\n")
+            score = name_score(text, a, b, WEIGHT[kind] + 0.35 * (alone and not text[a].isupper()), lexicon)
+            if score < THRESHOLD:
+                break
+            yield a, b, score
+            after = NEXT.match(text, b)
+            at = after.end() if after else len(text)
+    at = text.find(" (")
+    while at >= 0:
+        afters.append((bisect.bisect_left(words.start, at), at))
+        at = text.find(" (", at + 1)
+    for i, at in afters:
+        if at > 0 and text[at - 1].isalpha() and AFTER.match(text, at):
+            for start in words.starts_before(i, at, 3):
+                if (start == 0 or text[start - 1] not in "@-_.") and (m := NAME_AT.match(text, start)) and m.end() == at and (score := name_score(text, start, at, 0.0, lexicon)) >= THRESHOLD:
+                    yield start, at, score
+                    break
+
+
+def _context_names_ar(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float]]:
+    for m in BEFORE_AR.finditer(text):
+        if not (name := NAME_AR_AT.match(text, m.end())):
+            continue
+        a, b = name.span()
+        after = NEXT_AR.match(text, b)
+        second = NAME_AR_AT.match(text, after.end()) if after else None
+        two = second and name_score_ar(text, *second.span(), 0.4, lexicon) >= THRESHOLD and name_score_ar(text, a, b, 0.4, lexicon) >= THRESHOLD
+        score = name_score_ar(text, a, b, WEIGHT_AR[m.lastgroup] + 0.2 * bool(two), lexicon)
+        if score >= THRESHOLD:
+            yield a, b, score
+            if two:
+                yield *second.span(), score
+
+
+def context_names(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, int, float]]:
+    yield from _context_names(words, lexicon)
+    if ARABIC.search(words.text):
+        yield from _context_names_ar(words.text, lexicon)
 
 
 def _names(text: str, lexicon: Lexicon) -> Iterator[Span]:
+    words = Words(text)
     seen: list[tuple[int, int]] = []
-    for a, b in _cued(text):
-        given, family = split_name(text[a:b])
-        if given not in TITLES and family not in TITLES:
-            seen.append((a, b))
-            yield Span(a, b, "name", 0.7 + 0.1 * (given in lexicon.given) + 0.1 * (family in lexicon.family))
-    for start, stop in _family_words(text, lexicon.family):  # any other place that holds a known family name
-        if any(a <= start < b for a, b in seen):
-            continue
-        word = WORD.match(text, start)
-        if not word or word.end() != stop:
+    for a, b, score in context_names(words, lexicon):
+        seen.append((a, b))
+        yield Span(a, b, "name", min(score, 0.9))
+    for i in words.of(_known(lexicon)):  # any other place that holds a known part
+        first, stop = words.start[i], words.end(i)
+        if any(a <= first < b for a, b in seen):
             continue
-        pattern = ANYWHERE_AR if "\u0600" <= word.group()[0] <= "\u06ff" else ANYWHERE
-        a, end = max(0, word.start() - LONGEST_NAME), min(len(text), word.end() + LONGEST_NAME)
-        starts = [x.start() for x in WORD.finditer(text, a, word.start())][-4:]
-        for start in [*starts, word.start()]:
-            m = pattern.match(text, start, end)
-            if not m or m.end() < word.end():
+        arabic = ARABIC.match(text, first)
+        for at in [*words.starts_before(i, first), first]:
+            if at and text[at - 1] in "@-_":
                 continue
-            given, family = split_name(m.group())
-            if family in lexicon.family and (given in lexicon.given or not given) and not COMPANY_AFTER.match(text[m.end() : m.end() + 24]):
-                yield Span(m.start(), m.end(), "name", 0.55)
+            best = (0.0, 0)
+            for pattern in (NAME_AR_AT,) if arabic else (NAME_AT, THREE):
+                m = pattern.match(text, at, stop + LONGEST_NAME)
+                if m and m.end() >= stop and (pattern is not THREE or _three(m.group(), lexicon)):
+                    best = max(best, ((name_score_ar if arabic else name_score)(text, *m.span(), 0.0, lexicon), m.end()))
+            if best[0] >= THRESHOLD:
+                seen.append((at, best[1]))
+                yield Span(at, best[1], "name", max(THRESHOLD, best[0] - 0.01))
                 break
 
 
+@functools.lru_cache(maxsize=4)
+def _known(lexicon: Lexicon) -> frozenset[str]:
+    return lexicon.given | lexicon.family | {f"{p}-{f}" for f in lexicon.family for p in ("al", "el")}
+
+
+def _three(name: str, lexicon: Lexicon) -> bool:
+    """Whether the first and the last of three parts are known, and the one between is capitalised and no family name."""
+    first, middle, *rest = name.split(" ", 2)
+    return bool(rest) and first[0].isupper() and middle[0].isupper() and fold(first) in lexicon.given and split_name(f"{first} {rest[0]}")[1] in lexicon.family and fold(middle) not in lexicon.family
+
+
 def spans(text: str, lexicon: Lexicon) -> list[Span]:
     """Non-overlapping spans of ``text`` (in consistent form), in order."""
     found = [*_emails(text)]
@@ -355,8 +540,8 @@ def original_spans(texts: list[str], lexicon: Lexicon, odd_ones: list[bool] | No
     if len(odd) < len(texts):
         for i in {*range(len(texts))} - {*odd}:
             out[i] = spans(texts[i], lexicon)
-    for a in range(0, len(odd), 256):
-        part = odd[a : a + 256]
+    for a, b in pieces([texts[i] for i in odd]):
+        part = odd[a:b]
         exploded = consistent_batch([texts[i] for i in part])
         for i, form, source in zip(part, exploded.rebuilt(), exploded.sources(), strict=True):
             found = spans(form, lexicon)
@@ -369,14 +554,15 @@ def original_spans(texts: list[str], lexicon: Lexicon, odd_ones: list[bool] | No
 def _forms(texts: list[str], odd_ones: list[bool]) -> list[str]:
     odd = [i for i, s in enumerate(odd_ones) if s]
     made = [*texts]
-    for i, form in zip(odd, consistent_batch([texts[i] for i in odd]).rebuilt(), strict=True):
-        made[i] = form
+    for a, b in pieces([texts[i] for i in odd]):
+        for i, form in zip(odd[a:b], consistent_batch([texts[i] for i in odd[a:b]]).rebuilt(), strict=True):
+            made[i] = form
     return made
 
 
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("found", pa.string())])
 _MASKED_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_found", pa.int32())])
-_PARTS_ARROW = pa.schema([("kind", pa.string()), ("part", pa.string())])
+_PARTS_ARROW = pa.schema([("kind", pa.string()), ("part", pa.string()), ("doc_id", pa.int64())])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -385,10 +571,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kinds, parts = [], []
-        for text in _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist()):
+        kinds, parts, docs = [], [], []
+        for doc, text in zip(batch["doc_id"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist()), strict=True):
             own = set()
-            for a, b in _cued(text):
+            for a, b, _ in context_names(Words(text), NOTHING):
                 given, family = split_name(text[a:b])
                 own |= {("given", given), ("family", family)}
             for m in _address_matches(text, number_starts(text)):
@@ -396,10 +582,11 @@ def _read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if end > town_end:
                     own.add(("town", fold(text[m.start("town") : town_end])))
             for kind, part in own:
-                if len(part) > 1 and part not in TITLES:
+                if len(part) > 1:
                     kinds.append(kind)
                     parts.append(part)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(parts, pa.string())], schema=_PARTS_ARROW)
+                    docs.append(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(parts, pa.string()), pa.array(docs, pa.int64())], schema=_PARTS_ARROW)
 
 
 #: What a part of a name can be cut from, and a family name's particle that stands as a word of its own.
@@ -448,9 +635,13 @@ def of_parts(parts: list[tuple[str, str]]) -> Lexicon:
 
 
 def learn_parts(docs: DataFrame, person_names: DataFrame) -> DataFrame:
-    """``(kind, part)``: all name parts and towns read from all documents, and the given list."""
-    read = _texts(docs).select("text", "suspect").where("text is not null").mapInArrow(_read_parts, "kind string, part string")
-    counted = read.groupBy("kind", "part").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_SUPPORT)
+    """``(kind, part)``: all name parts and towns that two different documents hold at least, and the given list.
+
+    A part's least and greatest document tell whether there are two, however often a document was sent: both are
+    pre-aggregated, nothing is made distinct.
+    """
+    read = _texts(docs).where("text is not null").mapInArrow(_read_parts, "kind string, part string, doc_id bigint")
+    counted = read.groupBy("kind", "part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     listed = person_names.where("name_part is not null").select("kind", F.lower("name_part").alias("part"))
     return cut_lineage(counted.select("kind", "part").unionAll(listed).distinct())
 

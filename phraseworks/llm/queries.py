@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseworks.llm import clusters, distinct, glyphs, leakage, mixing, pii, repetition, terms
+from phraseworks.llm.once import once
 from phraseworks.session import table
 
 
@@ -39,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
     """Every uploaded text once, with typed placeholders."""
-    return pii.masked(table(spark, d, "session_docs").dropDuplicates(["doc_id"]), table(spark, d, "person_names"))
+    return pii.masked(once(table(spark, d, "session_docs").select("doc_id", "text", "loaded_at"), "doc_id", "loaded_at"), table(spark, d, "person_names"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +51,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_session_docs(spark: SparkSession, d: str) -> DataFrame:
     """Every uploaded text once, in consistent form."""
-    docs = table(spark, d, "session_docs").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    docs = once(table(spark, d, "session_docs").select("doc_id", "text", "loaded_at"), "doc_id", "loaded_at")
     return glyphs.with_consistent_form(docs, "text").select("doc_id", F.col("consistent").alias("text"), "changed")
 
 
