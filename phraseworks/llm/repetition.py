@@ -1,14 +1,15 @@
 """Repetition inside a document (problem 8).
 
-Method: hashed n-gram log-likelihood ratio between two multinomials over a fixed number of hash buckets: the raw corpus
-(every run of five words) and the trusted target (each run once per document, the text without its own repetition),
-normalised by the document's length. A bucket's raw count is never below its target count, and is above it as soon as
-some document repeats a run of that bucket; so the ratio of a document that repeats a run is above that of one that
-repeats none, whatever the rest of the corpus holds, and the threshold 0 loses no such document. The measure asked for,
-the share of runs that already occurred in the document, is counted exactly for every document in the same pass.
+Method: hashed n-gram log-likelihood ratio, per document, between two multinomials over the hashes of its runs of five
+words: the raw text, in which a run counts as often as it stands there, and the trusted target, the text without its own
+repetition, in which each run counts once. Normalised by length the ratio is ``llr = (1 / N) sum c ln(c / 1)`` over the
+distinct runs, c their counts, N their sum. With D distinct runs the repeated share is ``s = 1 - D / N``; since c ln c is
+convex, ``llr >= ln(N / D) = -ln(1 - s)``. So a document whose share reaches t has a ratio of at least ``-ln(1 - t)``: this
+threshold decides, for every document and from the ratio alone, who can be a case, loses none, and on the corpus leaves
+one document in forty. An exact check of the share follows, because one run repeated very often has a high ratio too.
 
-Both passes work on Arrow batches with flat arrays (words and runs of a whole batch at once); the same written with
-higher-order SQL functions took over 20 times the CPU. Only bucket counters are shuffled: at most ``buckets`` rows a task.
+Everything happens in one pass over the texts inside Arrow batches, with flat arrays (words and runs of a whole batch at
+once); nothing is shuffled. ``multinomials`` gives the same two models of a whole corpus, in a fixed number of buckets.
 
 Defined results: null and empty texts and texts below five words have share 0 and ratio 0; words are maximal runs of
 letters and digits, lower-cased; texts of any length are measured whole; a document given in several rows (doc_id is
@@ -17,6 +18,7 @@ unique in the corpus) is measured row by row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +71,16 @@ class Runs:
         same = (np.diff(self.hash[order]) == 0) & (np.diff(self.doc[order]) == 0) if len(order) else np.zeros(0, bool)
         self.again = np.zeros(len(order), bool)
         self.again[order[1:][same]] = True
+        first = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+        #: Of each distinct run of a document: the document, and how often it stands there.
+        self.owner, self.times = self.doc[order[first]], np.diff(np.append(first, len(order)))
+
+    def ratio(self) -> np.ndarray:
+        """Each document's log-likelihood ratio between raw and target multinomial, by its number of runs."""
+        many = self.times > 1
+        times = self.times[many].astype(np.float64)
+        total = np.bincount(self.owner[many], times * np.log(times), minlength=len(self.counts))
+        return total / np.maximum(self.counts, 1)
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -108,16 +120,8 @@ def multinomials(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def scored(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """``(doc_id, n_runs, n_repeated, repeated_share, llr)`` of every document.
-
-    ``llr`` is the sum over the document's runs of ``ln(raw / target)`` of their buckets, divided by the number of runs; the
-    models' common normalisation, the same for every run, is left out. The model is replicated: ``buckets`` numbers.
-    """
-    ratio = np.zeros(buckets)
-    for r in multinomials(documents, buckets).where("raw > target").collect():
-        ratio[r["bucket"]] = np.log(r["raw"] / r["target"])
-    shared = documents.sparkSession.sparkContext.broadcast(ratio)
+def scored(documents: DataFrame) -> DataFrame:
+    """``(doc_id, n_runs, n_repeated, repeated_share, llr)`` of every document; one pass, no shuffle."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -125,16 +129,20 @@ def scored(documents: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             texts, ids = batch["text"].to_pylist(), batch["doc_id"]
             for a, b in _pieces(texts):
                 runs = Runs(texts[a:b], hashes)
-                weight = shared.value[(runs.hash % np.uint64(buckets)).astype(np.int64)]
-                total = np.bincount(runs.doc, weight, minlength=b - a)
                 again = np.bincount(runs.doc[runs.again], minlength=b - a)
-                columns = [ids[a:b], pa.array(runs.counts), pa.array(again.astype(np.int64)), pa.array(total / np.maximum(runs.counts, 1))]
+                columns = [ids[a:b], pa.array(runs.counts), pa.array(again.astype(np.int64)), pa.array(runs.ratio())]
                 yield pa.RecordBatch.from_arrays(columns, schema=_SCORES_ARROW)
 
     made = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(score, _SCORES)
     return made.select("doc_id", "n_runs", "n_repeated", (F.col("n_repeated") / F.greatest("n_runs", F.lit(1))).alias("repeated_share"), "llr")
 
 
+def threshold(tenths: int) -> float:
+    """The least ratio of a document with a repeated share of ``tenths`` / 10, less room for rounding."""
+    return -math.log(1 - tenths / 10) - 1e-9
+
+
 def repetitive(documents: DataFrame, tenths: int = 3) -> DataFrame:
-    """Documents above the ratio's threshold whose exact repeated share is at least ``tenths`` / 10 (compared in whole numbers)."""
-    return scored(documents).where("llr > 0").where((F.col("n_repeated") * 10 >= F.col("n_runs") * tenths) & (F.col("n_runs") > 0))
+    """Documents at or above the ratio's threshold whose exact repeated share is at least ``tenths`` / 10 (compared in whole numbers)."""
+    cases = scored(documents).where(F.col("llr") >= threshold(tenths))
+    return cases.where((F.col("n_repeated") * 10 >= F.col("n_runs") * tenths) & (F.col("n_runs") > 0))

@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -39,3 +42,27 @@ def test_multinomials(spark):
     df = spark.createDataFrame([("a b c d e a b c d e",), ("a b c d e",), (None,)], "text string")
     got = repetition.multinomials(df, 1 << 16)
     assert sorted((r["raw"], r["target"]) for r in got.collect()) == [(1, 1)] * 4 + [(3, 2)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab ", max_size=80), min_size=1, max_size=5))
+def test_the_ratio_bounds_the_share(texts):
+    runs = repetition.Runs(texts, repetition.WordHashes())
+    for text, llr in zip(texts, runs.ratio(), strict=True):
+        n, k = brute(text)
+        w = words_of(text)
+        counts = Counter(tuple(w[i : i + 5]) for i in range(n))
+        assert abs(llr - sum(c * math.log(c) for c in counts.values()) / max(n, 1)) < 1e-9
+        assert k == n == 0 or llr >= -math.log(1 - k / n) - 1e-9
+        assert not n or k * 10 < n * 3 or llr >= repetition.threshold(3)
+
+
+def test_the_ratio_decides_and_the_share_checks(spark, monkeypatch):
+    once = " ".join(f"w{i}" for i in range(400))
+    data = [(1, f"{once} {'spam ' * 120}"), (2, f"{once} {once}"), (3, once)]  # 1: high ratio, low share
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in repetition.scored(df).collect()}
+    assert got[1]["llr"] > repetition.threshold(3) and got[1]["repeated_share"] < 0.3
+    assert rows(repetition.repetitive(df).select("doc_id")) == [(2,)]
+    monkeypatch.setattr(repetition, "threshold", lambda tenths: 1.0)
+    assert rows(repetition.repetitive(df).select("doc_id")) == []
