@@ -5,8 +5,10 @@ occurs in a pattern the shift table holds how far the window may move on, all ot
 most of a document is skipped; a block of shift 0 ends a candidate, whose bucket (by the hash of the pattern's last block)
 lists the patterns to compare directly, word by word. One pass over the corpus, no shuffle of texts.
 
-The pattern set is replicated to the tasks. Its size is checked: beyond ``max_pattern_words`` words of items the items are
-searched in groups of at most that many words, each in its own pass, so nothing that is replicated grows without bound.
+Words are numbered, so tables hold numbers only: an item's words are one flat array, a bucket holds where its patterns
+begin there. The pattern set is replicated to the tasks, its tables are built once per Python process. Its size is checked:
+beyond ``max_pattern_words`` words of items the items are searched in groups of at most that many words, each in its own
+pass over the corpus, so nothing that is replicated grows without bound. Items pass through the driver a group at a time.
 
 Defined results: null and empty texts have no words; items below ``run`` words have no pattern and never leak; items with
 the same passage are all reported; repeated pairs once; no items or no documents give no rows.
@@ -15,8 +17,11 @@ the same passage are all reported; repeated pairs once; no items or no documents
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import count, repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 BLOCK = 2
 RUN = 12
-#: Words of held-out items that one pass replicates (about 100 bytes each in the tables).
-MAX_PATTERN_WORDS = 1_000_000
+#: Words of held-out items that one pass replicates: 200,000 different ones took 43 MB in the tables of one process.
+MAX_PATTERN_WORDS = 500_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -35,42 +40,76 @@ def words_of(text: str | None) -> list[str]:
 
 
 class WuManber:
-    """Shift table, suffix buckets and patterns of word windows."""
-
-    def __init__(self, items: list[tuple[int, str]], run: int = RUN):
-        self.run = run
-        self.longest = run - BLOCK + 1
-        self.shift: dict[tuple[str, str], int] = {}
-        self.bucket: dict[tuple[str, str], dict[tuple[str, ...], set[int]]] = {}
+    """Shift table, suffix buckets and patterns of word windows, all by word numbers."""
+
+    def __init__(self, items: Sequence[tuple[int, str]], run: int = RUN):
+        self.run, self.longest = run, run - BLOCK + 1
+        self.number: dict[str, int] = {}
+        self.words = array("i")
+        self.first, self.items = array("q"), array("q")  # where each item begins in words, and which it is
+        self.shift: dict[int, int] = {}
+        self.bucket: dict[int, int | list[int]] = {}
         for item, text in items:
-            words = words_of(text)
-            for a in range(len(words) - run + 1):
-                pattern = tuple(words[a : a + run])
-                for end in range(BLOCK, run + 1):
-                    block = (pattern[end - 2], pattern[end - 1])
-                    shift = run - end
-                    if shift < self.shift.get(block, self.longest):
-                        self.shift[block] = shift
-                self.bucket.setdefault(pattern[-BLOCK:], {}).setdefault(pattern, set()).add(item)
+            own = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
+            if len(own) < run:
+                continue
+            at = len(self.words)
+            self.first.append(at)
+            self.items.append(item)
+            self.words.extend(own)
+            blocks = [a << 32 | b for a, b in zip(own, own[1:], strict=False)]
+            last = len(own) - run  # the last window begins here; block j ends at word j + 1
+            for j, block in enumerate(blocks):
+                # the nearest window end at or behind this block: its own end where a window can end there
+                shift = max(0, run - 2 - j)
+                if shift < self.shift.get(block, self.longest):
+                    self.shift[block] = shift
+            for start in range(last + 1):
+                key = hash(tuple(own[start : start + run]))
+                known = self.bucket.get(key)
+                if known is None:
+                    self.bucket[key] = at + start
+                elif type(known) is int:
+                    self.bucket[key] = [known, at + start]
+                else:
+                    known.append(at + start)
 
     def search(self, words: list[str]) -> set[int]:
         """The items of which ``words`` holds a pattern."""
         found: set[int] = set()
         shift, bucket, longest, run = self.shift, self.bucket, self.longest, self.run
-        i, n = run - 1, len(words)
+        own = [*map(self.number.get, words, repeat(-1))]
+        i, n = run - 1, len(own)
         while i < n:
-            block = (words[i - 1], words[i])
-            step = shift.get(block, longest)
+            a, b = own[i - 1], own[i]
+            step = longest + 1 if b < 0 else longest if a < 0 else shift.get(a << 32 | b, longest)
             if step:
                 i += step
                 continue
-            items = bucket[block].get(tuple(words[i - run + 1 : i + 1]))
-            if items:
-                found |= items
+            window = own[i - run + 1 : i + 1]
+            starts = bucket.get(hash(tuple(window)))
+            if starts is not None:
+                for at in (starts,) if type(starts) is int else starts:
+                    if self.words[at : at + run].tolist() == window:
+                        found.add(self.items[bisect_right(self.first, at) - 1])
             i += 1
         return found
 
 
+#: Tables built in this process, of the group last searched for.
+_built: dict[int, WuManber] = {}
+
+
+def tables(key: int, group: Sequence[tuple[int, str]], run: int) -> WuManber:
+    if key not in _built:
+        _built.clear()
+        _built[key] = WuManber(group, run)
+    return _built[key]
+
+
+#: Python workers outlive a query but not the session of their driver, so a running number names a group.
+_keys = count()
+
 _FOUND = "doc_id bigint, item_id bigint"
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
 
@@ -96,15 +135,14 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = RUN, max_pattern_w
     passes = []
     for group in _groups(items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("text is not null and item_id is not null"), max_pattern_words):
         shared = spark.sparkContext.broadcast(group)
-        built: list[WuManber] = []
+        key = next(_keys)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, built=built) -> Iterator[pa.RecordBatch]:
-            if not built:
-                built.append(WuManber(shared.value, run))
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            patterns = tables(key, shared.value, run)
             for batch in batches:
                 docs, found = [], []
                 for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                    for item in built[0].search(words_of(text)):
+                    for item in patterns.search(words_of(text)):
                         docs.append(doc)
                         found.append(item)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], schema=_FOUND_ARROW)
