@@ -4,11 +4,14 @@ Document rates stay as near as possible (in relative entropy) to one copy each w
 and no rate exceeds the source's cap. The convex dual has one multiplier per source; its solution tilts rates exponentially,
 ``rate = min(cap, exp(multiplier * tokens / mean tokens))``. Newton steps for all multipliers at once are sums over the
 corpus, worked out by Spark from counts per (source, tokens), bracketed so that each step stays inside what earlier ones
-ruled out. Rates are rounded to whole copies by a hash of the document id, so the expected tokens are kept, the result does
-not depend on partitioning, and no copy count exceeds the cap.
+ruled out; that it has not converged is an error. Rates are rounded to whole copies systematically: documents are put into
+blocks by a hash of their id, in a block in the order of their size, and a document gets one copy more wherever the running
+sum of the fractions passes a whole number. Running sums go on from block to block, so each source's copies are exact to
+one and its tokens nearly so, no task holds more than a block, the result does not depend on partitioning, and no copy
+count exceeds the cap.
 
-The size of the mix is, unless given, the largest at which every target can be met within the caps; targets of sources that
-have no tokens are shared among the others in proportion, and reported.
+The size of the mix is, unless given, the largest at which every target can be met within the caps; a greater one is an
+error. Targets of sources that have no tokens are shared among the others in proportion, and reported.
 
 Defined results: source spellings are compared trimmed, lower-cased, with blanks and hyphens as underscores; documents
 without tokens or source, or of a source without target, get no copies; a source given twice in the targets has the sum of
@@ -23,12 +26,16 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from phraseworks.session import cut_lineage
 
 MAX_STEPS = 60
+#: Documents of a block of the rounding, on the average.
+BLOCK = 8192
+#: Parts that a copy's fraction is counted in: whole numbers, so sums do not depend on their order.
+PARTS = 1 << 32
 TOLERANCE = 1e-9
 
 
@@ -73,8 +80,8 @@ def token_counts(documents: DataFrame, tokenizer: str | None = None) -> DataFram
 class Target:
     """One source's state of the dual: wanted tokens, cap, mean size, and the bracket of its multiplier."""
 
-    def __init__(self, wanted: float, cap: int, mean: float):
-        self.wanted, self.cap, self.mean = wanted, cap, mean
+    def __init__(self, wanted: float, cap: int, mean: float, n: int):
+        self.wanted, self.cap, self.mean, self.n = wanted, cap, mean, n
         self.at, self.low, self.high, self.done = 0.0, -math.inf, math.inf, False
 
     def step(self, got: float, slope: float) -> None:
@@ -115,11 +122,13 @@ def balance(counted: DataFrame, mix_targets: DataFrame, size: float | None = Non
     usable = {r["source"]: r for r in given if r["share"] > 0 and r["cap"] > 0 and r["source"] in held}
     total_share = sum(r["share"] for r in usable.values())
     reachable = min((r["cap"] * held[s]["tokens"] * total_share / r["share"] for s, r in usable.items()), default=0.0)
-    total = min(size, reachable) if size is not None else reachable
-    targets = {s: Target(total * r["share"] / total_share, r["cap"], held[s]["tokens"] / held[s]["n"]) for s, r in usable.items()}
+    if size is not None and usable and size > reachable * (1 + 1e-9):
+        raise ValueError(f"a mix of {size:.0f} tokens needs more than the caps allow: {reachable:.0f} at most")
+    total = reachable if size is None else size
+    targets = {s: Target(total * r["share"] / total_share, r["cap"], held[s]["tokens"] / held[s]["n"], held[s]["n"]) for s, r in usable.items()}
     for s, t in targets.items():
         if t.wanted >= t.cap * held[s]["tokens"] * (1 - 1e-9):  # all copies the cap allows
-            t.at, t.done = 50.0 * t.mean, True
+            t.at, t.done = 1e9 * t.mean, True
     for _ in range(MAX_STEPS):
         open_ = {s: t for s, t in targets.items() if not t.done}
         if not open_:
@@ -129,9 +138,27 @@ def balance(counted: DataFrame, mix_targets: DataFrame, size: float | None = Non
         rated = histogram.where(F.col("source").isin([*open_])).withColumn("rate", _rate(open_)).withColumn("cap", _by_source({s: float(t.cap) for s, t in open_.items()}))
         for r in rated.groupBy("source").agg(F.sum(sizes).alias("got"), F.sum(F.when(F.col("rate") < F.col("cap"), slope).otherwise(0.0)).alias("slope")).collect():
             open_[r["source"]].step(r["got"], r["slope"])
+    if late := [s for s, t in targets.items() if not t.done]:
+        raise RuntimeError(f"not converged within {MAX_STEPS} steps: {late}")
     return targets, shares
 
 
+def rounded(rated: DataFrame, sizes: dict[str, int], seed: int) -> DataFrame:
+    """``rated (doc_id, source, tokens, rate)`` with ``copies``; sizes are the documents of each source."""
+    order = F.xxhash64("doc_id", F.lit(seed))
+    block = F.pmod(order, _by_source({s: max(1, n // BLOCK) for s, n in sizes.items()}))
+    placed = rated.select("*", F.floor("rate").alias("whole"), F.floor((F.col("rate") - F.floor("rate")) * PARTS).alias("part"), order.alias("order"), block.alias("block"))
+    totals = placed.groupBy("source", "block").agg(F.sum("part").alias("total"))
+    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    begun = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(PARTS))
+    starts = totals.select("source", "block", (begun + F.coalesce(F.sum("total").over(before), F.lit(0))).alias("start"))
+    within = Window.partitionBy("source", "block").orderBy("tokens", "order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumn("sum", F.sum("part").over(within)).join(starts, ["source", "block"])
+    end = F.col("start") + F.col("sum")
+    more = F.shiftright(end, 32) - F.shiftright(end - F.col("part"), 32)
+    return summed.select("doc_id", "source", "tokens", "rate", (F.col("whole") + more).cast("int").alias("copies"))
+
+
 def mixed(documents: DataFrame, mix_targets: DataFrame, size: float | None = None, tokenizer: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``(selection, shares)``: ``(doc_id, source, tokens, rate, copies)`` of every document with a source in the targets, and per source
 
@@ -142,9 +169,7 @@ def mixed(documents: DataFrame, mix_targets: DataFrame, size: float | None = Non
     spark = documents.sparkSession
     if targets:
         usable = counted.where(F.col("source").isin([*targets]) & (F.col("tokens") > 0))
-        rated = usable.withColumn("rate", _rate(targets))
-        unit = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 11)).cast("double") / F.lit(float(1 << 53))
-        selection = rated.withColumn("copies", (F.floor("rate") + F.when(unit < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+        selection = rounded(usable.withColumn("rate", _rate(targets)), {s: t.n for s, t in targets.items()}, seed)
     else:
         selection = counted.where("false").select("*", F.lit(0.0).alias("rate"), F.lit(0).alias("copies"))
     taken = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))

@@ -48,3 +48,22 @@ def test_given_size_and_edges(spark):
 def test_whole_texts_are_counted(spark):
     df = spark.createDataFrame([(1, "word " * 50_000, "s"), (2, None, None)], "doc_id bigint, text string, source string")
     assert rows(mixing.token_counts(df).select("doc_id", "source", F.col("tokens") >= 50_000)) == [(1, "s", True), (2, None, False)]
+
+
+def test_rounding_is_systematic(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 100)
+    targets = spark.createDataFrame([("big", 0.5, 2), ("small", 0.3, 3), ("two_words", 0.2, 1)], TARGETS)
+    selection, report = mixing.mixed(documents(spark), targets)
+    for r in report.where("target_share > 0").collect():
+        assert abs(r["actual_share"] - r["target_share"]) < 0.005 * r["target_share"] + 1e-4, r
+    for r in selection.groupBy("source").agg(F.sum("copies").alias("copies"), F.sum("rate").alias("rate"), F.max(F.abs(F.col("copies") - F.col("rate"))).alias("off")).collect():
+        assert abs(r["copies"] - r["rate"]) < 1.01 and r["off"] < 1
+
+
+def test_what_cannot_be_met_is_an_error(spark, monkeypatch):
+    targets = spark.createDataFrame([("big", 0.7, 2), ("small", 0.3, 3)], TARGETS)
+    with pytest.raises(ValueError, match="at most"):
+        mixing.mixed(documents(spark), targets, size=1e9)
+    monkeypatch.setattr(mixing, "MAX_STEPS", 1)
+    with pytest.raises(RuntimeError, match="not converged"):
+        mixing.mixed(documents(spark), targets, size=5000.0)
