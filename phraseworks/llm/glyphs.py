@@ -3,7 +3,10 @@
 Method: each Arrow batch of texts is exploded into a relation of positioned code points ``(row, source position, code
 point)`` held as flat arrays; that relation is joined with replicated decomposition and look-alike mappings (dense tables
 indexed by code point, the vectorised form of a broadcast join), combining marks are ordered by their class and
-recomposed, and the strings are rebuilt. The explosion lives inside a batch: no shuffle, no re-aggregation by row.
+recomposed (Hangul letters to syllables too), and the strings are rebuilt. The explosion lives inside a batch: no shuffle,
+no re-aggregation by row. The look-alike mapping is made by rule: the Unicode confusables data that Spark's own ICU library
+holds (``confusables``: the letters whose skeleton is one Latin letter), small capitals by their names, and a short list
+for the Greek and Cyrillic alphabets, where the data also pair letters that only resemble each other.
 
 What changes: presentation, full-width and font forms and ligatures are decomposed; invisible characters and Arabic
 stretching strokes go; every blank except line breaks becomes a space; base letters take up their combining marks where
@@ -22,7 +25,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,8 +49,39 @@ INVISIBLE_OTHER = frozenset([0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180
 LINE_BREAKS = frozenset([0x0A, 0x0D, 0x85, 0x2028, 0x2029])
 
 _RARE = [ord(c) for c in RARE]
-# Script bits of the token step.
-LETTER, LATIN, FOREIGN, ARABIC, PERSIAN_ONLY, GREEK_BIT = 1, 2, 4, 8, 16, 32
+# Script bits of the token step. MIXED: a look-alike of a script whose own words may consist of such letters, so only next to Latin ones.
+LETTER, LATIN, FOREIGN, ARABIC, PERSIAN_ONLY, GREEK_BIT, MIXED, PHONETIC = 1, 2, 4, 8, 16, 32, 64, 128
+#: Scripts of which whole words of look-alikes are still words of that script.
+OWN_WORDS = frozenset(["HEBREW", "CANADIAN", "ETHIOPIC", "NKO", "ORIYA", "MALAYALAM", "MYANMAR", "GEORGIAN", "BAMUM", "TIFINAGH", "MIAO"])
+Alikes = tuple[tuple[int, int], ...]
+
+
+@functools.lru_cache(maxsize=1)
+def small_capitals() -> Alikes:
+    """Small capitals, which phonetic writing has beside the common letters, by their names."""
+    named = ((c, unicodedata.name(chr(c), "").rpartition("LATIN LETTER SMALL CAPITAL ")) for c in [*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800)])
+    return tuple((c, ord(to.lower())) for c, (_, found, to) in named if found and len(to) == 1)
+
+
+def confusables(spark: SparkSession) -> Alikes:
+    """``(letter, Latin letter)`` of all letters whose skeleton, by the Unicode confusables data, is one Latin letter.
+
+    The data come with ICU, a library of Spark itself; it is asked once, for all letters in one text. Greek and Cyrillic
+    letters of the common alphabets, common Latin and Arabic letters are left to the lists above. Without ICU: none.
+    """
+    letters = [c for c in [*range(0x250, 0x370), *range(0x460, 0x600), *range(0x700, 0x3400), *range(0xA000, 0xAC00), *range(0x10000, 0x1E000)] if unicodedata.category(chr(c))[0] == "L"]
+    letters = [c for c in letters if not unicodedata.decomposition(chr(c)) and not unicodedata.name(chr(c), "ARABIC").startswith(("ARABIC", "GREEK"))]
+    try:
+        checker = getattr(spark._jvm, "com.ibm.icu.text.SpoofChecker$Builder")().build()
+        skeletons = checker.getSkeleton("\n".join(map(chr, letters))).split("\n")
+    except (TypeError, Py4JError):
+        return ()
+    pairs = []
+    for c, to in zip(letters, skeletons, strict=True):
+        if len(to) == 1 and to.isascii() and to.isalpha():
+            upper = to == "l" and unicodedata.category(chr(c)) == "Lu"  # the data pair I and l
+            pairs.append((c, ord("I" if upper else to)))
+    return tuple(pairs)
 
 
 def _form(ch: str) -> str:
@@ -58,9 +93,9 @@ def _form(ch: str) -> str:
     return ch
 
 
-@functools.lru_cache(maxsize=1)
-def tables() -> dict[str, np.ndarray]:
-    """The replicated mappings, built once per Python process from the Unicode database."""
+@functools.lru_cache(maxsize=2)
+def tables(alikes: Alikes = ()) -> dict[str, np.ndarray]:
+    """The replicated mappings, built once per Python process from the Unicode database and the confusables given."""
     width = np.ones(N_CODES, np.int8)  # code points that one becomes: 0 dropped, 1 kept or replaced, more for ligatures
     offset = np.full(N_CODES, -1, np.int32)  # into target, -1: stays
     ccc = np.zeros(N_CODES, np.uint8)
@@ -72,7 +107,7 @@ def tables() -> dict[str, np.ndarray]:
         width[code], offset[code] = len(to), len(target)
         target.extend(map(ord, to))
 
-    for code in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x20000), *range(0xE0000, 0xE0200)]:
+    for code in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7B0, 0xD800), *range(0xF900, 0x20000), *range(0xE0000, 0xE0200)]:
         ch = chr(code)
         kind = unicodedata.category(ch)
         ccc[code] = min(unicodedata.combining(ch), 255)
@@ -95,6 +130,15 @@ def tables() -> dict[str, np.ndarray]:
                 script[code] |= FOREIGN | (GREEK_BIT if code < 0x400 or code >= 0x1F00 else 0)
             elif 0x620 <= code < 0x700:
                 script[code] |= ARABIC
+            elif 0x250 <= code < 0x2B0 or 0x1D00 <= code < 0x1DC0:
+                script[code] |= PHONETIC
+            elif (code < 0x750 or 0x780 <= code < 0x860 or 0x900 <= code < 0x3040 or code >= 0xA000) and not unicodedata.name(ch, "").startswith(("LATIN", "ARABIC", "HANGUL", "CJK", "MODIFIER")) and code >= 0x530:
+                script[code] |= FOREIGN
+    for a, b in (*small_capitals(), *alikes):
+        if width[a] == 1 and offset[a] < 0:
+            look[a] = b
+            name = unicodedata.name(chr(a)).split()[0]
+            script[a] = LETTER if name == "LATIN" else script[a] | (MIXED if name in OWN_WORDS else 0)
     for mapping in (CYRILLIC, GREEK, LATIN_LIKE, PERSIAN):
         for a, b in mapping.items():
             look[ord(a)] = ord(b)
@@ -150,8 +194,8 @@ def recompose(run: str) -> tuple[str, bool]:
 class Exploded:
     """A batch of texts as positioned code points. ``row`` and ``source`` (offset in the joined batch) follow every step."""
 
-    def __init__(self, texts: list[str]):
-        self.n = len(texts)
+    def __init__(self, texts: list[str], alikes: Alikes = ()):
+        self.n, self.alikes = len(texts), alikes
         lengths = np.fromiter(map(len, texts), np.int64, self.n)
         self.starts = np.concatenate([[0], np.cumsum(lengths)])
         self.code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
@@ -161,7 +205,7 @@ class Exploded:
 
     def mapped(self) -> None:
         """Join with the decomposition mapping: forms undone, invisible characters dropped, blanks made spaces."""
-        t = tables()
+        t = tables(self.alikes)
         hit = t["offset"][self.code] >= 0
         if not hit.any():
             return
@@ -175,7 +219,7 @@ class Exploded:
 
     def composed(self) -> None:
         """Order the marks of each base by class and recompose."""
-        mark = tables()["ccc"][self.code] > 0
+        mark = tables(self.alikes)["ccc"][self.code] > 0
         if not mark.any():
             return
         at = np.flatnonzero(mark)
@@ -198,6 +242,25 @@ class Exploded:
                 keep[x + len(to) : y] = False
         self.code, self.row, self.source = code[keep], self.row[keep], self.source[keep]
 
+    def joined(self) -> None:
+        """Hangul letters to syllables: a first and a middle letter, then a last one."""
+        for first, following in (((0x1100, 0x1113), (0x1161, 0x1176)), ((0xAC00, 0xD7A4), (0x11A8, 0x11C3))):
+            second = (self.code >= following[0]) & (self.code < following[1])
+            if not second.any():
+                continue
+            at = np.flatnonzero(second[1:] & (self.code[:-1] >= first[0]) & (self.code[:-1] < first[1]) & (self.row[1:] == self.row[:-1]))
+            if first[0] == 0xAC00:
+                at = at[(self.code[at] - 0xAC00) % 28 == 0]
+                made = self.code[at] + self.code[at + 1] - 0x11A7
+            else:
+                made = 0xAC00 + ((self.code[at] - 0x1100) * 21 + self.code[at + 1] - 0x1161) * 28
+            self.code = self.code.copy()
+            self.code[at] = made
+            self.changed[self.row[at]] = True
+            keep = np.ones(len(self.code), bool)
+            keep[at + 1] = False
+            self.code, self.row, self.source = self.code[keep], self.row[keep], self.source[keep]
+
     def _rows(self, a: int, b: int) -> list[tuple[int, int]]:
         rows = self.row[a:b]
         if rows[0] == rows[-1]:
@@ -207,7 +270,7 @@ class Exploded:
 
     def unmasked(self) -> None:
         """Replace letters that stand in for Latin or Arabic ones, token by token (a token is a run of letters and marks)."""
-        t = tables()
+        t = tables(self.alikes)
         look_all = t["look"][self.code] > 0
         if not look_all.any():
             return
@@ -239,7 +302,9 @@ class Exploded:
         rare = has(np.isin(code, _RARE)) & (np.bincount(token[letter], minlength=n) > 1)
         fold = latin | (~truly & (~in_phrase | rare) & ~single_greek)
         fold_arabic = arabic & ~persian_only
-        replaced = look & letter & np.where(persian, fold_arabic[token], fold[token])
+        phonetic = has(((bits & PHONETIC) > 0) & ~look)  # truly phonetic writing keeps its small capitals
+        here = np.where((bits & MIXED) > 0, latin[token], np.where(code < 0x370, (fold & ~phonetic)[token], fold[token]))
+        replaced = look & letter & np.where(persian, fold_arabic[token], here)
         if replaced.any():
             self.code[at[replaced]] = t["look"][code[replaced]]
             self.changed[row[replaced]] = True
@@ -256,10 +321,11 @@ class Exploded:
         return [local[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def consistent_batch(texts: list[str]) -> Exploded:
-    x = Exploded(texts)
+def consistent_batch(texts: list[str], alikes: Alikes = ()) -> Exploded:
+    x = Exploded(texts, alikes)
     x.mapped()
     x.composed()
+    x.joined()
     x.unmasked()
     return x
 
@@ -281,22 +347,26 @@ def pieces(texts: list[str]):
         yield a, len(texts)
 
 
-@F.pandas_udf(_RESULT)
-def _consistent(column: pd.Series) -> pd.DataFrame:
+def _consistent(column: pd.Series, alikes: Alikes) -> pd.DataFrame:
     null = column.isna().to_numpy()
     texts = ["" if z else s for s, z in zip(column, null, strict=True)]
     out: list[str | None] = []
     changed: list[bool] = []
     for a, b in pieces(texts):
-        x = consistent_batch(texts[a:b])
+        x = consistent_batch(texts[a:b], alikes)
         out += x.rebuilt()
         changed += x.changed.tolist()
     return pd.DataFrame({"text": [None if z else s for s, z in zip(out, null, strict=True)], "changed": changed})
 
 
-def consistent(column: Column | str) -> Column:
+def consistent(column: Column | str, alikes: Alikes = ()) -> Column:
     """Struct ``(text, changed)``: the consistent form and whether the row is a case."""
-    return _consistent(column)
+
+    @F.pandas_udf(_RESULT)
+    def made(texts: pd.Series) -> pd.DataFrame:
+        return _consistent(texts, alikes)
+
+    return made(column)
 
 
 def phrase_key(text: Column) -> Column:
@@ -307,8 +377,8 @@ def phrase_key(text: Column) -> Column:
 #: A text of characters only that are never part of a case, the commonest ranges first (a class is tested in order). One
 #: greedy run over the text: the scan drops all such rows before any leaves the JVM.
 IN_FORM = (
-    r"\A[\x20-\x7e\n\r\x{627}-\x{63a}\x{641}-\x{652}\x{61d}-\x{626}\x{606}-\x{61b}\x{660}-\x{6a8}\xa1-\xac\xae-\x{250}\x{252}-\x{260}\x{262}-\x{2af}"
-    r"\x{2010}-\x{2029}\x{2030}-\x{205e}\x{2070}-\x{20c0}\x{2190}-\x{2bff}\x{5d0}-\x{5ea}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30a0}-\x{30fe}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}\x85]*\z"
+    r"\A[\x20-\x7e\n\r\x{627}-\x{63a}\x{641}-\x{652}\x{61d}-\x{626}\x{606}-\x{61b}\x{660}-\x{6a8}\xa1-\xac\xae-\x{24f}"
+    r"\x{2010}-\x{2029}\x{2030}-\x{205e}\x{2070}-\x{20c0}\x{2190}-\x{2bff}\x{3001}-\x{3029}\x{3041}-\x{3096}\x{30a0}-\x{30fe}\x{3400}-\x{9fff}\x{ac00}-\x{d7a3}\x85]*\z"
 )
 #: Vowel signs in a row, whose order may have to change though the row is no case.
 UNORDERED = r"[\x{64b}-\x{652}\x{670}]{2}"
@@ -327,11 +397,11 @@ def with_consistent_form(df: DataFrame, text: str, into: str = "consistent", fla
     kept = [c for c in df.columns if c not in (into, flag)]
     given = F.col(f"`{text}`")
     # rows without any suspect character are in consistent form already: only the others' texts leave the JVM
-    inside = df.select("*", consistent(F.when(suspect(given) | given.rlike(UNORDERED), given)).alias(made))
+    inside = df.select("*", consistent(F.when(suspect(given) | given.rlike(UNORDERED), given), confusables(df.sparkSession)).alias(made))
     return inside.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col(made)["text"], given).alias(into), F.coalesce(F.col(made)["changed"], F.lit(False)).alias(flag))
 
 
 def inconsistent_rows(df: DataFrame, row_id: str, text: str) -> DataFrame:
     """``row_id`` of every row whose text is a case, once each."""
     rows = df.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{text}`").alias("text")).where(suspect(F.col("text")))
-    return rows.where(consistent("text")["changed"]).select("row_id").distinct()
+    return rows.where(consistent("text", confusables(df.sparkSession))["changed"]).select("row_id").distinct()

@@ -24,13 +24,14 @@ import functools
 import re
 import unicodedata
 from collections.abc import Iterator, Set
+from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phraseworks.llm.glyphs import consistent_batch, pieces, suspect
+from phraseworks.llm.glyphs import Alikes, confusables, consistent_batch, pieces, suspect
 from phraseworks.session import cut_lineage
 
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -533,7 +534,7 @@ def spans(text: str, lexicon: Lexicon) -> list[Span]:
     return sorted(taken)
 
 
-def original_spans(texts: list[str], lexicon: Lexicon, odd_ones: list[bool] | None = None) -> list[list[Span]]:
+def original_spans(texts: list[str], lexicon: Lexicon, odd_ones: list[bool] | None = None, alikes: Alikes = ()) -> list[list[Span]]:
     """Spans of each text as it stands. ``odd_ones`` false: the text is known to be in consistent form."""
     out: list[list[Span]] = [[] for _ in texts]
     odd = [i for i in range(len(texts)) if odd_ones is None or odd_ones[i]]
@@ -542,7 +543,7 @@ def original_spans(texts: list[str], lexicon: Lexicon, odd_ones: list[bool] | No
             out[i] = spans(texts[i], lexicon)
     for a, b in pieces([texts[i] for i in odd]):
         part = odd[a:b]
-        exploded = consistent_batch([texts[i] for i in part])
+        exploded = consistent_batch([texts[i] for i in part], alikes)
         for i, form, source in zip(part, exploded.rebuilt(), exploded.sources(), strict=True):
             found = spans(form, lexicon)
             if form != texts[i]:
@@ -551,11 +552,11 @@ def original_spans(texts: list[str], lexicon: Lexicon, odd_ones: list[bool] | No
     return out
 
 
-def _forms(texts: list[str], odd_ones: list[bool]) -> list[str]:
+def _forms(texts: list[str], odd_ones: list[bool], alikes: Alikes) -> list[str]:
     odd = [i for i, s in enumerate(odd_ones) if s]
     made = [*texts]
     for a, b in pieces([texts[i] for i in odd]):
-        for i, form in zip(odd[a:b], consistent_batch([texts[i] for i in odd[a:b]]).rebuilt(), strict=True):
+        for i, form in zip(odd[a:b], consistent_batch([texts[i] for i in odd[a:b]], alikes).rebuilt(), strict=True):
             made[i] = form
     return made
 
@@ -569,10 +570,10 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.coalesce(suspect(F.col("text")), F.lit(False)).alias("suspect"))
 
 
-def _read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_parts(batches: Iterator[pa.RecordBatch], alikes: Alikes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kinds, parts, docs = [], [], []
-        for doc, text in zip(batch["doc_id"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist()), strict=True):
+        for doc, text in zip(batch["doc_id"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist(), alikes), strict=True):
             own = set()
             for a, b, _ in context_names(Words(text), NOTHING):
                 given, family = split_name(text[a:b])
@@ -623,9 +624,9 @@ def lookups(text: str) -> set[tuple[bool, str]]:
 _LOOKUPS_ARROW = pa.schema([("key", pa.int64()), ("town", pa.bool_()), ("part", pa.string())])
 
 
-def _read_lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_lookups(batches: Iterator[pa.RecordBatch], alikes: Alikes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for key, text in zip(batch["key"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist()), strict=True):
+        for key, text in zip(batch["key"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist(), alikes), strict=True):
             made = [*lookups(text)]
             yield pa.RecordBatch.from_arrays([pa.array([key] * len(made), pa.int64()), pa.array([t for t, _ in made], pa.bool_()), pa.array([x for _, x in made], pa.string())], schema=_LOOKUPS_ARROW)
 
@@ -640,7 +641,7 @@ def learn_parts(docs: DataFrame, person_names: DataFrame) -> DataFrame:
     A part's least and greatest document tell whether there are two, however often a document was sent: both are
     pre-aggregated, nothing is made distinct.
     """
-    read = _texts(docs).where("text is not null").mapInArrow(_read_parts, "kind string, part string, doc_id bigint")
+    read = _texts(docs).where("text is not null").mapInArrow(partial(_read_parts, alikes=confusables(docs.sparkSession)), "kind string, part string, doc_id bigint")
     counted = read.groupBy("kind", "part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
     listed = person_names.where("name_part is not null").select("kind", F.lower("name_part").alias("part"))
     return cut_lineage(counted.select("kind", "part").unionAll(listed).distinct())
@@ -656,30 +657,30 @@ def with_lexicon(docs: DataFrame, person_names: DataFrame) -> tuple[DataFrame, L
     if len(rows) <= MAX_LEXICON:
         return _texts(docs), of_parts([(r["kind"], r["part"]) for r in rows])
     texts = _texts(docs).withColumn("key", F.xxhash64("text"))
-    asked = texts.where("text is not null").select("key", "text", "suspect").mapInArrow(_read_lookups, "key bigint, town boolean, part string").distinct()
+    asked = texts.where("text is not null").select("key", "text", "suspect").mapInArrow(partial(_read_lookups, alikes=confusables(docs.sparkSession)), "key bigint, town boolean, part string").distinct()
     known = asked.join(parts.withColumn("town", F.col("kind") == "town"), ["town", "part"])
     own = known.groupBy("key").agg(F.collect_list(F.struct("kind", "part")).alias("own"))  # at most the words of a text
     return texts.join(own, "key", "left").select("doc_id", "text", "suspect", "own"), None
 
 
-def _batch_spans(batch: pa.RecordBatch, lexicon: Lexicon | None) -> list[list[Span]]:
+def _batch_spans(batch: pa.RecordBatch, lexicon: Lexicon | None, alikes: Alikes) -> list[list[Span]]:
     texts, odd = [t or "" for t in batch["text"].to_pylist()], batch["suspect"].to_pylist()
     if lexicon is not None:
-        return original_spans(texts, lexicon, odd)
+        return original_spans(texts, lexicon, odd, alikes)
     own = [of_parts([(x["kind"], x["part"]) for x in parts or []]) for parts in batch["own"].to_pylist()]
-    return [original_spans([t], x, [o])[0] for t, x, o in zip(texts, own, odd, strict=True)]
+    return [original_spans([t], x, [o], alikes)[0] for t, x, o in zip(texts, own, odd, strict=True)]
 
 
 def find(docs: DataFrame, person_names: DataFrame) -> DataFrame:
     """``(doc_id, kind, found)``, one row per document, kind and distinct string as it stands in the text."""
     rows, lexicon = with_lexicon(docs, person_names)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, confusables(docs.sparkSession)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
             strings = set()
-            for doc, text, found in zip(batch["doc_id"].to_pylist(), texts, _batch_spans(batch, shared.value), strict=True):
+            for doc, text, found in zip(batch["doc_id"].to_pylist(), texts, _batch_spans(batch, *shared.value), strict=True):
                 strings |= {(doc, s.kind, text[s.start : s.end]) for s in found}
             columns = list(zip(*strings, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _FOUND_ARROW, strict=True)], schema=_FOUND_ARROW)
@@ -690,13 +691,13 @@ def find(docs: DataFrame, person_names: DataFrame) -> DataFrame:
 def masked(docs: DataFrame, person_names: DataFrame) -> DataFrame:
     """``(doc_id, text, n_found)``: every row's text with placeholders in place of what was found, all else unchanged."""
     rows, lexicon = with_lexicon(docs, person_names)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon, confusables(docs.sparkSession)))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
             out, counts = [], []
-            for text, found in zip(texts, _batch_spans(batch, shared.value), strict=True):
+            for text, found in zip(texts, _batch_spans(batch, *shared.value), strict=True):
                 pieces, at = [], 0
                 for s in found:
                     pieces += [text[at : s.start], PLACEHOLDER[s.kind]]

@@ -77,3 +77,17 @@ def test_tables(spark):
     assert glyphs.inconsistent_rows(df.where("false"), "id", "text").count() == 0
     keys = spark.createDataFrame([(" A  b\u000bC ",), (None,)], "x string").select(glyphs.phrase_key(F.col("x")))
     assert rows(keys) == [("a b c",), (None,)]
+
+
+def test_confusables_of_all_scripts(spark):
+    alikes = glyphs.confusables(spark)
+    assert len(alikes) > 200 and len(dict(alikes)) == len(alikes)
+    cases = {"Ӏӏ": "Ii", "аррӏе": "appie", "Ꭺpple": "Apple", "ꓐank": "Bank", "goᴏgle": "google", "ɢoogle": "google", "ⲟrder": "order", "\u1112\u1161\u11ab\u1100\u116e\u11a8": "한국", "가\u11a8": "각"}
+    x = glyphs.consistent_batch([*cases], alikes)
+    assert x.rebuilt() == [*cases.values()] and x.changed.all()
+    kept = [*KEPT, "סוס", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "fɪʃ", "한국", "Գարեջուր", "ⲡⲣⲁⲛ"]
+    x = glyphs.consistent_batch(kept, alikes)
+    assert x.rebuilt() == kept and not x.changed.any()
+    df = spark.createDataFrame([(1, "аррӏе"), (2, "ꓐank"), (3, "bank"), (4, None)], "id bigint, text string")
+    assert rows(glyphs.inconsistent_rows(df, "id", "text")) == [(1,), (2,)]
+    assert rows(glyphs.with_consistent_form(df, "text").select("id", "consistent")) == [(1, "appie"), (2, "Bank"), (3, "bank"), (4, None)]
