@@ -3,22 +3,27 @@
 Records are sparse 0/1 vectors of features (topics: their phrase keys), similar when their Jaccard similarity reaches 1/2;
 clusters are what such links join, also over others.
 
-Method: cluster features (n, linear sum, square sum) in a tree per partition, leaves agglomerated in Ward's order, summaries
-merged across partitions, one assignment pass over all records, members nearest the centroid as the typical ones.
-Minimum-variance merging by itself does not reproduce the link relation the result is defined by, so a merge of two
-leaves must be confirmed by one exactly similar pair; Ward's cost decides the order in which leaves are tried, and leaves
-that are joined already are not tried again.
+Method: mergeable cluster features (n, linear sum, square sum) in trees per partition, leaf summaries reduced, Ward
+agglomeration of leaves, one full assignment pass, members nearest the centroid as the typical ones. Minimum-variance
+merging by itself does not reproduce the link relation the result is defined by, so a record is absorbed by a leaf, and a
+leaf merged with another, only with one exactly similar pair as its witness.
 
 1. Equal feature sets are collapsed to their least record.
-2. Records are routed by their rarest features: of n features the n - ceil(n/2) + 1 first in one global order, so any two
-   similar records meet in a bucket. The order follows counters of hash slots, tables of a fixed size. Buckets beyond
-   ``HOT`` are split by pairs of features (similar records that share one feature only are a single and a pair, joined by
-   an exact lookup), so no bucket gathers a feature that a third of all records has.
-3. A partition builds a cluster-feature tree per bucket. A record descends to the nearest leaf and is absorbed when it is
-   similar to the leaf's first record; else it opens a leaf. The triangle inequality on Jaccard distance rules out leaves
-   that cannot hold a similar record. A task emits at most one link per record.
-4. Links are merged to clusters across partitions (components), every record is assigned, clusters get the sums of their
-   features, and members are ranked by their distance to the centroid.
+2. Trees: each record goes to one partition, with others of the same min-hash feature (similar records do so with a
+   probability of at least 1/2). A tree per such group: a record descends to the nearest leaf that holds a similar record,
+   or opens a leaf; leaves are agglomerated in Ward's order. What leaves the partition is each record's leaf summary, its
+   least record; no later step looks at pairs inside a leaf.
+3. Summaries are reduced: records are routed by their rarest features (of n features the n - ceil(n/2) + 1 first in one
+   global order, so any two similar records meet), counted per key together with the least and the greatest leaf. Keys
+   that one leaf alone reaches are dropped before any feature is shuffled. The order follows counters of hash slots,
+   tables of a fixed size.
+4. A key of more than ``HOT`` records is split by further features, again and again: similar records under a key S of l
+   features share a further one, unless their sizes sum to 3 l at most; then all of them are similar to the smallest
+   record under S, to which they are linked (a minimum per key, nothing is gathered).
+5. Leaves under one key are agglomerated as in 2. Candidates come from an index of the rarest features under the key, never
+   from all pairs of leaves or records.
+6. Links of leaves are merged to clusters (components), every record is assigned through its leaf, clusters get the sums of
+   their features, and members are ranked by their distance to the centroid.
 
 Defined results: records without features are clusters of their own; null features are not features; repeated rows count
 once; an empty table gives no rows; ties go to the smaller record.
@@ -27,11 +32,13 @@ once; an empty table gives no rows; ties go to the smaller record.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,44 +46,39 @@ from phraseworks.llm.components import components
 from phraseworks.llm.distinct import phrase_rows
 from phraseworks.session import cut_lineage
 
-#: Records of a bucket beyond which it is split by pairs of features.
+#: Records under a key beyond which it is split by further features, and how many features a key has at most.
 HOT = 2000
+MAX_DEPTH = 8
 #: Powers of two between which the number of counter slots follows the number of records: at most 32 MB a table.
 MIN_SLOTS, MAX_SLOTS = 16, 22
-#: The distance of similar records, with room for the rounding of sums of distances: pruning must not lose an exact 1/2.
-REACH = 0.5 + 1e-9
-#: Leaves below a node of the tree.
-BRANCHING = 16
-
-
 def similar(a: frozenset[int], b: frozenset[int]) -> bool:
     """Jaccard similarity of at least 1/2."""
     return 3 * len(a & b) >= len(a) + len(b)
 
 
-def distance(a: frozenset[int], b: frozenset[int]) -> float:
-    both = len(a & b)
-    return 1 - both / (len(a) + len(b) - both)
-
-
 class Leaf:
-    """A cluster feature: members that are similar to the first of them, their number, linear sum and square sum."""
+    """A cluster feature: the number of its members, their linear sum and square sum. Mergeable."""
 
-    __slots__ = ("first", "members", "n", "radius", "squares", "sums")
+    __slots__ = ("members", "n", "squares", "sums")
 
     def __init__(self, record: int, features: frozenset[int]):
-        self.first, self.members = features, [(record, features)]
-        self.n, self.radius, self.squares = 1, 0.0, len(features)
+        self.members, self.n, self.squares = [(record, features)], 1, len(features)
         self.sums = dict.fromkeys(features, 1)
 
-    def add(self, record: int, features: frozenset[int], away: float) -> None:
+    def add(self, record: int, features: frozenset[int], away: float = 0.0) -> None:  # noqa: ARG002
         self.members.append((record, features))
         self.n += 1
         self.squares += len(features)
-        self.radius = max(self.radius, away)
         for f in features:
             self.sums[f] = self.sums.get(f, 0) + 1
 
+    def merge(self, other: Leaf) -> None:
+        self.members += other.members
+        self.n += other.n
+        self.squares += other.squares
+        for f, c in other.sums.items():
+            self.sums[f] = self.sums.get(f, 0) + c
+
     def ward(self, other: Leaf) -> float:
         """What merging the two would add to the summed squared distances from centroids."""
         small, large = (self, other) if len(self.sums) < len(other.sums) else (other, self)
@@ -85,54 +87,23 @@ class Leaf:
         return self.n * other.n / (self.n + other.n) * (own - 2 * dot)
 
 
-class FeatureTree:
-    """Two levels: nodes group leaves around a first record; a record looks at the leaves of the nodes it can reach."""
-
-    def __init__(self):
-        self.nodes: list[tuple[frozenset[int], list[Leaf]]] = []
-        self.reach: list[float] = []
-
-    def leaves(self) -> Iterator[Leaf]:
-        for _, leaves in self.nodes:
-            yield from leaves
-
-    def insert(self, record: int, features: frozenset[int]) -> None:
-        nearest, away = None, 2.0
-        for i, (first, leaves) in enumerate(self.nodes):
-            if distance(first, features) - self.reach[i] > REACH:
-                continue
-            for leaf in leaves:
-                d = distance(leaf.first, features)
-                if d < away:
-                    nearest, away = leaf, d
-        if nearest is not None and similar(nearest.first, features):
-            nearest.add(record, features, away)
-            return
-        leaf = Leaf(record, features)
-        best, at = 0.9, -1
-        for i, (first, leaves) in enumerate(self.nodes):
-            d = distance(first, features)
-            if d < best and len(leaves) < BRANCHING:
-                best, at = d, i
-        if at < 0:
-            self.nodes.append((features, [leaf]))
-            self.reach.append(0.0)
-        else:
-            self.nodes[at][1].append(leaf)
-            self.reach[at] = max(self.reach[at], best)
-
+def bucket_links(bucket: list[tuple[int, frozenset[int]]], roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join exactly the records of a bucket that similarity joins: at most one less than its leaves.
 
-def bucket_links(bucket: list[tuple[int, frozenset[int]]]) -> list[tuple[int, int]]:
-    """Links that join exactly the records of a bucket that similarity joins: at most one less than its records."""
+    ``roots``: the leaves the records are in already. Records are inserted one by one. Those similar to the new one are
+    among the inserted ones that share a feature of its prefix in the order of rarity inside the bucket; the nearest one's
+    leaf absorbs it, the leaves of the others are to be merged with that leaf, in Ward's order.
+    """
     if len(bucket) == 2:
         (a, x), (b, y) = bucket
-        return [(a, b)] if similar(x, y) else []
-    tree = FeatureTree()
-    for record, features in bucket:
-        tree.insert(record, features)
-    leaves = [*tree.leaves()]
-    links = [(leaf.members[0][0], r) for leaf in leaves for r, _ in leaf.members[1:]]
-    parent = list(range(len(leaves)))
+        return [(a, b)] if (roots is None or roots[0] != roots[1]) and similar(x, y) else []
+    often = Counter(f for _, features in bucket for f in features)
+    index: dict[int, list[int]] = {}
+    leaf_of: list[int] = []  # by position, the position that stands for the leaf
+    given: dict[int, int] = {}
+    leaves: dict[int, Leaf] = {}
+    links: list[tuple[int, int]] = []
+    parent = list(range(len(bucket)))
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -140,29 +111,64 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]]) -> list[tuple[int, in
             i = parent[i]
         return i
 
-    order = []
-    for i, a in enumerate(leaves):
-        for j in range(i + 1, len(leaves)):
-            b = leaves[j]
-            if distance(a.first, b.first) - a.radius - b.radius <= REACH:  # else no member of one is similar to one of the other
-                order.append((a.ward(b), i, j))
-    heapq.heapify(order)
-    while order:
-        _, i, j = heapq.heappop(order)
-        if find(i) == find(j):
-            continue
-        a, b = leaves[i], leaves[j]
-        link = next(((r, s) for r, x in a.members if distance(x, b.first) - b.radius <= REACH for s, y in b.members if similar(x, y)), None)
-        if link:
-            links.append(link)
-            parent[find(i)] = find(j)
+    waiting: list[tuple[float, int, int, int, int]] = []
+    for i, (record, features) in enumerate(bucket):
+        if roots is not None and (known := given.setdefault(roots[i], i)) != i:
+            own = find(known)
+            parent[i] = own
+            leaves[own].add(record, features)
+        else:
+            own = i
+        n = len(features)
+        prefix = sorted(features, key=lambda f: (often[f], f))[: n - (n + 1) // 2 + 1]
+        near: dict[int, tuple[float, int]] = {}  # by leaf: the nearest similar record
+        for f in prefix:
+            for j in index.get(f, ()):
+                leaf = find(leaf_of[j])
+                if leaf == own:
+                    continue
+                other = bucket[j][1]
+                both = len(features & other)
+                if 3 * both >= n + len(other):
+                    near[leaf] = min(near.get(leaf, (2.0, j)), (1 - both / (n + len(other) - both), j))
+            index.setdefault(f, []).append(i)
+        if near and own == i:  # the nearest leaf absorbs the record
+            leaf, (_, j) = min(near.items(), key=lambda x: x[1])
+            del near[leaf]
+            parent[i] = own = leaf
+            leaves[leaf].add(record, features)
+            links.append((bucket[j][0], record))
+        elif own == i:
+            leaves[i] = Leaf(record, features)
+        leaf_of.append(own)
+        for leaf, (_, j) in near.items():
+            waiting.append((leaves[own].ward(leaves[leaf]), own, leaf, i, j))
+        if len(waiting) >= 4 * len(leaves):  # no more than a few per leaf wait at a time
+            _agglomerate(waiting, leaves, parent, find, bucket, links)
+    _agglomerate(waiting, leaves, parent, find, bucket, links)
     return links
 
 
+def _agglomerate(waiting: list, leaves: dict[int, Leaf], parent: list[int], find, bucket: list, links: list[tuple[int, int]]) -> None:
+    """Merge leaves that a similar pair joins, the cheapest by Ward's cost first."""
+    heapq.heapify(waiting)
+    while waiting:
+        _, a, b, i, j = heapq.heappop(waiting)
+        a, b = sorted((find(a), find(b)))
+        if a != b:
+            leaves[a].merge(leaves.pop(b))
+            parent[b] = a
+            links.append((bucket[j][0], bucket[i][0]))
+
+
 _LINKS = "u bigint, v bigint"
 _LINKS_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-_ENTRIES = "bucket bigint, record bigint, features array<bigint>"
-_ENTRIES_ARROW = pa.schema([("bucket", pa.int64()), ("record", pa.int64()), ("features", pa.list_(pa.int64()))])
+_ROOTED = "record bigint, root bigint, features array<bigint>"
+_ROOTED_ARROW = pa.schema([("record", pa.int64()), ("root", pa.int64()), ("features", pa.list_(pa.int64()))])
+_ENTRIES = "bucket bigint, record bigint, root bigint, features array<bigint>"
+_ENTRIES_ARROW = pa.schema([("bucket", pa.int64()), ("record", pa.int64()), ("root", pa.int64()), ("features", pa.list_(pa.int64()))])
+_MEMBERS = "bucket bigint, level int, size int, root bigint"
+_MEMBERS_ARROW = pa.schema([("bucket", pa.int64()), ("level", pa.int32()), ("size", pa.int32()), ("root", pa.int64())])
 
 
 class Forest(dict):
@@ -180,25 +186,59 @@ class Forest(dict):
         return a != b
 
 
-def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The partition is sorted by bucket. Links between records the task has joined already are not emitted again."""
-    key, bucket, found, forest = None, {}, [], Forest()
+def _groups(batches: Iterator[pa.RecordBatch], key: str, *columns: str) -> Iterator[list[tuple]]:
+    """The rows of each run of equal keys of a partition that is sorted by ``key``."""
+    now, rows = None, []
+    for batch in batches:
+        for k, *row in zip(*(batch[c].to_pylist() for c in (key, *columns)), strict=True):
+            if k != now:
+                if rows:
+                    yield rows
+                now, rows = k, []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _tree_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One tree per group of the partition, which is sorted by ``home``: each record with the least record of its leaf."""
+    out: list[tuple] = []
+
+    def emit() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(_ROOTED_ARROW)], schema=_ROOTED_ARROW)
+        out.clear()
+        return made
+
+    for rows in _groups(batches, "home", "record", "features"):
+        forest = Forest()
+        if len(rows) > 1:
+            for a, b in bucket_links([(r, frozenset(x)) for r, x in rows]):
+                forest.join(a, b)
+        out += [(r, forest.root(r), x) for r, x in rows]
+        if len(out) > 10_000:
+            yield emit()
+    yield emit()
 
-    def close() -> None:
-        if len(bucket) > 1:
-            found.extend(x for x in bucket_links([*bucket.items()]) if forest.join(*x))
 
-    for batch in batches:
-        for k, record, features in zip(*(batch[c].to_pylist() for c in ("bucket", "record", "features")), strict=True):
-            if k != key:
-                close()
-                key, bucket = k, {}
-            bucket[record] = frozenset(features)
+def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The partition is sorted by bucket. Links between leaves that the task has joined already are not emitted again."""
+    found, forest = [], Forest()
+
+    def emit() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=_LINKS_ARROW)
+        found.clear()
+        return made
+
+    for rows in _groups(batches, "bucket", "record", "root", "features"):
+        bucket = {r: (forest.root(root), root, frozenset(x)) for r, root, x in rows}
+        if len({x[0] for x in bucket.values()}) > 1:
+            own = {r: x[1] for r, x in bucket.items()}
+            for a, b in bucket_links([(r, x[2]) for r, x in bucket.items()], [x[0] for x in bucket.values()]):
+                if forest.join(own[a], own[b]):
+                    found.append((own[a], own[b]))
         if len(found) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], schema=_LINKS_ARROW)
-            found.clear()
-    close()
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], schema=_LINKS_ARROW)
+            yield emit()
+    yield emit()
 
 
 def feature_sets(terms: DataFrame) -> DataFrame:
@@ -225,80 +265,180 @@ def slot(features: np.ndarray, slots: int) -> np.ndarray:
     return (features.astype(np.uint64) % np.uint64(slots)).astype(np.int64)
 
 
-def _tally(sets: DataFrame, slots: int, counters: np.ndarray | None = None) -> np.ndarray:
-    """How many features (given the order: how many prefix features) fall into each of a fixed number of slots."""
-    shared = sets.sparkSession.sparkContext.broadcast(counters)
+def _key(features: list[int]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(map(str, sorted(features)))) - (1 << 63)
+
+
+#: States of the keys of a hash slot: nothing to do, few records, many.
+DEAD, FEW, MANY = 0, 1, 2
+
+
+class Keys:
+    """The keys of a batch of records. ``states[l - 1]`` are those of keys of l features, as far as they are known."""
+
+    def __init__(self, batch: pa.RecordBatch, counters: np.ndarray, states: list[np.ndarray]):
+        self.p, self.states, self.slots = Prefixes(batch, counters), states, len(counters)
+        first = np.flatnonzero(self.p.place < self.p.prefix[self.p.row])
+        self.first, self.row = self.p.flat[first], self.p.row[first]
+        self.starts = np.cumsum(self.p.size) - self.p.size
+        self.at = self.p.place[first]
+
+    def single(self) -> np.ndarray:
+        return self.states[0][slot(self.first, self.slots)]
+
+    def longer(self) -> Iterator[tuple[int, int, int, int]]:
+        """``(row, level, key, state)`` of keys below those that many records have; state -1 where it is not known."""
+        for i in np.flatnonzero(self.single() == MANY).tolist():
+            r = int(self.row[i])
+            n, begin = int(self.p.size[r]), int(self.starts[r])
+            features = self.p.flat[begin : begin + n].tolist()
+            yield from self._below(r, features, [int(self.at[i])], int(self.p.prefix[r]))
+
+    def _below(self, r: int, features: list[int], places: list[int], prefix: int) -> Iterator[tuple[int, int, int, int]]:
+        level = len(places) + 1
+        known = len(self.states) >= level
+        for j in range(places[-1] + 1, min(len(features), prefix + level - 1)):
+            key = _key([features[k] for k in (*places, j)])
+            state = int(self.states[level - 1][key % self.slots]) if known else -1
+            if state != DEAD:
+                yield r, level, key, state
+            if state == MANY:
+                yield from self._below(r, features, [*places, j], prefix)
+
+
+def _summed(rows: DataFrame, slots: int, make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """``(slot, n, lo, hi)`` of what ``make`` gives: slots, and the leaves that reach them; at most ``slots`` rows a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(slots, np.int64)
+        n, lo, hi = np.zeros(slots, np.int64), np.full(slots, np.iinfo(np.int64).max), np.full(slots, np.iinfo(np.int64).min)
+        for at, root in make(batches):
+            n += np.bincount(at, minlength=slots)
+            np.minimum.at(lo, at, root)
+            np.maximum.at(hi, at, root)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(lo[at]), pa.array(hi[at])], names=["slot", "n", "lo", "hi"])
+
+    return rows.mapInArrow(count, "slot bigint, n bigint, lo bigint, hi bigint").groupBy("slot").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def _counters(sets: DataFrame, slots: int) -> np.ndarray:
+    """In how many sets the features of each slot are."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
-            p = Prefixes(batch, shared.value)
-            flat = p.flat if shared.value is None else p.flat[p.place < p.prefix[p.row]]
-            total += np.bincount(slot(flat, slots), minlength=slots)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
-
-    summed = sets.select("features").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    made = np.zeros(slots, np.int64)
-    made[summed["slot"].to_numpy()] = summed["n"].to_numpy()
+            flat = Prefixes(batch, None).flat
+            yield slot(flat, slots), np.zeros(len(flat), np.int64)
+
+    summed = _summed(sets.select("features"), slots, make).select("slot", "n").toPandas()
+    made = np.zeros(slots, np.int32)
+    made[summed["slot"].to_numpy()] = np.minimum(summed["n"].to_numpy(), np.iinfo(np.int32).max)
     return made
 
 
-def buckets(sets: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(bucket, record, features)`` of distinct ``sets (record, features)``: any two similar ones, but a single and a pair, share a bucket.
+def _key_states(rooted: DataFrame, shared: Broadcast, level: int, states: list[np.ndarray], hot: int, slots: int) -> np.ndarray:
+    """The states of the slots of keys of ``level`` features: of fixed size, whatever the data hold."""
+    known = rooted.sparkSession.sparkContext.broadcast(states)
 
-    Rarity comes from counters of hash slots: a consistent global order is all that the prefix argument needs. Slots that
-    one prefix feature falls into need no bucket; features of slots beyond ``hot`` are split by pairs.
-    """
-    slots = 1 << min(MAX_SLOTS, max(MIN_SLOTS, (4 * sets.count()).bit_length()))
-    counters = _tally(sets, slots)
-    entries = _tally(sets, slots, counters)
-    shared = sets.sparkSession.sparkContext.broadcast((counters, entries))
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            root = batch["root"].to_numpy()
+            keys = Keys(batch, shared.value, known.value)
+            if level == 1:
+                yield slot(keys.first, slots), root[keys.row]
+            elif found := [(key % slots, root[r]) for r, depth, key, _ in keys.longer() if depth == level]:
+                yield np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
+
+    alive = _summed(rooted, slots, make).where("n > 1 and lo < hi").select("slot", (F.col("n") > hot).alias("many")).toPandas()
+    made = np.zeros(slots, np.int8)
+    made[alive["slot"].to_numpy()] = np.where(alive["many"].to_numpy().astype(bool) & (level < MAX_DEPTH), MANY, FEW)
+    return made
+
+
+def _homes(sets: DataFrame, shared: Broadcast, hot: int) -> DataFrame:
+    """``(home, record, features)``: one partition key per record, its least feature by a hash among those that few records have."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, counters = Prefixes(batch, None), shared.value
+            often = counters[slot(p.flat, len(counters))]
+            order = (p.flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(1)
+            order = np.where((often > 1) & (often <= hot), order, np.uint64(1 << 63) | order)
+            first = np.lexsort((order, p.row))[np.cumsum(p.size) - p.size]
+            # a record without such a feature is a group by itself: its key is that of all its features
+            alone = np.flatnonzero(order[first] >= np.uint64(1 << 63))
+            home = p.flat[first].copy()
+            begin = np.cumsum(p.size) - p.size
+            home[alone] = [_key(p.flat[begin[r] : begin[r] + p.size[r]].tolist()) for r in alone.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(home), batch["record"], batch["features"]], names=["home", "record", "features"])
+
+    return sets.mapInArrow(place, "home bigint, record bigint, features array<bigint>")
+
+
+def _entries(rooted: DataFrame, shared: Broadcast, known: Broadcast) -> DataFrame:
+    """``(bucket, record, root, features)``: records under the keys that few records, of different leaves, have."""
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters, entries = shared.value
         for batch in batches:
-            p = Prefixes(batch, counters)
-            load = entries[slot(p.flat, slots)]
-            chosen = (p.place < p.prefix[p.row]) & (load > 1)
-            plain = np.flatnonzero(chosen & (load <= hot))
-            bucket, row = p.flat[plain], p.row[plain]
-            if (wide := np.flatnonzero(chosen & (load > hot))).size:
-                pairs = []
-                starts = np.cumsum(p.size) - p.size
-                for at in wide.tolist():
-                    r, f = int(p.row[at]), int(p.flat[at])
-                    for other in p.flat[starts[r] : starts[r] + min(p.size[r], p.prefix[r] + 1)].tolist():
-                        if other != f:
-                            pairs.append((xxhash.xxh64_intdigest(f"{min(f, other)} {max(f, other)}") - (1 << 63), r))
-                pairs = sorted({*pairs}, key=lambda x: x[1])
-                bucket = np.concatenate([bucket, np.array([x[0] for x in pairs], np.int64)])
-                row = np.concatenate([row, np.array([x[1] for x in pairs], np.int64)])
+            keys = Keys(batch, shared.value, known.value)
+            few = np.flatnonzero(keys.single() == FEW)
+            longer = [(key, r) for r, _, key, state in keys.longer() if state == FEW]
+            bucket = np.concatenate([keys.first[few], np.array([x[0] for x in longer], np.int64)])
+            row = np.concatenate([keys.row[few], np.array([x[1] for x in longer], np.int64)])
             for a in range(0, len(row), 10_000):
                 part = pa.array(row[a : a + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 10_000]), batch["record"].take(part), batch["features"].take(part)], schema=_ENTRIES_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 10_000]), *(batch[c].take(part) for c in ("record", "root", "features"))], schema=_ENTRIES_ARROW)
+
+    return rooted.mapInArrow(route, _ENTRIES)
 
-    return sets.mapInArrow(route, _ENTRIES)
 
+def _small_links(rooted: DataFrame, shared: Broadcast, known: Broadcast) -> DataFrame:
+    """``(u, v)``: under a key S of l features that many records have, those whose size and the smallest one's sum to 3 l at most."""
 
-def links(sets: DataFrame, hot: int = HOT) -> DataFrame:
-    """``(u, v)`` that join all similar records of ``(record, features)``; records of equal sets by their least one."""
-    signed = cut_lineage(sets.select("record", "features", F.xxhash64("features", F.size("features")).alias("signature")))
-    least = signed.groupBy("signature").agg(F.min("record").alias("least"))
-    equal = signed.select("record", "signature").join(least, "signature").where("record <> least").select(F.col("record").alias("u"), F.col("least").alias("v"))
-    leading = cut_lineage(signed.join(equal.select(F.col("u").alias("record")), "record", "left_anti").select("record", "features"))
-    found = buckets(leading, hot).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_partition, _LINKS)
-    single = leading.where(F.size("features") == 1).select(F.col("record").alias("v"), F.col("features")[0].alias("h"))
-    double = leading.where(F.size("features") == 2).select(F.col("record").alias("u"), F.explode("features").alias("h"))
-    within = double.join(single, "h").select("u", "v")
-    return found.unionAll(equal).unionAll(within)
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, root = Keys(batch, shared.value, known.value), batch["root"].to_numpy()
+            found = [(int(keys.first[i]), 1, int(keys.row[i])) for i in np.flatnonzero(keys.single() == MANY).tolist()]
+            found += [(key, level, r) for r, level, key, state in keys.longer() if state == MANY]
+            rows = [(key, level, int(keys.p.size[r]), int(root[r])) for key, level, r in found if keys.p.size[r] < 3 * level]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(_MEMBERS_ARROW)], schema=_MEMBERS_ARROW)
+
+    under = rooted.mapInArrow(members, _MEMBERS)
+    least = under.groupBy("bucket", "level").agg(F.min(F.struct("size", "root")).alias("least"))
+    return under.join(least, ["bucket", "level"]).where("size + least.size <= 3 * level and root <> least.root").select(F.col("root").alias("u"), F.col("least.root").alias("v"))
+
+
+def links(sets: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """``(rooted, edges)``: ``(record, root)`` of distinct ``sets (record, features)`` by leaves, and ``(u, v)`` between their roots.
+
+    Together they join exactly the records that similarity joins. The root of a leaf is its least record.
+    """
+    n = sets.count()
+    slots = 1 << min(MAX_SLOTS, max(MIN_SLOTS, (4 * n).bit_length()))
+    context = sets.sparkSession.sparkContext
+    shared = context.broadcast(_counters(sets, slots))
+    homes = _homes(sets, shared, hot).repartition("home").sortWithinPartitions("home")
+    rooted = cut_lineage(homes.mapInArrow(_tree_partition, _ROOTED))
+    states: list[np.ndarray] = []
+    while not states or (states[-1] == MANY).any():
+        states.append(_key_states(rooted, shared, len(states) + 1, states, hot, slots))
+    known = context.broadcast(states)
+    edges = _entries(rooted, shared, known).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_link_partition, _LINKS)
+    if len(states) > 1:
+        edges = edges.unionAll(_small_links(rooted, shared, known))
+    return rooted.select("record", "root"), edges
 
 
 def cluster(terms: DataFrame, records: DataFrame) -> DataFrame:
     """``(record, cluster)`` of every record of ``records (record)``; cluster is its least record."""
-    joined = components(links(feature_sets(terms)))
+    signed = cut_lineage(feature_sets(terms).withColumn("signature", F.xxhash64("features", F.size("features"))))
+    leading = cut_lineage(signed.groupBy("signature").agg(F.min("record").alias("record"), F.first("features").alias("features")))
+    rooted, edges = links(leading.select("record", "features"))
+    joined = components(edges).select(F.col("node").alias("root"), F.col("root").alias("least"))
+    assigned = rooted.join(joined, "root", "left").select("record", F.coalesce("least", "root").alias("cluster"))
+    by_set = leading.select("signature", "record").join(assigned, "record").select("signature", "cluster")
     every = records.select("record").where("record is not null").distinct()
-    return every.join(joined.select(F.col("node").alias("record"), "root"), "record", "left").select("record", F.coalesce("root", "record").alias("cluster"))
+    placed = signed.select("record", "signature").join(by_set, "signature").select("record", "cluster")
+    return every.join(placed, "record", "left").select("record", F.coalesce("cluster", "record").alias("cluster"))
 
 
 def distances(terms: DataFrame, assigned: DataFrame) -> DataFrame:

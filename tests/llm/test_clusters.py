@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -122,3 +123,36 @@ def test_a_link_of_exactly_one_half_survives_rounding():
     assert clusters.similar(bucket[1][1], bucket[2][1]) and not clusters.similar(bucket[0][1], bucket[2][1])
     links = clusters.bucket_links(bucket)
     assert len(links) == 2 and (2, 3) in {tuple(sorted(x)) for x in links}
+
+
+def test_a_large_bucket_of_dissimilar_records_is_no_matter_of_all_pairs():
+    r = random.Random(5)
+    bucket = [(k, frozenset([-1, -2, *r.sample(range(100_000), 6)])) for k in range(20_000)]
+    bucket += [(20_000 + k, bucket[k][1] | {-3}) for k in range(5)]
+    began = time.perf_counter()
+    assert sorted(tuple(sorted(x)) for x in clusters.bucket_links(bucket)) == [(k, 20_000 + k) for k in range(5)]
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_features_that_many_share(spark, monkeypatch, hot):
+    """Small sets of the same few features, and sets that share up to four hot ones."""
+    monkeypatch.setattr(clusters.links, "__defaults__", (hot,))
+    r = random.Random(7)
+    warm = ["h1", "h2", "h3", "h4"]
+    sets = {k: frozenset([*r.sample(warm, r.randint(1, 4)), *(f"x{r.randint(0, 400)}" for _ in range(r.randint(0, 5)))]) for k in range(150)}
+    terms, records = frames(spark, sets)
+    assert dict(rows(clusters.cluster(terms, records))) == brute(sets)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.frozensets(st.integers(0, 9), min_size=1, max_size=6), st.integers(0, 4)), min_size=2, max_size=20))
+def test_leaves_that_are_joined_already(given_sets):
+    """With known leaves the links join what similarity and the leaves join together, and no leaf to itself."""
+    bucket, roots = [(k, s) for k, (s, _) in enumerate(given_sets)], [k for _, k in given_sets]
+    links = clusters.bucket_links(bucket, roots)
+    root = dict(enumerate(roots))
+    for a, b in links:
+        assert clusters.similar(bucket[a][1], bucket[b][1]) and root[a] != root[b]
+        root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    assert all(root[i] == root[j] for i, x in bucket for j, y in bucket if clusters.similar(x, y))
