@@ -27,6 +27,10 @@ class NoRules(ValueError):
     pass
 
 
+class WriterRequired(ValueError):
+    pass
+
+
 @dataclass(frozen=True)
 class Analysis:
     """What ``analyze`` returns: small values, and tables of the session."""
@@ -44,16 +48,24 @@ class Engine:
     def __init__(self, spark: SparkSession, folder: str, writer: PolicyWriter | None = None):
         self.spark, self.store, self.writer = spark, SessionStore(spark, folder), writer or DeterministicWriter()
 
+    def _require(self, writer_required: bool) -> None:
+        """Whoever asks for a language model gets an error where only the deterministic writer is at hand."""
+        if writer_required and isinstance(self.writer, DeterministicWriter):
+            raise WriterRequired("a policy writer is required, but none was given to the engine")
+
     def health(self) -> dict:
         return {"ok": True}
 
-    def analyze(self, docs: DataFrame, max_topics: int = 8, low: float = 0.10, high: float = 0.85, corpus_hint: str = "", labels: DataFrame | None = None) -> Analysis:
-        """Statistics, topics and previews of ``docs (doc_id, text)``, kept as a session.
+    def analyze(self, docs: DataFrame, max_topics: int = 8, low: float = 0.10, high: float = 0.85, corpus_hint: str = "", labels: DataFrame | None = None, writer_required: bool = False) -> Analysis:
+        """Statistics, topics and previews of ``docs (doc_id, text)``, kept as a session with the names and sizes of files.
 
-        ``labels (doc_id, label int)`` replaces clustering where given.
+        ``docs`` may have ``name`` and ``n_bytes``. ``labels (doc_id, label int)`` replaces clustering where given.
         """
+        self._require(writer_required)
         max_topics = max(2, min(max_topics, 20))
-        readable = cut_lineage(terms.readable(docs.select("doc_id", "text")))
+        name = F.coalesce("name", F.lit("unknown")) if "name" in docs.columns else F.lit("unknown")
+        n_bytes = F.col("n_bytes").cast("bigint") if "n_bytes" in docs.columns else F.octet_length("text").cast("bigint")
+        readable = cut_lineage(terms.readable(docs.select("doc_id", "text", name.alias("name"), n_bytes.alias("n_bytes"))))
         n_docs = readable.count()
         if not n_docs:
             raise NoReadableText("no readable text extracted from the documents")
@@ -62,8 +74,7 @@ class Engine:
         if not readable.where(F.length("text") > terms.MAX_TOKENS).isEmpty():  # only statistics are capped, vectors are not
             stats = cut_lineage(terms.term_stats(terms.doc_term_counts(readable, cap=terms.MAX_TOKENS), n_docs))
         if n_docs == 1 and labels is None:
-            phrases = stats.orderBy(F.desc("df"), F.desc("tf"), "term").limit(20)
-            found = phrases.select(F.lit(0).alias("label"), F.col("term").alias("phrase"), "df_ratio", F.expr("cast(row_number() over (order by df desc, tf desc, term) as int)").alias("rank"))
+            found = topics.single_topic(stats.select(F.lit(0).alias("label"), "term", "tf"))
             labelled, names = readable.select("doc_id", F.lit(0).alias("label")), {0: "Single Document Topic"}
         else:
             vocab = cut_lineage(vectors.vocabulary(whole))
@@ -118,6 +129,7 @@ class Engine:
         own: dict[int, list[str]] = {}
         for r in fit:
             own.setdefault(r["label"], []).append(r["phrase"])
+        defaults = {r["label"]: r["groups"] for r in cooccurrence.default_groups(self.spark.createDataFrame([(r["label"], r["pos"], r["phrase"]) for r in fit], "label int, pos int, phrase string")).collect()} if fit else {}
         dense = {int(x["label"]) for x in topic_list if x["doc_count"] >= 2 and len(own.get(int(x["label"]), [])) >= 8}
         proposed: dict[int, dict[int, list]] = {}
         if dense:
@@ -130,13 +142,14 @@ class Engine:
         made = []
         for x in topic_list:
             mine, found = own.get(int(x["label"]), []), proposed.get(int(x["label"]))
-            groups = [[p for _, p in sorted(g)] for _, g in sorted(found.items())] if found else [mine[:6], mine[6:12] or mine[:6]]
+            groups = [[p for _, p in sorted(g)] for _, g in sorted(found.items())] if found else defaults.get(int(x["label"]), [[], []])
             made.append({**x, "phrases": mine, "groups": groups})
         return made
 
-    def generate_policy(self, session: str, title: str = "DLP Keyword Policy (Proposed)", corpus_hint: str = "", max_rules: int = 5, low: float = 0.10, high: float = 0.85, include_patterns: bool = True, max_patterns: int = 8) -> str:
+    def generate_policy(self, session: str, title: str = "DLP Keyword Policy (Proposed)", corpus_hint: str = "", max_rules: int = 5, low: float = 0.10, high: float = 0.85, include_patterns: bool = True, max_patterns: int = 8, writer_required: bool = False) -> str:
         """The policy as markdown: one rule a topic, cleaned against what was offered, chosen by coverage."""
         values = self.store.values(session)
+        self._require(writer_required)
         base = max(1, min(int(max_rules), HARD_CAP))
         listed = values["topics_local"][: base + min(EXTRA_CAP, HARD_CAP - base)]
         proposals = self._proposals(session, values, listed, low, high)

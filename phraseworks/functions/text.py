@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +25,11 @@ def blank_free(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def strip(c: Column) -> Column:
+    """Without blanks of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def normalize_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(blank_free(c), BLANKS, " "))
 
@@ -69,6 +75,21 @@ def quote_phrase(c: Column) -> Column:
     return F.concat(F.lit('"'), bare, F.lit('"'))
 
 
+def _joined(parts: Column, word: str) -> Column:
+    """The parts joined by the operator, in parentheses if there are several."""
+    return F.when(F.size(parts) == 1, parts[0]).when(F.size(parts) > 1, F.concat(F.lit("("), F.array_join(parts, f" {word} "), F.lit(")"))).otherwise("")
+
+
+def any_of(phrases: Column) -> Column:
+    """A group of phrases as rule text; blank ones are left out."""
+    return _joined(F.transform(F.filter(phrases, lambda p: F.length(normalize_ws(p)) > 0), quote_phrase), "OR")
+
+
+def all_of(groups: Sequence[Column]) -> Column:
+    """Groups of phrases as rule text; empty ones are left out."""
+    return _joined(F.filter(F.array(*[any_of(g) for g in groups]), lambda g: F.length(g) > 0), "AND")
+
+
 def topic_title(c: Column) -> Column:
     kept = F.trim(F.regexp_replace(normalize_ws(c), r"[^\p{L}\p{N}_؀-ۿ\s&/-]+", ""))
     return F.when(F.length(kept) > 0, F.substring(kept, 1, 80)).otherwise("Untitled Topic")
@@ -93,7 +114,7 @@ def md_escape(c: Column) -> Column:
 
 
 def escape_term(c: Column) -> Column:
-    return F.trim(F.replace(blank_free(c), F.lit('"'), F.lit("")))
+    return strip(F.replace(blank_free(c), F.lit('"'), F.lit("")))
 
 
 def strip_direction_marks(c: Column) -> Column:
@@ -109,33 +130,33 @@ def identifier_tokens(c: Column) -> Column:
 def normalize_line(c: Column) -> Column:
     """A line without what differs between repetitions: page numbers and runs of digits."""
     one = normalize_ws(c)
-    paged = F.regexp_replace(one, rf"(?i)(?<!{WORD_CHAR})page\s*\d+\s*(?:of\s*\d+)?(?!{WORD_CHAR})", "page")
+    paged = F.regexp_replace(one, rf"(?i)(?<!{WORD_CHAR})page\s*\p{{Nd}}+\s*(?:of\s*\p{{Nd}}+)?(?!{WORD_CHAR})", "page")
     paged = F.regexp_replace(paged, r"صفحة\s*[\p{Nd}]+", "صفحة")
     return F.lower(F.regexp_replace(paged, rf"(?<!{WORD_CHAR})\p{{Nd}}{{2,}}(?!{WORD_CHAR})", "0"))
 
 
 def is_low_generalization(c: Column) -> Column:
     """Dates, numbers, identifiers and repeated words do not carry over to other documents."""
-    s = F.lower(F.trim(blank_free(c)))
+    s = F.lower(strip(blank_free(c)))
     return (
         (s == "")
-        | s.rlike(r"^\d{4}-\d{2}-\d{2}$")
+        | s.rlike(r"^\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}$")
         | F.replace(s, F.lit(" "), F.lit("")).rlike(r"^[^\p{L}]+$")
-        | s.rlike(rf"^({WORD_CHAR}+)(?:\s+\1)+$")
-        | (s.rlike(r"\d{3}") & ~s.contains(" "))
-        | ((F.length(s) >= 18) & s.rlike(r"\d") & s.contains("-"))
+        | s.rlike(rf"(?U)^({WORD_CHAR}+)(?:[\s\x1c-\x1f]+\1)+$")
+        | (s.rlike(r"\p{Nd}{3}") & ~s.contains(" "))
+        | ((F.length(s) >= 18) & s.rlike(r"\p{Nd}") & s.contains("-"))
     )
 
 
 def clean_text(c: Column) -> Column:
     """NUL and runs of blanks to one space, at most one empty line in a row."""
     spaced = F.regexp_replace(F.translate(blank_free(c), "\x00", " "), r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(spaced, r"\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    return strip(F.regexp_replace(spaced, r"\n{3,}", "\n\n"))
 
 
 def strip_code_fences(c: Column) -> Column:
-    s = F.trim(c)
-    return F.trim(F.regexp_replace(F.regexp_replace(s, r"^```[a-zA-Z0-9_-]*\s*", ""), r"\s*```$", ""))
+    """Without a fence line at the beginning and one at the end."""
+    return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-zA-Z0-9_-]*", ""), r"```$", ""))
 
 
 def quoted_phrases(c: Column) -> Column:

@@ -15,13 +15,21 @@ MIN_DOCS, MIN_PAIR = 2, 2
 def presence(docs: DataFrame, labels: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(label, doc_id, idx)`` where a topic's phrase is in a topic's document; phrases ``(label, idx, phrase)``.
 
-    A topic has at most some tens of phrases: they are gathered per topic, joined to its documents on the label, and tested
-    inside the document's row.
+    Topics are few and have some tens of phrases each, so the distinct phrases are literals of one projection: each is
+    sought as a plain substring, then between word boundaries, by a pattern compiled once. Texts stay where they are;
+    what is joined to the labels is a document's id and the numbers of the phrases it holds.
     """
-    per_topic = phrases.groupBy("label").agg(F.collect_list(F.struct("idx", t.norm_lc(F.col("phrase")).alias("p"))).alias("ps"))
-    texts = docs.select("doc_id", t.norm_lc(F.col("text")).alias("lc")).join(labels, "doc_id")
-    tested = texts.join(per_topic, "label").select("label", "doc_id", "lc", F.explode("ps").alias("x"))
-    return tested.where(phrase_present(F.col("lc"), F.col("x.p"))).select("label", "doc_id", "x.idx")
+    listed = [(r["label"], r["idx"], t.ws(r["phrase"]).lower()) for r in phrases.select("label", "idx", "phrase").collect()]
+    distinct = sorted({p for _, _, p in listed if p})
+    if not distinct:
+        return labels.select("label", "doc_id").where("false").select("label", "doc_id", F.lit(0).alias("idx"))
+    number = {p: i for i, p in enumerate(distinct)}
+    texts = docs.select("doc_id", F.explode(F.array(t.norm_lc(F.col("text")))).alias("lc"))
+    flags = [F.when(F.contains("lc", F.lit(p)) & phrase_present(F.col("lc"), p), F.lit(i)) for i, p in enumerate(distinct)]
+    found = texts.select("doc_id", F.explode(F.array_compact(F.array(*flags))).alias("phrase"))
+    kind = phrases.schema["idx"].dataType.simpleString()
+    wanted = phrases.sparkSession.createDataFrame([(label, idx, number[p]) for label, idx, p in listed if p], f"label {phrases.schema['label'].dataType.simpleString()}, idx {kind}, phrase int")
+    return found.join(labels, "doc_id").join(wanted, ["label", "phrase"]).select("label", "doc_id", "idx")
 
 
 def phrase_df(present: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -92,3 +100,15 @@ def groups(phrases: DataFrame, df: DataFrame, pairs: DataFrame, sizes: DataFrame
     # groups are numbered without gaps: a topic may lack context
     w = Window.partitionBy("label").orderBy("part")
     return every.withColumn("group", F.dense_rank().over(w)).where(F.col("group") <= max_groups).select("label", "group", "rank", "phrase")
+
+
+def default_groups(phrases: DataFrame) -> DataFrame:
+    """``(label, groups)``: groups where co-occurrence says nothing, the first and the second six phrases of ``(label, pos, phrase)``.
+
+    Where there are no second six, the first stand twice. Phrases beyond the twelfth are cut before they are gathered.
+    """
+    w = Window.partitionBy("label").orderBy("pos")
+    first = phrases.withColumn("place", F.row_number().over(w)).where(F.col("place") <= 2 * GROUP)
+    own = first.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "phrase"))), lambda x: x["phrase"]).alias("ps"))
+    one, two = F.slice("ps", 1, GROUP), F.slice("ps", GROUP + 1, GROUP)
+    return own.select("label", F.array(one, F.when(F.size(two) > 0, two).otherwise(one)).alias("groups"))

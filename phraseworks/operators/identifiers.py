@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names and patterns.
@@ -37,3 +39,12 @@ def suggest(phrases: Sequence[str]) -> list[dict[str, str]]:
     hinted = {family for family, words in HINTS if any(w in text for w in words)}
     kept = [{"name": n, "regex": p} for n, p in CATALOGUE if any(f in hinted and f in n.lower() for f, _ in HINTS)]
     return kept or [{"name": n, "regex": p} for n, p in CATALOGUE[:4]]
+
+
+def suggested(text: Column) -> Column:
+    """``array<struct<name, regex>>``: the same for a text per row, the phrases of a topic joined."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    hinted = {family: reduce(or_, [F.contains(low, F.lit(w)) for w in words]) for family, words in HINTS}
+    entries = [(F.struct(F.lit(n).alias("name"), F.lit(p).alias("regex")), [hinted[f] for f, _ in HINTS if f in n.lower()]) for n, p in CATALOGUE]
+    kept = F.array_compact(F.array(*[F.when(reduce(or_, when), entry) for entry, when in entries if when]))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(*[entry for entry, _ in entries[:4]]))

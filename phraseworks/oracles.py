@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from phraseworks.functions.text import match_tokens
 from phraseworks.operators import identifiers, stopwords
-from phraseworks.plans import render
 from phraseworks.plans.rules import Join, Node, Phrase, Rule, parse_policy
 
 BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -38,6 +38,20 @@ def match_form(x: str) -> str:
     return ws(f"translate({folded}, 'أإآ²', 'ااا2')")
 
 
+def compatible(x: str) -> str:
+    """NFKC: forms of one character by one translation, those of several by a map over characters, then composed."""
+    single, several = {}, {}
+    for code in [*range(0xA0, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F252)]:
+        made = unicodedata.normalize("NFKC", chr(code))
+        if made != chr(code):
+            (single if len(made) == 1 else several)[chr(code)] = made
+    mapped = f"translate({x}, {lit(''.join(single))}, {lit(''.join(single.values()))})"
+    pairs = ", ".join(f"{lit(a)}: {lit(b)}" for a, b in several.items())
+    chars = f"[{''.join(several)}]"
+    whole = f"array_to_string(list_transform(string_split({mapped}, ''), lambda c: coalesce(MAP {{{pairs}}}[c], c)), '')"
+    return f"nfc_normalize(CASE WHEN regexp_matches({mapped}, {lit(chars)}) THEN {whole} ELSE {mapped} END)"
+
+
 def match_text(x: str) -> str:
     return f"' ' || array_to_string(regexp_extract_all({match_form(x)}, '{TOKEN}'), ' ') || ' '"
 
@@ -72,9 +86,9 @@ VECTORS = (
     "norms AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM raw GROUP BY 1), weights AS (SELECT doc_id, term, w / norm AS weight FROM raw JOIN norms USING (doc_id))"
 )
 LOW = (
-    r"(trim(term) = '' OR regexp_matches(term, '^\d{4}-\d{2}-\d{2}$') OR NOT regexp_matches(replace(term, ' ', ''), '\p{L}') "
-    r"OR (len(string_split(term, ' ')) >= 2 AND len(list_distinct(string_split(term, ' '))) = 1) OR (regexp_matches(term, '\d{3}') AND NOT contains(term, ' ')) "
-    r"OR (length(term) >= 18 AND regexp_matches(term, '\d') AND contains(term, '-')))"
+    r"(trim(term) = '' OR regexp_matches(term, '^\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}$') OR NOT regexp_matches(replace(term, ' ', ''), '\p{L}') "
+    r"OR (len(string_split(term, ' ')) >= 2 AND len(list_distinct(string_split(term, ' '))) = 1) OR (regexp_matches(term, '\p{Nd}{3}') AND NOT contains(term, ' ')) "
+    r"OR (length(term) >= 18 AND regexp_matches(term, '\p{Nd}') AND contains(term, '-')))"
 )
 
 
@@ -111,7 +125,7 @@ def lines() -> str:
     break_ = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
     norm = ws("line")
     # boundaries consumed and given back; repeated so that neighbours that share a boundary are found too
-    page = rf"regexp_replace({norm}, '(?i)(^|{NOT_W})page\s*\d+\s*(?:of\s*\d+)?($|{NOT_W})', '\1page\2', 'g')"
+    page = rf"regexp_replace({norm}, '(?i)(^|{NOT_W})page\s*\p{{Nd}}+\s*(?:of\s*\p{{Nd}}+)?($|{NOT_W})', '\1page\2', 'g')"
     arabic = rf"regexp_replace({page}, 'صفحة\s*\p{{Nd}}+', 'صفحة', 'g')"
     number = rf"(^|{NOT_W})\p{{Nd}}{{2,}}($|{NOT_W})"
     replaced = arabic
@@ -170,7 +184,43 @@ def words_list(words: Sequence[str]) -> str:
     return ", ".join(lit(w) for w in words)
 
 
-def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, list[list[str]]]]) -> dict[str, str]:
+def quoted(x: str) -> str:
+    """A phrase between straight quotes, its own at the ends taken off."""
+    return f"""chr(34) || regexp_replace(regexp_replace({ws(x)}, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') || chr(34)"""
+
+
+def group_text(items: str) -> str:
+    """The items of a list as a group of a rule."""
+    return f"CASE len({items}) WHEN 0 THEN '' WHEN 1 THEN {items}[1] ELSE '(' || array_to_string({items}, ' OR ') || ')' END"
+
+
+def penalty_row(i: int, groups: list[list[str]]) -> str:
+    if len(groups) < 2:
+        return f"SELECT {i} AS rule_id, 999.0::DOUBLE AS penalty"
+    small = sum({1: 2.0, 2: 1.0}.get(len(g), 0.0) for g in groups)
+    every = words_list([p for g in groups for p in g])
+    common = f"SELECT sum(CASE WHEN df_ratio >= 0.85::DOUBLE THEN 2.0 WHEN df_ratio >= 0.70::DOUBLE THEN 1.0 ELSE 0.0 END) FROM stats WHERE term IN ({every})"
+    return f"SELECT {i} AS rule_id, ({small}::DOUBLE + coalesce(({common}), 0)::DOUBLE)::DOUBLE AS penalty"
+
+
+def chosen_rules(selectable: Sequence[tuple[int, list[list[str]]]], base: int) -> str:
+    """Greedy choice by recursion: each step takes the rule that adds most documents less its penalty."""
+    tests = [" AND ".join("(" + " OR ".join(f"contains(m, {lit(f' {p} ')})" for p in g) + ")" for g in groups) for _, groups in selectable]
+    shown = ["(" + " AND ".join((f'"{g[0]}"' if len(g) == 1 else "(" + " OR ".join(f'"{p}"' for p in g) + ")") for g in groups) + ")" for _, groups in selectable]
+    names = ", ".join(f"({k}, {i}, 'Rule {i}', {lit(text)})" for k, ((i, _), text) in enumerate(zip(selectable, shown, strict=True)))
+    bits = " + ".join(f"CASE WHEN {test} THEN {1 << k} ELSE 0 END" for k, test in enumerate(tests))
+    return (
+        f"{STATS.replace('WITH', 'WITH RECURSIVE', 1)}, pen AS ({' UNION ALL '.join(penalty_row(i, g) for i, g in selectable)}), rules AS (SELECT v.k, v.name, v.text, pen.penalty FROM (VALUES {names}) v(k, rule_id, name, text) JOIN pen USING (rule_id)), "
+        f"hist AS (SELECT CAST({bits} AS BIGINT) AS mask, count(*) AS docs FROM (SELECT {match_text('text')} AS m FROM documents) GROUP BY 1), goal AS (SELECT ceil(0.85::DOUBLE * greatest(1, sum(docs))) AS docs FROM hist), "
+        "pick AS (SELECT 0 AS step, CAST(0 AS BIGINT) AS taken, CAST(0 AS BIGINT) AS passed, CAST(0 AS BIGINT) AS covered, -1 AS k UNION ALL SELECT step + 1, taken | (1 << k2), passed | (1 << k2), covered + gain, k2 FROM ("
+        "SELECT p.step, p.taken, p.passed, p.covered, r.k AS k2, g.gain, row_number() OVER (ORDER BY g.gain - r.penalty DESC, r.k) AS place FROM pick p, rules r, "
+        "LATERAL (SELECT CAST(coalesce(sum(docs), 0) AS BIGINT) AS gain FROM hist WHERE (mask >> r.k) & 1 = 1 AND mask & p.taken = 0) g WHERE (p.passed >> r.k) & 1 = 0 AND p.covered < (SELECT docs FROM goal)) WHERE place = 1 AND gain > 0), "
+        f"first AS (SELECT step AS position, k FROM pick WHERE k >= 0), rest AS (SELECT (SELECT count(*) FROM first) + row_number() OVER (ORDER BY k) AS position, k FROM rules WHERE k NOT IN (SELECT k FROM first)) "
+        f"SELECT CAST(position AS INTEGER) AS position, name, text AS expression FROM (SELECT * FROM first UNION ALL SELECT * FROM rest WHERE position <= {base}) JOIN rules USING (k)"
+    )
+
+
+def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, list[list[str]]]], selectable: Sequence[tuple[int, list[list[str]]]]) -> dict[str, str]:
     rules = parse_policy(policy)
     docs = "SELECT doc_id, text FROM documents"
     flat = "SELECT doc_id, rule_id, rule_name, array_to_string(list_sort(list(phrase))[1:12], '|') AS hits FROM hits GROUP BY ALL"
@@ -252,7 +302,9 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         ),
         "rule_coverage": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) {' UNION ALL '.join(f'SELECT {i} AS rule_id, count(*) FILTER ({truth(r.tree)}) AS docs FROM texts' for i, r in enumerate(rules, 1))}",
         "rule_mask_histogram": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) SELECT CAST({mask(rules)} AS BIGINT) AS mask, count(*) AS n FROM texts GROUP BY 1",
-        "combined_expression": " UNION ALL ".join(f"SELECT {i} AS rule_id, {lit(render.all_of(g))} AS expression" for i, g in rule_groups),
+        "combined_expression": f"WITH c AS (SELECT topic_key, list_transform(list_filter(list_transform(candidates[1:3], lambda x: x.phrase), lambda p: length({ws('p')}) > 0), lambda p: {quoted('p')}) AS a, "
+        f"list_transform(list_filter(list_transform(candidates[4:6], lambda x: x.phrase), lambda p: length({ws('p')}) > 0), lambda p: {quoted('p')}) AS b FROM topics_local), "
+        f"g AS (SELECT topic_key, {group_text('a')} AS x, {group_text('b')} AS y FROM c) SELECT topic_key, CASE WHEN coalesce(x, '') = '' THEN coalesce(y, '') WHEN coalesce(y, '') = '' THEN x ELSE '(' || x || ' AND ' || y || ')' END AS expression FROM g",
         "regex_catalogue_hits": " UNION ALL ".join(f"SELECT {lit(n)} AS name, count(*) FILTER (c > 0) AS docs, CAST(coalesce(sum(c), 0) AS BIGINT) AS hits FROM (SELECT len(regexp_extract_all(coalesce(text, ''), {lit(p)})) AS c FROM documents)" for n, p in identifiers.CATALOGUE),
         "boilerplate_lines": f"WITH {lines()} SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM marked WHERE boilerplate) WHERE r <= 200",
         "boilerplate_counts": f"WITH {lines()} SELECT norm, count(*) AS n, count(*) FILTER (boilerplate) AS n_boilerplate FROM marked GROUP BY 1",
@@ -263,10 +315,54 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         "session_term_rows": f"WITH c AS (SELECT run_id, lower({ws('term')}) AS term, arg_max(struct_pack(tf := tf, df := df), (loaded_at, tf, df)) AS x FROM term_rows WHERE term IS NOT NULL AND tf IS NOT NULL AND df IS NOT NULL GROUP BY 1, 2), "
         "r AS (SELECT run_id, term, x.tf, x.df, row_number() OVER (PARTITION BY run_id ORDER BY x.df DESC, x.tf DESC, term) AS rank FROM c) SELECT run_id, CAST(rank AS INTEGER) AS rank, term, tf, df FROM r WHERE rank <= 60",
     }
-    penal = []
-    for i, groups in rule_groups:
-        small = sum({1: 2.0, 2: 1.0}.get(len(g), 0.0) for g in groups)
-        every = words_list([p for g in groups for p in g])
-        penal.append(f"SELECT {i} AS rule_id, {999.0 if len(groups) < 2 else f'{small}::DOUBLE + coalesce((SELECT sum(CASE WHEN df_ratio >= 0.85::DOUBLE THEN 2.0 WHEN df_ratio >= 0.70::DOUBLE THEN 1.0 ELSE 0.0 END) FROM stats WHERE term IN ({every})), 0)'}::DOUBLE AS penalty")
-    q["rule_penalty"] = f"{STATS} {' UNION ALL '.join(penal)}"
+    q["rule_penalty"] = f"{STATS} {' UNION ALL '.join(penalty_row(i, g) for i, g in rule_groups)}"
+    q["selected_policy"] = chosen_rules(selectable, 4)
+    hinted = {family: " OR ".join(f"contains(x, {lit(w)})" for w in words) for family, words in identifiers.HINTS}
+    by_name = [(n, " OR ".join(f"({hinted[f]})" for f in hinted if f in n.lower())) for n, _ in identifiers.CATALOGUE]
+    cases = ", ".join(f"CASE WHEN {when or 'false'} THEN {lit(n)} END" for n, when in by_name)
+    q["regex_suggestions"] = (
+        "WITH c AS (SELECT topic_key, lower(concat_ws(' ', topic_name, array_to_string(list_transform(candidates, lambda c: c.phrase), ' '))) AS x FROM topics_local), "
+        f"k AS (SELECT topic_key, list_filter([{cases}], lambda n: n IS NOT NULL) AS names FROM c) SELECT topic_key, unnest(CASE WHEN len(names) > 0 THEN names ELSE [{words_list([n for n, _ in by_name[:4]])}] END) AS pattern FROM k"
+    )
+    text = lambda x: f"chr(34) || {x} || chr(34)"
+    inside = lambda a, b, word: f"'(' || chr(92) || chr(34) || t[{a}] || chr(92) || chr(34) || ' {word} ' || chr(92) || chr(34) || t[{b}] || chr(92) || chr(34) || ')'"
+    one, two, three = inside(1, 2, "OR"), inside(3, 4, "AND"), inside(5, 6, "OR")
+    group = lambda a, b, word: f"""'{{"terms": [' || {text(f't[{a}]')} || ', ' || {text(f't[{b}]')} || '], "match": "{word}"}}'"""
+    notes = ", ".join(f'"{n}"' for n in (
+        "In Symantec DLP, create a Keyword Rule and paste the boolean expression in the rule logic (or build equivalent groups in UI).",
+        "Add Include terms as a Keyword List. Add Exclude terms as exceptions where possible.", "Tune: reduce max_df/min_df and increase threshold to reduce false positives.",
+    ))
+    commas = lambda x: f"array_to_string(list_transform({x}, lambda v: chr(34) || v || chr(34)), ', ')"
+    q["near_policy_payload"] = (
+        "WITH c AS (SELECT term, count(*) AS n FROM (SELECT unnest(list_transform(candidates, lambda c: c.phrase)) AS term FROM topics_local) WHERE term IS NOT NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 6), "
+        "g AS (SELECT term, count(*) AS n FROM (SELECT unnest(generic_terms) AS term FROM analyze_runs) WHERE term IS NOT NULL GROUP BY 1 ORDER BY n DESC, term LIMIT 5), "
+        "l AS (SELECT (SELECT list(term ORDER BY n DESC, term) FROM c) AS t, (SELECT list(n ORDER BY n DESC, term) FROM c) AS n, (SELECT list(term ORDER BY term) FROM g) AS x) "
+        f"""SELECT '{{"keyword_list_include": [' || {commas('list_sort(t)')} || '], "keyword_list_exclude": [' || {commas('x')} || '], "term_groups": [' || {group(1, 2, 'OR')} || ', ' || {group(3, 4, 'AND')} || ', ' || {group(5, 6, 'OR')} """
+        f"""|| '], "policy": {{"type": "symantec_keyword_policy_like", "boolean_expression": "(' || {one} || ' NEAR/10 ' || {two} || ') OR (' || {one} || ' NEAR/10 ' || {three} || ') OR (' || {two} || ' NEAR/10 ' || {three} || ')", """
+        f""""proximity": {{"mode": "NEAR", "distance": 10}}, "threshold": 2, "notes": [{notes}]}}, "debug": {{"top_terms": [' || array_to_string(list_transform(range(1, 7), lambda i: '{{"term": ' || chr(34) || t[i] || chr(34) || ', "n": ' || n[i] || '}}'), ', ') || ']}}}}' AS payload FROM l"""
+    )
+    # Phrases and files in full match form
+    folded = rf"regexp_replace(translate(lower(coalesce(<<COLUMN>>, '')), '“”’', '\"\"'''), '[\x{{0640}}\x{{064B}}-\x{{065F}}\x{{0670}}\x{{06D6}}-\x{{06ED}}]', '', 'g')"
+    form = compatible("translate(" + folded + ", 'أإآ', 'ااا')")
+    key = lambda x: ws(form.replace("<<COLUMN>>", x))
+    small = "(length(key) < 3 OR (len(k) = 1 AND length(k[1]) < 3))"
+    garbage = "(len(k) >= 4 AND 2 * len(list_filter(k, lambda x: length(x) = 1)) >= len(k))"
+    offered = f"p AS (SELECT phrase_id, topic_key, lower({ws('text')}) AS phrase FROM {phrase_row()} WHERE text IS NOT NULL), pk AS (SELECT *, {key('phrase')} AS key FROM p), pt AS (SELECT *, regexp_extract_all(key, '{TOKEN}') AS k FROM pk)"
+    allowed = f"allowed AS (SELECT key, arg_min({ws('phrase')}, phrase_id) AS canonical FROM pt WHERE length({ws('phrase')}) > 0 AND NOT {garbage} AND length(key) >= 3 GROUP BY 1)"
+    q["candidate_filter"] = (
+        f"{STATS}, {offered} SELECT phrase_id, phrase, df_ratio FROM pt JOIN stats ON term = phrase WHERE NOT {garbage} AND NOT {small} AND df_ratio BETWEEN 0.001::DOUBLE AND 0.85::DOUBLE "
+        r"AND NOT regexp_matches(phrase, '^[0-9\x{0660}-\x{0669}\x{06F0}-\x{06F9}]+$')"
+    )
+    q["whitelist_allowed"] = f"WITH {offered}, {allowed} SELECT key, canonical FROM allowed"
+    q["whitelist_clean"] = (
+        f"WITH {offered}, {allowed}, c AS (SELECT topic_key, unnest(candidates).phrase AS phrase, generate_subscripts(candidates, 1) - 1 AS pos FROM topics_local), ck AS (SELECT topic_key, pos, {key(ws('phrase'))} AS key FROM c), "
+        f"ct AS (SELECT *, regexp_extract_all(key, '{TOKEN}') AS k FROM ck), banned AS (SELECT DISTINCT {key('g')} AS key FROM (SELECT unnest(generic_terms) AS g FROM analyze_runs) WHERE length({ws('g')}) > 0) "
+        f"SELECT topic_key, CAST(pos AS INTEGER) AS pos, canonical FROM ct JOIN allowed USING (key) WHERE NOT {garbage} AND NOT {small} AND {key('canonical')} NOT IN (SELECT key FROM banned)"
+    )
+    files = f"SELECT doc_id, any_value(name) AS name, any_value(text) AS text FROM session_docs GROUP BY 1"
+    sums = " + ".join(f"CAST({truth(r.tree)} AS BIGINT)" for r in rules)
+    q["test_policy_files"] = (
+        f"WITH f AS ({files}), x AS (SELECT doc_id, coalesce(name, 'unknown') AS name, length({ws('text')}) > 0 AS readable, ' ' || array_to_string(regexp_extract_all({key('text')}, '{TOKEN}'), ' ') || ' ' AS m FROM f), "
+        f"s AS (SELECT doc_id, name, readable, CASE WHEN readable THEN {sums} ELSE 0 END AS n_rules FROM x) SELECT doc_id, name, readable, n_rules > 0 AS matched_any, CAST(n_rules AS BIGINT) AS n_rules FROM s"
+    )
     return q

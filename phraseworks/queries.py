@@ -166,8 +166,8 @@ def single_doc_topic(spark, d):
     docs = corpus(spark, d).where("source is not null")
     largest = docs.groupBy("source").agg(F.max_by("doc_id", F.struct(F.length("text"), -F.col("doc_id"))).alias("doc_id"))
     counts = terms.doc_term_counts(docs.join(largest.select("doc_id"), "doc_id", "left_semi"), cap=terms.MAX_TOKENS).join(largest, "doc_id")
-    w = Window.partitionBy("source").orderBy(F.desc("tf"), "term")
-    return counts.withColumn("rank", F.row_number().over(w)).where("rank <= 20").select("source", "rank", "term", "tf")
+    found = topics.single_topic(counts.select(F.col("source").alias("label"), "term", "tf"))
+    return found.select(F.col("label").alias("source"), "rank", F.col("phrase").alias("term"), "tf")
 
 
 def mine_terms(spark, d):
@@ -201,12 +201,12 @@ def include_exclude_review(spark, d):
 # Vectors and topics
 
 
-def _weights(spark, d) -> DataFrame:
-    """Weights over the counts of the term statistics, capped as their SQL is."""
+def _weights(spark, d, stats: DataFrame | None = None) -> DataFrame:
+    """Weights over the counts of the term statistics, capped as their SQL is; ``stats`` where they are at hand."""
     docs = corpus(spark, d)
     counts = terms.doc_term_counts(docs, cap=terms.MAX_TOKENS)
     n = _n(docs)
-    return vectors.tfidf(counts, vectors.vocabulary(terms.term_stats(counts, n)), n)
+    return vectors.tfidf(counts, vectors.vocabulary(terms.term_stats(counts, n) if stats is None else stats), n)
 
 
 def tfidf_weights(spark, d):
@@ -220,15 +220,19 @@ def tfidf_column_sums(spark, d):
     return vectors.column_sums(_weights(spark, d)).select("term", F.round("score", 6).alias("score"))
 
 
+def _centroids(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Mean weights of the languages taken as topics, and the statistics they come from, worked out once."""
+    stats = cut_lineage(_stats(spark, d))
+    return topics.centroid_weights(_weights(spark, d, stats), labels(spark, d)).withColumn("weight", F.round("weight", 9)), stats
+
+
 def topic_tfidf_sums(spark, d):
     """Candidates of the languages taken as topics, by their mean weight."""
-    centroids = topics.centroid_weights(_weights(spark, d), labels(spark, d)).withColumn("weight", F.round("weight", 9))
-    return topics.candidates(centroids, _stats(spark, d)).select("label", "rank", "phrase", "df_ratio")
+    return topics.candidates(*_centroids(spark, d)).select("label", "rank", "phrase", "df_ratio")
 
 
 def aux_topic_phrases(spark, d):
-    centroids = topics.centroid_weights(_weights(spark, d), labels(spark, d)).withColumn("weight", F.round("weight", 9))
-    return topics.aux_topic_phrases(centroids, _stats(spark, d), 0.05, 0.85).select("label", "rank", "phrase", "df_ratio")
+    return topics.aux_topic_phrases(*_centroids(spark, d), 0.05, 0.85).select("label", "rank", "phrase", "df_ratio")
 
 
 def tfidf_stopworded(spark, d):
@@ -259,9 +263,8 @@ def topic_sizes(spark, d):
 
 def topic_members(spark, d):
     """Documents of every topic, in order, as the analysis stores them."""
-    rows = table(spark, d, "topics_local").select("topic_key", F.explode("doc_ids").alias("doc_id"))
-    grouped = topics.topic_docs(rows.withColumnRenamed("topic_key", "label"))
-    return grouped.select(F.col("label").alias("topic_key"), "n", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
+    made = topics.ordered_members(table(spark, d, "topics_local"))
+    return made.select("topic_key", "n", F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",").alias("doc_ids"))
 
 
 def kmeans_topics(spark, d):
@@ -320,9 +323,8 @@ def topic_groups(spark, d):
 def default_groups(spark, d):
     """Groups where co-occurrence says nothing: a topic's first and second six phrases."""
     rows = table(spark, d, "phrase_rows").dropDuplicates(["phrase_id"]).where("phrase_rank <= 12")
-    own = rows.groupBy("topic_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("phrase_rank", "phrase_id", t.normalize_ws(F.col("text")).alias("p")))), lambda x: x["p"]).alias("ps"))  # at most 12 each
-    rest = F.slice("ps", 7, 6)
-    return own.select("topic_key", F.array_join(F.slice("ps", 1, 6), "|").alias("group1"), F.array_join(F.when(F.size(rest) > 0, rest).otherwise(F.slice("ps", 1, 6)), "|").alias("group2"))
+    made = cooccurrence.default_groups(rows.select(F.col("topic_key").alias("label"), F.struct("phrase_rank", "phrase_id").alias("pos"), t.normalize_ws(F.col("text")).alias("phrase")))
+    return made.select(F.col("label").alias("topic_key"), *[F.array_join(F.col("groups")[i], "|").alias(f"group{i + 1}") for i in (0, 1)])
 
 
 # Phrases kept and rules shaped
@@ -412,23 +414,37 @@ def rule_penalty(spark, d):
     return selection.penalties(spark.createDataFrame(GROUPS, "rule_id int, groups array<array<string>>"), _stats(spark, d))
 
 
+#: Rules to choose from, with groups of different sizes and of common and rare phrases.
+SELECTABLE = [
+    (1, [["invoice", "payment", "purchase order"], ["supplier", "accounts payable", "amount"]]), (2, [["the", "and"], ["of", "for"]]), (3, [["agreement", "annex", "liability"], ["governing law", "notice", "confidential"]]),
+    (4, [["inspection", "ppe", "crew"], ["at", "near", "ground resistance"]]), (5, [["confidential"], ["internal", "notice"]]), (6, [["employee", "salary", "annual leave"], ["grade", "human capital", "balance"]]), (7, [["zzz unseen"], ["never"]]),
+]
+
+
 def selected_policy(spark, d):
-    """The example rules chosen by coverage, in order."""
-    rules = parse_policy(POLICY)
-    docs = documents(spark, d)
-    histogram = {r["mask"]: r["n"] for r in selection.mask_histogram(matching.rule_truths(docs, rules)).collect()}  # at most 64 masks
-    chosen = selection.select_rules(histogram, [0.0] * len(rules), sum(histogram.values()), 3)
+    """Rules chosen by the documents they add, less what their groups cost, in order; filled up to four."""
+    rules = [Rule(f"Rule {i}", render.all_of(groups)) for i, groups in SELECTABLE]
+    costs = {r["rule_id"]: r["penalty"] for r in selection.penalties(spark.createDataFrame(SELECTABLE, "rule_id int, groups array<array<string>>"), _stats(spark, d)).collect()}  # a row a rule
+    histogram = {r["mask"]: r["n"] for r in selection.mask_histogram(matching.rule_truths(documents(spark, d), rules)).collect()}  # at most 128 masks
+    chosen = selection.select_rules(histogram, [costs[i] for i, _ in SELECTABLE], sum(histogram.values()), 4)
     return spark.createDataFrame([(i, rules[k].name, rules[k].expression) for i, k in enumerate(chosen, 1)], "position int, name string, expression string")
 
 
 def near_policy_payload(spark, d):
-    groups = [{"terms": g, "match": "OR"} for g in (["invoice", "payment"], ["vendor", "supplier"], ["bank", "iban"])]
-    return spark.createDataFrame([(render.as_json(render.payload([], ["invoice"], ["the"], groups, 10, 2)),)], "payload string")
+    """The payload made of the six phrases that most topics have as candidates, and of the runs' five commonest generic terms."""
+    phrases = table(spark, d, "topics_local").select(F.explode("candidates.phrase").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n"))
+    top = [r.asDict() for r in phrases.orderBy(F.desc("n"), "term").limit(6).collect()]
+    generic = table(spark, d, "analyze_runs").select(F.explode("generic_terms").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(5)
+    groups = [{"terms": [x["term"] for x in top[i : i + 2]], "match": match} for i, match in ((0, "OR"), (2, "AND"), (4, "OR"))]
+    made = render.payload(top, [x["term"] for x in top], [r["term"] for r in generic.collect()], groups, 10, 2)
+    return spark.createDataFrame([(render.as_json(made),)], "payload string")
 
 
 def combined_expression(spark, d):
-    """Rules as text and back: the expression of each group list."""
-    return spark.createDataFrame([(i, render.all_of(g), Rule("", render.all_of(g)).expression) for i, g in GROUPS], "rule_id int, expression string, read string").select("rule_id", "expression")
+    """The first three and the next three candidates of every topic as the text of a rule."""
+    listed = F.transform(F.slice("candidates", 1, 6), lambda c: c["phrase"])
+    rows = table(spark, d, "topics_local").select("topic_key", F.explode(F.array(listed)).alias("ps"))
+    return rows.select("topic_key", t.all_of([F.slice("ps", 1, 3), F.slice("ps", 4, 3)]).alias("expression"))
 
 
 def regex_catalogue_hits(spark, d):
@@ -436,9 +452,10 @@ def regex_catalogue_hits(spark, d):
 
 
 def regex_suggestions(spark, d):
-    """Patterns hinted at by the phrases of each topic's name."""
-    made = [(name, x["name"]) for name in ("vendor invoice", "site report", "cost center", "msa terms") for x in identifiers.suggest([name])]
-    return spark.createDataFrame(made, "topic string, pattern string")
+    """Patterns hinted at by the name and the candidates of every topic."""
+    text = F.concat_ws(" ", "topic_name", F.array_join(F.transform("candidates", lambda c: c["phrase"]), " "))
+    made = table(spark, d, "topics_local").select("topic_key", F.explode(identifiers.suggested(text)).alias("x"))
+    return made.select("topic_key", F.col("x.name").alias("pattern"))
 
 
 def boilerplate_lines(spark, d):
@@ -459,11 +476,13 @@ def cleaned_text(spark, d):
 
 def structured_previews(spark, d):
     """Previews as the application shows them: the latest name, the document count, the first 18 phrases."""
-    names = table(spark, d, "topic_previews").groupBy("topic_key").agg(F.max_by(F.struct("name", "doc_count"), F.struct("loaded_at", "name", "doc_count")).alias("p"))
+    last = F.max_by(F.struct("name", "doc_count"), F.struct("loaded_at", "name", "doc_count"))
+    names = table(spark, d, "topic_previews").groupBy("topic_key").agg(last.alias("p")).select(F.col("topic_key").alias("label"), F.col("p.name").alias("topic_name"), F.col("p.doc_count").alias("n"))
     rows = table(spark, d, "phrase_rows").dropDuplicates(["phrase_id"])
     w = Window.partitionBy("topic_key").orderBy("phrase_rank", "phrase_id")
-    shown = rows.withColumn("r", F.row_number().over(w)).where("r <= 18").groupBy("topic_key").agg(F.array_sort(F.collect_list(F.struct("r", "text"))).alias("ps"))
-    return names.join(shown, "topic_key", "left").select("topic_key", "p.name", "p.doc_count", F.array_join(F.transform("ps", lambda x: x["text"]), "|").alias("phrases"))
+    ranked = rows.select(F.col("topic_key").alias("label"), F.row_number().over(w).alias("rank"), F.col("text").alias("phrase"), "df_ratio")
+    shown = F.when(F.size("phrases") > 0, F.array_join(F.transform("phrases", lambda x: x["text"]), "|"))
+    return topics.previews(names, ranked, 18).select(F.col("label").alias("topic_key"), F.col("topic_name").alias("name"), "doc_count", shown.alias("phrases"))
 
 
 def session_term_rows(spark, d):
@@ -483,4 +502,4 @@ _ALL = (
     boilerplate_counts, cleaned_text, structured_previews, session_term_rows,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-ORACLE: dict[str, str] = oracles.build(POLICY, PHRASES, GROUPS)
+ORACLE: dict[str, str] = oracles.build(POLICY, PHRASES, GROUPS, SELECTABLE)

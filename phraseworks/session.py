@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -10,15 +13,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: ``spark.checkpoint.dir`` where the cluster names one, else (tests) a private one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder for checkpoints: ``spark.checkpoint.dir`` where the cluster names one.
+
+    A local master without it gets a private folder, removed when the driver ends. On any other master a folder of the
+    driver's machine would not survive it, so that is an error.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = named or tempfile.mkdtemp(prefix="phraseworks-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="phraseworks-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
-    return folder
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def clear_checkpoints(spark: SparkSession) -> None:
+    """Remove all checkpoints of this application, once no result that was read from them is needed any more.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes each by itself as soon as nothing refers to it.
+    """
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(current.get())
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        for found in files.listStatus(path):
+            files.delete(found.getPath(), True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

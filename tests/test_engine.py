@@ -3,8 +3,9 @@ import zipfile
 
 import pytest
 
-from phraseworks.engine import Engine, NoReadableText
-from phraseworks.plans.rules import parse_policy
+from phraseworks.engine import Engine, NoReadableText, WriterRequired
+from phraseworks.functions.text import match_tokens
+from phraseworks.plans.rules import evaluate, parse_policy
 from phraseworks.sources import files
 from phraseworks.sources.store import UnknownSession
 from phraseworks.streaming import matcher
@@ -68,3 +69,42 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.where("matched_any").count() == 6 and got.count() == 12
+
+
+CORPUS = {
+    "inv1.txt": "Invoice from vendor. Bank details and payment terms follow.", "inv2.txt": "Vendor invoice: payment terms, bank details, due date.", "inv3.txt": "The vendor sent bank details with payment terms.", "inv4.txt": "payment terms; bank details; vendor",
+    "saf1.txt": "Work permit and safety barrier at the crane.", "saf2.txt": "Crane moved. Safety barrier set, work permit shown.", "saf3.txt": "safety barrier, work permit, crane", "saf4.txt": "No crane without work permit and safety barrier!", "empty.txt": " \n ",
+}
+
+
+def test_golden_analyze_generate_test(spark, tmp_path):
+    """The whole flow on files, worked out by hand: statistics, topics, preview, policy and result."""
+    (tmp_path / "in").mkdir()
+    for name, text in CORPUS.items():
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+    docs = files.scan(spark, str(tmp_path / "in"))
+    engine = Engine(spark, str(tmp_path / "sessions"))
+    labels = docs.where("readable").selectExpr("doc_id", "if(name like 'inv%', 0, 1) as label")
+    done = engine.analyze(docs, labels=labels, corpus_hint="finance")
+    assert done.n_docs == 8 and done.generic_terms == []
+    assert {x["term"]: (x["tf"], x["df"], x["df_ratio"]) for x in done.top_terms}["and"] == (3, 3, 0.375)
+    assert done.top_terms_md.split("\n")[:2] == ["Term | TF | DF | DF%", "---|---:|---:|---:"] and done.top_terms_md.split("\n")[2].endswith(" | 4 | 4 | 50%")
+    assert done.topics_preview_md.startswith("Topics (preview)\nHigh-signal phrases per topic (DF% hints generalization).\n\n### Topic 1\n4 docs\n- ")
+    assert {x["name"]: x["doc_count"] for x in done.topics_preview} == {"Topic 1": 4, "Topic 2": 4}
+    first = {p["text"] for p in done.topics_preview[0]["phrases"]}
+    assert {"bank details", "payment terms", "vendor"} <= first and all(p["df_ratio"] >= 0.10 for p in done.topics_preview[0]["phrases"])
+    stored = engine.store.get(done.session_id, "docs")
+    assert rows(stored.select("name", "n_bytes")) == sorted((n, len(x.encode())) for n, x in CORPUS.items() if x.strip())
+    policy = engine.generate_policy(done.session_id, title="Golden", max_rules=2)
+    lines = policy.split("\n")
+    assert lines[:7] == ["# Golden", "", "Format: Symantec-style boolean rules (AND groups of OR phrases). No proximity logic.", "", "## Rules", "", "## Rule 1: Topic 1"]
+    assert lines[7].startswith("`((") and lines[8:12] == ["", "**Why chosen:**", "- Built from co-occurrence and whitelisted topic phrases to balance recall and precision.", ""] and lines[12] == "---"
+    got = engine.test_policy(policy, docs)
+    rules = parse_policy(policy)
+    want = {n: [x.name for x in rules if evaluate(x.tree, match_tokens(text))[0]] for n, text in CORPUS.items()}
+    assert {r["name"]: [m["rule_name"] for m in r["matched_rules"]] for r in got.collect()} == want
+    assert all(want[n] in ([], ["Topic 1" if n.startswith("inv") else "Topic 2"]) for n in CORPUS) and sum(map(bool, want.values())) >= 6 and not want["empty.txt"]
+    with pytest.raises(WriterRequired):
+        engine.analyze(docs, writer_required=True)
+    with pytest.raises(WriterRequired):
+        engine.generate_policy(done.session_id, writer_required=True)
