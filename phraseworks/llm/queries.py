@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phraseworks.llm import clusters, distinct, glyphs, leakage, mixing, pii, repetition, terms
+from phraseworks.llm import clusters, distinct, glyphs, leakage, mixing, oracles, pii, repetition, terms
 from phraseworks.llm.once import once
 from phraseworks.session import table
 
@@ -31,7 +31,8 @@ def p2_topic_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_described(spark: SparkSession, d: str) -> DataFrame:
     """Every cluster with its size in topics and documents, a name, and its most typical topics."""
-    return clusters.describe_topics(table(spark, d, "topics_local"), table(spark, d, "topic_previews"), table(spark, d, "phrase_rows"))
+    made = clusters.describe_topics(table(spark, d, "topics_local"), table(spark, d, "topic_previews"), table(spark, d, "phrase_rows"))
+    return made.withColumn("typical", F.array_join(F.transform("typical", lambda x: x.cast("string")), ","))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +68,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_top_phrases(spark: SparkSession, d: str) -> DataFrame:
-    return distinct.top_phrases(table(spark, d, "phrase_rows"), table(spark, d, "topics_local"))
+    made = distinct.top_phrases(table(spark, d, "phrase_rows"), table(spark, d, "topics_local"))
+    return made.withColumn("score", F.round("score", 9))
 
 
 def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +77,8 @@ def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "phrase_rows")
     total = table(spark, d, "topics_local").select("topic_key").distinct().count()
     phrases = distinct.phrase_rows(rows).select("record", "term").distinct().select("record", F.split("term", " ").alias("words"))
-    return distinct.graph_of_words(phrases, total, alone=True).withColumnRenamed("record", "topic_key")
+    made = distinct.graph_of_words(phrases, total, alone=True).withColumnRenamed("record", "topic_key")
+    return made.withColumn("score", F.round("score", 9))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +133,7 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)
 """
 
 ORACLE: dict[str, str] = {
+    **oracles.ORACLE,
     "p1_found": _P1 + "SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p1_term_frequencies": _P1 + "SELECT * FROM m",
     "p6_found": _P6,
