@@ -19,14 +19,14 @@ kind; re-sent rows count once; texts of any length are read whole; nothing but t
 
 from __future__ import annotations
 
-import bisect
 import functools
 import re
 import unicodedata
-from collections.abc import Iterator, Set
+from collections.abc import Iterator
 from functools import partial
 from typing import NamedTuple
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,6 +207,7 @@ NEXT = re.compile(r"[ ](?:and|&)[ ]", re.I)
 NEXT_AR = re.compile(r"[ ](?:مع|و)[ ]?")
 NAME_BEFORE = re.compile(rf"(?<![\w.,-]){NAME}$", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 COMPANY_AFTER = re.compile(r"^[ ,]*(?:holding|group|trading|consulting|contracting|engineering|industrial|supplies|utilities|freight|services|water|power|systems|works|partners|house|llc|ltd|est|co|inc|corp|gmbh|station|yard|field|basin|ridge|terminal|depot)\b", re.I)
 #: Words that no part of a person's name is: function words, titles, and words of organisations, places and dates.
 NO_NAME = frozenset(
@@ -275,7 +276,7 @@ def split_name(name: str) -> tuple[str, str]:
 
 
 #: Where a number may begin: one scan by what all patterns share, these are tried there with lookbehinds of their own.
-NUMBER_START = re.compile(r"[+(\dA-Z](?<!\w.)")
+NUMBER_START = re.compile(r"(?:[+(\d]|[A-Z](?=[A-Z]?[- ]?\d))(?<!\w.)")
 #: What may stand before the number of a room, building or box; an address begins there.
 BEFORE_NUMBER = re.compile(rf"(?<![\w-])(?:{ROOM}|Building|Bldg\.?|House|P\.?[ ]?O\.?[ ]?Box)[ ]+$", re.I)
 
@@ -293,7 +294,7 @@ def number_starts(text: str) -> list[int]:
     return [m.start() for m in NUMBER_START.finditer(text)]
 
 
-def _numbers(text: str, starts: list[int]) -> Iterator[Span]:
+def _numbers(text: str, starts: list[int], announced: list[int]) -> Iterator[Span]:
     capitals = [at for at in starts if text[at].isalpha()]
     blocked = [m.span() for m in _at_starts(text, capitals, ACCOUNT) if mod97(m.group())]
 
@@ -306,8 +307,8 @@ def _numbers(text: str, starts: list[int]) -> Iterator[Span]:
             before = text[max(0, m.start() - NEAR) : m.start()]
             score = 0.7 - 0.5 * bool(BUSINESS_BEFORE.search(before)) - 0.3 * bool(NATIONAL_BEFORE.search(before))
             yield Span(m.start(), m.end(), "phone", score)
-    for label in PHONE_WORD.finditer(text):
-        at = label.end()
+    for start in announced:
+        at = label.end() if (label := PHONE_WORD.match(text, start)) else len(text)
         if (m := LABELLED.match(text, at)) and free(m) and PHONE_BEFORE.search(text, max(0, at - NEAR), at) and not DATE.match(m.group()):
             yield Span(m.start(), m.end(), "phone", 0.6)
     for m in _at_starts(text, starts, IDENTITY):
@@ -410,36 +411,67 @@ def name_score_ar(text: str, a: int, b: int, context: float, lexicon: Lexicon) -
     return 0.1 + context + 0.3 * (given in lexicon.given) + 0.25 * (family in lexicon.family) + 0.2 * bool(AFTER_AR.match(text, b))
 
 
+#: What a listed word is good for.
+IN_CONTEXT, KNOWN, TELEPHONE = 1, 2, 4
+PHONE_WORDS = frozenset("tel telephone phone mobile cell fax call dial whatsapp هاتف جوال اتصل".split())
+
+
+@functools.lru_cache(maxsize=4)
+def _automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
+    """All context words and known parts of names, to be found in one pass over a text."""
+    uses: dict[str, int] = {}
+    for use, listed in ((IN_CONTEXT, CONTEXT), (KNOWN, lexicon.given), (KNOWN, lexicon.family), (TELEPHONE, PHONE_WORDS)):
+        for w in listed:
+            uses[w] = uses.get(w, 0) | use
+    made = ahocorasick.Automaton()
+    for w, use in uses.items():
+        if w:
+            made.add_word(w, (len(w), use))
+    made.make_automaton()
+    return made
+
+
 class Words:
-    """The words of a text: where they begin, and their folded forms."""
+    """The listed words of a text: ``(start, stop)`` of those in context, known parts and telephone words."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, lexicon: Lexicon):
         self.text = text
+        self.context: list[tuple[int, int]] = []
+        self.known: list[tuple[int, int]] = []
+        self.phone: list[int] = []
         low = fold(text)
         if len(low) == len(text):
-            self.form, self.start = WORD.findall(low), [m.start() for m in WORD.finditer(low)]
+            for last, (size, use) in _automaton(lexicon).iter(low):
+                start, stop = last - size + 1, last + 1
+                if (start == 0 or not low[start - 1].isalnum()) and (stop == len(low) or not low[stop].isalnum()):
+                    self._put(start, stop, use)
         else:  # a letter whose lower case is longer moved the positions
-            self.form, self.start = [fold(w) for w in WORD.findall(text)], [m.start() for m in WORD.finditer(text)]
-
-    def end(self, i: int) -> int:
-        return WORD.match(self.text, self.start[i]).end()
+            for m in LETTERS.finditer(text):
+                self._put(*m.span(), _automaton(lexicon).get(fold(m.group()), (0, 0))[1])
 
-    def of(self, listed: Set[str]) -> list[int]:
-        return [i for i, w in enumerate(self.form) if w in listed]
+    def _put(self, start: int, stop: int, use: int) -> None:
+        if use & IN_CONTEXT:
+            self.context.append((start, stop))
+        if use & KNOWN and (word := WORD.match(self.text, start)) and word.end() == stop:
+            self.known.append((start, stop))
+        if use & TELEPHONE:
+            self.phone.append(start)
 
-    def starts_before(self, i: int, at: int, n: int = 4) -> list[int]:
-        """Where up to ``n`` words before word ``i`` begin, no more than ``LONGEST_NAME`` characters before ``at``; the earliest first."""
-        return [x for x in self.start[max(0, i - n) : i] if x >= at - LONGEST_NAME]
+    def starts_before(self, at: int, n: int = 4) -> list[int]:
+        """Where up to ``n`` words before ``at`` begin, no more than ``LONGEST_NAME`` characters before it; the earliest first."""
+        begin = max(0, at - LONGEST_NAME)
+        found = [m.start() for m in WORD.finditer(self.text, begin, at)]
+        return [x for x in found if x > begin or x == 0 or not self.text[x - 1].isalnum()][-n:]
 
 
 def _context_names(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, int, float]]:
     """Names that stand where their context points, with their scores, from the threshold on."""
     text, afters = words.text, []
-    for i in words.of(CONTEXT):
-        w = words.form[i]
+    for start, stop in words.context:
+        w = text[start:stop].lower()
         if w in AFTER_WORDS:
-            afters.append((i, words.start[i] - AFTER_WORDS[w]))
-        if not (kind := CUE.get(w)) or not (gap := GAP[kind].match(text, words.end(i))):
+            afters.append(start - AFTER_WORDS[w])
+        if not (kind := CUE.get(w)) or not (gap := GAP[kind].match(text, stop)):
             continue
         at = gap.end()
         while at < len(text) and (text[at].isupper() or kind in ("close", "title")) and (name := NAME_AT.match(text, at)):
@@ -453,11 +485,11 @@ def _context_names(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, int, f
             at = after.end() if after else len(text)
     at = text.find(" (")
     while at >= 0:
-        afters.append((bisect.bisect_left(words.start, at), at))
+        afters.append(at)
         at = text.find(" (", at + 1)
-    for i, at in afters:
+    for at in afters:
         if at > 0 and text[at - 1].isalpha() and AFTER.match(text, at):
-            for start in words.starts_before(i, at, 3):
+            for start in words.starts_before(at, 3):
                 if (start == 0 or text[start - 1] not in "@-_.") and (m := NAME_AT.match(text, start)) and m.end() == at and (score := name_score(text, start, at, 0.0, lexicon)) >= THRESHOLD:
                     yield start, at, score
                     break
@@ -484,18 +516,17 @@ def context_names(words: Words, lexicon: Lexicon) -> Iterator[tuple[int, int, fl
         yield from _context_names_ar(words.text, lexicon)
 
 
-def _names(text: str, lexicon: Lexicon) -> Iterator[Span]:
-    words = Words(text)
+def _names(words: Words, lexicon: Lexicon) -> Iterator[Span]:
+    text = words.text
     seen: list[tuple[int, int]] = []
     for a, b, score in context_names(words, lexicon):
         seen.append((a, b))
         yield Span(a, b, "name", min(score, 0.9))
-    for i in words.of(_known(lexicon)):  # any other place that holds a known part
-        first, stop = words.start[i], words.end(i)
+    for first, stop in words.known:  # any other place that holds a known part
         if any(a <= first < b for a, b in seen):
             continue
         arabic = ARABIC.match(text, first)
-        for at in [*words.starts_before(i, first), first]:
+        for at in [*words.starts_before(first), first]:
             if at and text[at - 1] in "@-_":
                 continue
             best = (0.0, 0)
@@ -509,11 +540,6 @@ def _names(text: str, lexicon: Lexicon) -> Iterator[Span]:
                 break
 
 
-@functools.lru_cache(maxsize=4)
-def _known(lexicon: Lexicon) -> frozenset[str]:
-    return lexicon.given | lexicon.family | {f"{p}-{f}" for f in lexicon.family for p in ("al", "el")}
-
-
 def _three(name: str, lexicon: Lexicon) -> bool:
     """Whether the first and the last of three parts are known, and the one between is capitalised and no family name."""
     first, middle, *rest = name.split(" ", 2)
@@ -522,11 +548,12 @@ def _three(name: str, lexicon: Lexicon) -> bool:
 
 def spans(text: str, lexicon: Lexicon) -> list[Span]:
     """Non-overlapping spans of ``text`` (in consistent form), in order."""
+    words = Words(text, lexicon)
     found = [*_emails(text)]
     starts = number_starts(text)
-    found += _numbers(text, starts)
+    found += _numbers(text, starts, words.phone)
     found += _addresses(text, starts, lexicon.towns)
-    found += _names(text, lexicon)
+    found += _names(words, lexicon)
     taken: list[Span] = []
     for s in sorted((s for s in found if s.score >= THRESHOLD), key=lambda s: (-s.score, s.start - s.end, s.start)):
         if not any(s.start < t.end and t.start < s.end for t in taken):
@@ -575,7 +602,7 @@ def _read_parts(batches: Iterator[pa.RecordBatch], alikes: Alikes) -> Iterator[p
         kinds, parts, docs = [], [], []
         for doc, text in zip(batch["doc_id"].to_pylist(), _forms(batch["text"].to_pylist(), batch["suspect"].to_pylist(), alikes), strict=True):
             own = set()
-            for a, b, _ in context_names(Words(text), NOTHING):
+            for a, b, _ in context_names(Words(text, NOTHING), NOTHING):
                 given, family = split_name(text[a:b])
                 own |= {("given", given), ("family", family)}
             for m in _address_matches(text, number_starts(text)):
