@@ -4,8 +4,9 @@ Every worker counts the terms of its partitions in a burst trie: containers of s
 when they hold too many, so prefixes are as deep as the data makes them. A worker emits its trie as compact front-coded
 subtrees and, in a bounded histogram, the weight of its heavy prefixes. The summed histogram gives the routing prefixes:
 ``route(term)`` is the longest heavy prefix of the term and one character more, the same on every worker. Subtrees that
-match a route are shuffled to one task and merged there. What is shuffled is one entry per distinct term and worker, so
-a term that fills a third of all rows costs no more than any other.
+match a route are shuffled to one task and merged there. What counting shuffles is one entry per distinct term and worker,
+so a term that fills a third of all rows costs no more than any other. Before that, ``latest_rows`` shuffles all rows once,
+by run and term, since only the latest row of each counts.
 
 Defined results: rows with a null term, tf or df do not count; terms are trimmed and lower-cased; per (group, term) the
 row with the latest load time counts (null load times are earliest; at equal times the greatest tf and the greatest df);
