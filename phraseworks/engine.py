@@ -154,14 +154,14 @@ class Engine:
         listed = values["topics_local"][: base + min(EXTRA_CAP, HARD_CAP - base)]
         proposals = self._proposals(session, values, listed, low, high)
         stats, docs = self.store.get(session, "stats"), self.store.get(session, "docs")
-        ratios = self._ratios(stats, [p for x in proposals for p in [*x["phrases"], *(q for g in x["groups"] for q in g)]])
+        ratios = self._ratios(stats, [p for x in proposals for p in [*x["phrases"], *whitelist.flattened(x["groups"])]])
         answer = self.writer.write_rules({
             "policy_title": title, "department_hint": corpus_hint or values["corpus_hint"], "generic_terms_to_avoid": values["generic_terms"][:60],
             "topics": [{"topic_name": safe_title(values["topic_names"].get(x["topic_name"], x["topic_name"])), "doc_count": x["doc_count"], "candidate_phrases": [{"p": p, "df_pct": round(ratios.get(p, 0.0) * 100)} for p in x["phrases"][:25]], "proposed_groups": x["groups"]} for x in proposals],
         })
         rules = []
         for i, (rule, x) in enumerate(zip(answer.get("rules") or [], proposals, strict=False), 1):
-            offered = whitelist.allowed_map([*x["phrases"], *(p for g in x["groups"] for p in g)])
+            offered = whitelist.allowed_map([*x["phrases"], *whitelist.flattened(x["groups"])])
             groups = whitelist.clean_groups(rule.get("groups"), x["groups"], offered, values["generic_terms"])
             if groups:
                 rules.append({"title": safe_title(str(rule.get("rule_title") or f"Rule {i}")), "groups": groups, "expr": render.all_of(groups), "why": rule.get("why", [])})

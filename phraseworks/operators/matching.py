@@ -11,6 +11,8 @@ from phraseworks.functions import text as t
 from phraseworks.plans import rules as r
 
 MAX_HITS = 12
+#: Phrases that may stand in a plan as literals.
+MAX_LISTED = 1000
 
 
 def with_match_text(docs: DataFrame, text: str = "text", into: str = "match_text") -> DataFrame:
@@ -88,14 +90,19 @@ def phrases_in_documents(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(doc_id, phrase)`` for a table of phrases (distinct token sequences in ``phrase``): an equi-join, not a cross product.
 
     Documents emit the n-grams whose length some phrase has; the phrase table is joined on the n-gram. Spark broadcasts it
-    if its size allows and shuffles it otherwise.
+    if its size allows and shuffles it otherwise. Up to ``MAX_LISTED`` phrases, counted first, are also a set of literals,
+    so other n-grams go inside the row, before a row is made of each.
     """
     keyed = phrases.select("phrase", t.tokenize_for_match(F.col("phrase")).alias("k")).where(F.size("k") > 0).select("phrase", F.array_join("k", " ").alias("gram"), F.size("k").alias("n"))
     lengths = sorted(x["n"] for x in keyed.select("n").distinct().collect())  # a few numbers
     if not lengths:
         return docs.select("doc_id").where("false").select("doc_id", F.lit("").alias("phrase"))
     tokens = docs.select("doc_id", F.explode(F.array(t.tokenize_for_match(t.normalize_ws(F.col("text"))))).alias("k"))
-    grams = tokens.select("doc_id", F.explode(F.array_distinct(F.concat(*[ngrams(F.col("k"), n) for n in lengths]))).alias("gram"))
+    every = F.concat(*[ngrams(F.col("k"), n) for n in lengths])
+    listed = [r["gram"] for r in keyed.select("gram").distinct().limit(MAX_LISTED + 1).collect()]
+    if len(listed) <= MAX_LISTED:
+        every = F.filter(every, lambda g: g.isin(listed))
+    grams = tokens.select("doc_id", F.explode(F.array_distinct(every)).alias("gram"))
     return grams.join(keyed, "gram").select("doc_id", "phrase").distinct()
 
 

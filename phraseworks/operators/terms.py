@@ -70,6 +70,24 @@ def top_terms(stats: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return ranked.select(F.posexplode("r").alias("i", "x")).select("x.term", "x.tf", "x.df", "x.df_ratio", (F.col("i") + 1).alias("rank"))
 
 
+def corpus_summary(docs: DataFrame, reach: int = 200_000, shown: int = 2500) -> DataFrame:
+    """One row ``summary``: the beginning of the joined corpus, documents in order as far as ``reach`` characters, blanks collapsed.
+
+    Only as many first documents as the characters need are gathered; each adds its line break.
+    """
+    sized = docs.where("text is not null").select("doc_id", F.substring("text", 1, reach).alias("x"))
+    k = 256
+    while True:
+        first = sized.orderBy("doc_id").limit(k)
+        n, size = first.agg(F.count("*"), F.sum(F.length("x") + 1)).first()
+        if n < k or size > reach:
+            break
+        k *= 2
+    joined = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("l"))
+    whole = F.substring(F.array_join(F.transform("l", lambda x: x["x"]), "\n"), 1, reach)
+    return joined.select(F.substring(F.regexp_replace(whole, t.BLANKS, " "), 1, shown).alias("summary"))
+
+
 def in_window(stats: DataFrame, low: float, high: float) -> DataFrame:
     return stats.where(F.col("df_ratio").between(low, high))
 

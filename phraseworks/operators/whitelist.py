@@ -48,6 +48,12 @@ def enforce(phrases: DataFrame, allowed_phrases: DataFrame, generic: DataFrame)
 # On the driver, for the rules of one policy.
 
 
+def flattened(groups: object) -> list[str]:
+    """The phrases of groups in order, blank ones and whatever is no group left out."""
+    kept = [g for g in groups if isinstance(g, (list, tuple))] if isinstance(groups, (list, tuple)) else []
+    return [p for p in (t.ws(x) for g in kept for x in g) if p]
+
+
 def allowed_map(phrases: Iterable[str]) -> dict[str, str]:
     found: dict[str, str] = {}
     for p in map(t.ws, phrases):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
 from phraseworks.functions.text import match_tokens
 from phraseworks.operators import identifiers, stopwords
-from phraseworks.plans.rules import Join, Node, Phrase, Rule, parse_policy
+from phraseworks.plans.rules import Join, Node, Phrase, Rule
 
 BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 TOKEN = r"[A-Za-z0-9\x{0600}-\x{06FF}]+"
@@ -111,14 +112,19 @@ def contributing(node: Node, above: str = "true") -> list[tuple[str, str]]:
     return []
 
 
+def written(expression: str) -> str:
+    """The truth of an expression with SQL's own precedence: its text, phrases replaced. Owes nothing to our reader of rules."""
+    return "(" + re.sub(r'"([^"]+)"', lambda m: f"contains(m, {lit(' ' + ' '.join(match_tokens(m[1])) + ' ')})", expression) + ")"
+
+
 def matches(rules: Sequence[Rule], source: str) -> str:
     """``(doc_id, rule_id, rule_name, phrase)`` of each contributing phrase."""
-    rows = [f"SELECT doc_id, {i} AS rule_id, {lit(r.name)} AS rule_name, {lit(key)} AS phrase FROM texts WHERE {truth(r.tree)} AND {when}" for i, r in enumerate(rules, 1) for key, when in contributing(r.tree)]
+    rows = [f"SELECT doc_id, {i} AS rule_id, {lit(r.name)} AS rule_name, {lit(key)} AS phrase FROM texts WHERE {written(r.expression)} AND {when}" for i, r in enumerate(rules, 1) for key, when in contributing(r.tree)]
     return f"texts AS (SELECT doc_id, {match_text('text')} AS m FROM ({source})), hits AS ({' UNION '.join(rows)})"
 
 
 def mask(rules: Sequence[Rule]) -> str:
-    return " + ".join(f"CASE WHEN {truth(r.tree)} THEN {1 << i} ELSE 0 END" for i, r in enumerate(rules))
+    return " + ".join(f"CASE WHEN {written(r.expression)} THEN {1 << i} ELSE 0 END" for i, r in enumerate(rules))
 
 
 def lines() -> str:
@@ -221,7 +227,7 @@ def chosen_rules(selectable: Sequence[tuple[int, list[list[str]]]], base: int) -
 
 
 def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, list[list[str]]]], selectable: Sequence[tuple[int, list[list[str]]]]) -> dict[str, str]:
-    rules = parse_policy(policy)
+    rules = [Rule(name, expression) for name, expression in re.findall(r"^## Rule \d+: (.+)\n`(.+)`$", policy, re.M)]
     docs = "SELECT doc_id, text FROM documents"
     flat = "SELECT doc_id, rule_id, rule_name, array_to_string(list_sort(list(phrase))[1:12], '|') AS hits FROM hits GROUP BY ALL"
     title = ws("name")
@@ -300,7 +306,7 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
             rf"count(*) FILTER (regexp_matches(form, {lit(f'(^|[^A-Za-z0-9{ARABIC}]){p}($|[^A-Za-z0-9{ARABIC}])')})) AS between_alphanumerics FROM texts"
             for p in listed
         ),
-        "rule_coverage": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) {' UNION ALL '.join(f'SELECT {i} AS rule_id, count(*) FILTER ({truth(r.tree)}) AS docs FROM texts' for i, r in enumerate(rules, 1))}",
+        "rule_coverage": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) {' UNION ALL '.join(f'SELECT {i} AS rule_id, count(*) FILTER ({written(r.expression)}) AS docs FROM texts' for i, r in enumerate(rules, 1))}",
         "rule_mask_histogram": f"WITH texts AS (SELECT {match_text('text')} AS m FROM documents) SELECT CAST({mask(rules)} AS BIGINT) AS mask, count(*) AS n FROM texts GROUP BY 1",
         "combined_expression": f"WITH c AS (SELECT topic_key, list_transform(list_filter(list_transform(candidates[1:3], lambda x: x.phrase), lambda p: length({ws('p')}) > 0), lambda p: {quoted('p')}) AS a, "
         f"list_transform(list_filter(list_transform(candidates[4:6], lambda x: x.phrase), lambda p: length({ws('p')}) > 0), lambda p: {quoted('p')}) AS b FROM topics_local), "
@@ -360,7 +366,7 @@ def build(policy: str, listed: Sequence[str], rule_groups: Sequence[tuple[int, l
         f"SELECT topic_key, CAST(pos AS INTEGER) AS pos, canonical FROM ct JOIN allowed USING (key) WHERE NOT {garbage} AND NOT {small} AND {key('canonical')} NOT IN (SELECT key FROM banned)"
     )
     files = f"SELECT doc_id, any_value(name) AS name, any_value(text) AS text FROM session_docs GROUP BY 1"
-    sums = " + ".join(f"CAST({truth(r.tree)} AS BIGINT)" for r in rules)
+    sums = " + ".join(f"CAST({written(r.expression)} AS BIGINT)" for r in rules)
     q["test_policy_files"] = (
         f"WITH f AS ({files}), x AS (SELECT doc_id, coalesce(name, 'unknown') AS name, length({ws('text')}) > 0 AS readable, ' ' || array_to_string(regexp_extract_all({key('text')}, '{TOKEN}'), ' ') || ' ' AS m FROM f), "
         f"s AS (SELECT doc_id, name, readable, CASE WHEN readable THEN {sums} ELSE 0 END AS n_rules FROM x) SELECT doc_id, name, readable, n_rules > 0 AS matched_any, CAST(n_rules AS BIGINT) AS n_rules FROM s"

@@ -110,18 +110,8 @@ def quoted_phrases_docs(spark, d):
 
 
 def corpus_summary(spark, d):
-    """The beginning of the joined corpus: documents in order as far as 200,000 characters reach, blanks collapsed, 2,500 shown."""
-    sized = documents(spark, d).where("text is not null").select("doc_id", F.substring("text", 1, 200_000).alias("x"))
-    k = 256
-    while True:  # only as many first documents as the characters need; each adds its line break
-        first = sized.orderBy("doc_id").limit(k)
-        n, size = first.agg(F.count("*"), F.sum(F.length("x") + 1)).first()
-        if n < k or size > 200_000:
-            break
-        k *= 2
-    joined = first.groupBy().agg(F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("l"))
-    whole = F.substring(F.array_join(F.transform("l", lambda x: x["x"]), "\n"), 1, 200_000)
-    return joined.select(F.substring(F.regexp_replace(whole, t.BLANKS, " "), 1, 2500).alias("summary"))
+    """The beginning of the joined corpus."""
+    return terms.corpus_summary(documents(spark, d))
 
 
 # Statistics

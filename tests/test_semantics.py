@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phraseworks import session
 from phraseworks.functions import text as t
-from phraseworks.operators import identifiers
+from phraseworks.operators import identifiers, topics, whitelist
 from phraseworks.plans import render
 from phraseworks.plans import rules as r
 
@@ -85,3 +85,14 @@ def test_checkpoints_can_be_cleared(spark):
     assert df.count() == 3
     session.clear_checkpoints(spark)
     assert session.cut_lineage(spark.range(4).toDF("id")).count() == 4
+
+
+def test_flattened_groups():
+    assert whitelist.flattened([["a ", " b"], "no group", [None, ""], ("c",)]) == ["a", "b", "c"] and whitelist.flattened(None) == []
+
+
+def test_documents_by_label(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (0, 1)], "doc_id bigint, label int")
+    assert [tuple(x) for x in topics.topic_docs(labels).collect()] == [(0, 2), (1, 0), (1, 1), (1, 3)]
+    stored = spark.createDataFrame([(1, [3, 1]), (2, []), (3, None)], "topic_key bigint, doc_ids array<bigint>")
+    assert [tuple(x) for x in topics.ordered_members(stored).collect()] == [(1, [1, 3], 2)]
