@@ -223,6 +223,8 @@ NO_NAME = frozenset(
     "utilities vendor warehouse water works yard zone basin ridge wadi umm qasr street road avenue lane court drive box floor room annex appendix section article clause table figure page version invoice order agreement "
     "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december today tomorrow yesterday morning evening".split()
 )
+#: Words of ``NO_NAME`` that persons are called too: behind a title or a closing line they only weaken a name.
+ALSO_NAMES = frozenset("will may april june august page lane field house court bank port block ridge yard basin water".split())
 NO_NAME_AR = frozenset(
     "حسب بعد قبل خلال ضمن فوق تحت حول دون بين مع على عن من إلى الى في عند لدى منذ حتى كما بينما عندما لأن لكن حيث ثم أو او بموجب جانب هذا هذه ذلك تلك كل بعض غير قد لم لن إن أن كان كانت "
     "قسم إدارة ادارة مركز شركة مؤسسة وزارة هيئة بنك ميناء محطة مبنى مدير فريق لجنة مشروع عقد أمر رقم فاتورة تصريح شارع وادي قصر حوض حقل ساحة أم مدينة".split()
@@ -392,8 +394,10 @@ def name_score(text: str, a: int, b: int, context: float, lexicon: Lexicon) -> f
     name = text[a:b]
     given, family = split_name(name)
     words = [fold(w) for w in WORD.findall(name)]
-    if not family or any(w in NO_NAME for w in words if len(w) > 1 and w not in PARTICLES):
+    barred = [w for w in words if len(w) > 1 and w in NO_NAME and w not in PARTICLES]
+    if not family or barred and (context < WEIGHT["title"] or not ALSO_NAMES.issuperset(barred)):
         return 0.0
+    context -= 0.1 * len(barred)
     if COMPANY_AFTER.match(text[b : b + 24]):
         return 0.0
     known = 0.3 * (given in lexicon.given) + 0.25 * (family in lexicon.family)
