@@ -58,7 +58,7 @@ def p4_session_docs(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_phrase_rows(spark: SparkSession, d: str) -> DataFrame:
     """Every topic phrase once, in consistent form, with its key."""
-    rows = table(spark, d, "phrase_rows").dropDuplicates(["phrase_id"]).select("phrase_id", "topic_key", "text")
+    rows = once(table(spark, d, "phrase_rows").select("phrase_id", "topic_key", "text"), "phrase_id", "topic_key")
     made = glyphs.with_consistent_form(rows, "text")
     return made.select("phrase_id", "topic_key", F.col("consistent").alias("text"), glyphs.phrase_key(F.col("consistent")).alias("phrase_key"), "changed")
 
