@@ -91,15 +91,14 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]], roots: list[int] | No
     """Links that join exactly the records of a bucket that similarity joins: at most one less than its leaves.
 
     ``roots``: the leaves the records are in already. Records are inserted one by one. Those similar to the new one are
-    among the inserted ones that share a feature of its prefix in the order of rarity inside the bucket; the nearest one's
-    leaf absorbs it, the leaves of the others are to be merged with that leaf, in Ward's order.
+    among the inserted ones that share a feature of its prefix in the order of rarity inside the bucket; the leaf of the
+    nearest witness absorbs it, the leaves of the others are to be merged with that leaf, in Ward's order.
     """
     if len(bucket) == 2:
         (a, x), (b, y) = bucket
         return [(a, b)] if (roots is None or roots[0] != roots[1]) and similar(x, y) else []
     often = Counter(f for _, features in bucket for f in features)
-    index: dict[int, list[int]] = {}
-    leaf_of: list[int] = []  # by position, the position that stands for the leaf
+    index: dict[int, dict[int, list[int]]] = {}  # by feature and leaf: the positions of records
     given: dict[int, int] = {}
     leaves: dict[int, Leaf] = {}
     links: list[tuple[int, int]] = []
@@ -121,17 +120,21 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]], roots: list[int] | No
             own = i
         n = len(features)
         prefix = sorted(features, key=lambda f: (often[f], f))[: n - (n + 1) // 2 + 1]
-        near: dict[int, tuple[float, int]] = {}  # by leaf: the nearest similar record
+        near: dict[int, tuple[float, int]] = {}  # by leaf: a similar record, and how far it is
+        seen: set[int] = set()
         for f in prefix:
-            for j in index.get(f, ()):
-                leaf = find(leaf_of[j])
-                if leaf == own:
+            for leaf, members in index.get(f, {}).items():
+                leaf = find(leaf)
+                if leaf == own or leaf in near:  # a leaf needs one witness only, however many members it has
                     continue
-                other = bucket[j][1]
-                both = len(features & other)
-                if 3 * both >= n + len(other):
-                    near[leaf] = min(near.get(leaf, (2.0, j)), (1 - both / (n + len(other) - both), j))
-            index.setdefault(f, []).append(i)
+                for j in members:
+                    if j not in seen:
+                        seen.add(j)
+                        other = bucket[j][1]
+                        both = len(features & other)
+                        if 3 * both >= n + len(other):
+                            near[leaf] = (1 - both / (n + len(other) - both), j)
+                            break
         if near and own == i:  # the nearest leaf absorbs the record
             leaf, (_, j) = min(near.items(), key=lambda x: x[1])
             del near[leaf]
@@ -140,7 +143,8 @@ def bucket_links(bucket: list[tuple[int, frozenset[int]]], roots: list[int] | No
             links.append((bucket[j][0], record))
         elif own == i:
             leaves[i] = Leaf(record, features)
-        leaf_of.append(own)
+        for f in prefix:
+            index.setdefault(f, {}).setdefault(own, []).append(i)
         for leaf, (_, j) in near.items():
             waiting.append((leaves[own].ward(leaves[leaf]), own, leaf, i, j))
         if len(waiting) >= 4 * len(leaves):  # no more than a few per leaf wait at a time
@@ -186,11 +190,18 @@ class Forest(dict):
         return a != b
 
 
+def _values(column: pa.Array) -> list:
+    if not pa.types.is_list(column.type):
+        return column.to_pylist()
+    flat, at = column.flatten().to_numpy(zero_copy_only=False), (column.offsets.to_numpy() - column.offsets[0].as_py()).tolist()
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str, *columns: str) -> Iterator[list[tuple]]:
-    """The rows of each run of equal keys of a partition that is sorted by ``key``."""
+    """The rows of each run of equal keys of a partition that is sorted by ``key``; arrays are views, not lists."""
     now, rows = None, []
     for batch in batches:
-        for k, *row in zip(*(batch[c].to_pylist() for c in (key, *columns)), strict=True):
+        for k, *row in zip(*(_values(batch[c]) for c in (key, *columns)), strict=True):
             if k != now:
                 if rows:
                     yield rows
@@ -212,7 +223,7 @@ def _tree_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for rows in _groups(batches, "home", "record", "features"):
         forest = Forest()
         if len(rows) > 1:
-            for a, b in bucket_links([(r, frozenset(x)) for r, x in rows]):
+            for a, b in bucket_links([(r, frozenset(x.tolist())) for r, x in rows]):
                 forest.join(a, b)
         out += [(r, forest.root(r), x) for r, x in rows]
         if len(out) > 10_000:
@@ -230,10 +241,10 @@ def _link_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return made
 
     for rows in _groups(batches, "bucket", "record", "root", "features"):
-        bucket = {r: (forest.root(root), root, frozenset(x)) for r, root, x in rows}
-        if len({x[0] for x in bucket.values()}) > 1:
-            own = {r: x[1] for r, x in bucket.items()}
-            for a, b in bucket_links([(r, x[2]) for r, x in bucket.items()], [x[0] for x in bucket.values()]):
+        if len({root for _, root, _ in rows}) > 1 and len({forest.root(root) for _, root, _ in rows}) > 1:
+            bucket = {r: frozenset(x.tolist()) for r, _, x in rows}
+            own = {r: root for r, root, _ in rows}
+            for a, b in bucket_links([*bucket.items()], [forest.root(own[r]) for r in bucket]):
                 if forest.join(own[a], own[b]):
                     found.append((own[a], own[b]))
         if len(found) > 50_000:
