@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from phraseworks.llm import clusters, distinct, glyphs, leakage, mixing, oracles, pii, repetition, terms
 from phraseworks.llm.once import once
-from phraseworks.session import table
+from phraseworks.session import cut_lineage, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +76,8 @@ def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     """Words of every topic's phrases by distinct neighbours times rarity."""
     rows = table(spark, d, "phrase_rows")
     total = table(spark, d, "topics_local").select("topic_key").distinct().count()
-    phrases = distinct.phrase_rows(rows).select("record", "term").distinct().select("record", F.split("term", " ").alias("words"))
+    keys = cut_lineage(distinct.phrase_rows(rows).select("record", "term").distinct())  # read for the edges, and for the words that stand alone
+    phrases = keys.select("record", F.split("term", " ").alias("words"))
     made = distinct.graph_of_words(phrases, total, alone=True).withColumnRenamed("record", "topic_key")
     return made.withColumn("score", F.round("score", 9))
 
