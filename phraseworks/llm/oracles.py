@@ -102,7 +102,7 @@ ORACLE = {
     "p4_phrase_rows": f"WITH {PHRASES}, {consistent('phrases')} SELECT id AS phrase_id, topic_key, text, {key('text')} AS phrase_key, changed FROM form JOIN phrases USING (id)",
     "p5_found": f"{SCORED} SELECT topic_key, phrase_id FROM ranked WHERE rank <= 3",
     "p5_top_phrases": f"{SCORED} SELECT topic_key, phrase_id, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 3",
-    "p5_graph_of_words": (
+    "p5_word_scores": (
         f"WITH {KEYS}, total AS (SELECT count(DISTINCT topic_key) AS t FROM topics_local), phrase AS (SELECT row_number() OVER () AS i, topic_key, string_split(k, ' ') AS ws FROM (SELECT DISTINCT topic_key, k FROM keyed)), "
         "word AS (SELECT i, topic_key, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM phrase), degree AS (SELECT a.topic_key, a.word, count(DISTINCT b.word) AS degree FROM word a JOIN word b ON a.i = b.i AND abs(a.pos - b.pos) BETWEEN 1 AND 3 AND a.word <> b.word GROUP BY 1, 2), "
         "held AS (SELECT DISTINCT topic_key, word FROM word WHERE word <> ''), often AS (SELECT word, count(*) AS n FROM held GROUP BY 1) "

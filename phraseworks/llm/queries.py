@@ -78,8 +78,12 @@ def p5_graph_of_words(spark: SparkSession, d: str) -> DataFrame:
     total = table(spark, d, "topics_local").select("topic_key").distinct().count()
     keys = cut_lineage(distinct.phrase_rows(rows).select("record", "term").distinct())  # read for the edges, and for the words that stand alone
     phrases = keys.select("record", F.split("term", " ").alias("words"))
-    made = distinct.graph_of_words(phrases, total, alone=True).withColumnRenamed("record", "topic_key")
-    return made.withColumn("score", F.round("score", 9))
+    return distinct.graph_of_words(phrases, total, alone=True).withColumnRenamed("record", "topic_key")
+
+
+def p5_word_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The same with scores to nine places, as SQL checks it: the logarithms of two engines may differ in their last digit."""
+    return p5_graph_of_words(spark, d).withColumn("score", F.round("score", 9))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +110,7 @@ def p8_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_topic_clusters, p2_described, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p6_found, p7_selection, p7_shares, p8_found, p8_repetition)
+    f.__name__: f for f in (p1_found, p1_term_frequencies, p2_found, p2_topic_clusters, p2_described, p3_found, p3_masked, p4_found, p4_session_docs, p4_phrase_rows, p5_found, p5_top_phrases, p5_graph_of_words, p5_word_scores, p6_found, p7_selection, p7_shares, p8_found, p8_repetition)
 }
 
 _P1 = r"""
