@@ -67,20 +67,23 @@ def confusables(spark: SparkSession) -> Alikes:
     """``(letter, Latin letter)`` of all letters whose skeleton, by the Unicode confusables data, is one Latin letter.
 
     The data come with ICU, a library of Spark itself; it is asked once, for all letters in one text. Greek and Cyrillic
-    letters of the common alphabets, common Latin and Arabic letters are left to the lists above. Without ICU: none.
+    letters of the common alphabets, common Latin and Arabic letters are left to the lists above. No answer of ICU is an
+    error: without its pairs a result would lack cases and look whole.
     """
     letters = [c for c in [*range(0x250, 0x370), *range(0x460, 0x600), *range(0x700, 0x3400), *range(0xA000, 0xAC00), *range(0x10000, 0x1E000)] if unicodedata.category(chr(c))[0] == "L"]
     letters = [c for c in letters if not unicodedata.decomposition(chr(c)) and not unicodedata.name(chr(c), "ARABIC").startswith(("ARABIC", "GREEK"))]
     try:
         checker = getattr(spark._jvm, "com.ibm.icu.text.SpoofChecker$Builder")().build()
         skeletons = checker.getSkeleton("\n".join(map(chr, letters))).split("\n")
-    except (TypeError, Py4JError):
-        return ()
+    except (TypeError, Py4JError) as e:
+        raise RuntimeError("the Unicode confusables data cannot be read: ICU (com.ibm.icu, a library of Spark 4) has to answer in the driver's JVM") from e
     pairs = []
     for c, to in zip(letters, skeletons, strict=True):
         if len(to) == 1 and to.isascii() and to.isalpha():
             upper = to == "l" and unicodedata.category(chr(c)) == "Lu"  # the data pair I and l
             pairs.append((c, ord("I" if upper else to)))
+    if not pairs:
+        raise RuntimeError("the confusables data of ICU hold no letter that looks like a Latin one")
     return tuple(pairs)
 
 
@@ -228,6 +231,8 @@ class Exploded:
         with_base = np.where((first > 0) & (self.row[first - 1] == self.row[first]), first - 1, first)
         keep = np.ones(len(self.code), bool)
         code = self.code.copy()
+        more_at: list[int] = []  # what a run has beyond its old length, where a composed letter has no composed form of its own
+        more: list[int] = []
         for a, b in zip(with_base.tolist(), last.tolist(), strict=True):
             for x, y in self._rows(a, b + 1):  # a run of marks at the start of a text belongs to no base of the text before
                 run = self.code[x:y].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
@@ -236,11 +241,16 @@ class Exploded:
                     continue
                 if taken:
                     self.changed[self.row[x]] = True
-                if len(to) > y - x:  # a composed base whose decomposition is longer; such a run stays as it is
-                    continue
-                code[x : x + len(to)] = np.frombuffer(to.encode("utf-32-le"), "<u4").astype(np.int32)
-                keep[x + len(to) : y] = False
-        self.code, self.row, self.source = code[keep], self.row[keep], self.source[keep]
+                made = np.frombuffer(to.encode("utf-32-le"), "<u4").astype(np.int32)
+                code[x : min(x + len(made), y)] = made[: y - x]
+                keep[x + len(made) : y] = False
+                more_at += [y] * (len(made) - (y - x))
+                more += made[y - x :].tolist()
+        row, source = self.row, self.source
+        if more:
+            at = np.array(more_at)
+            code, keep, row, source = np.insert(code, at, more), np.insert(keep, at, True), np.insert(row, at, row[at - 1]), np.insert(source, at, source[at - 1])
+        self.code, self.row, self.source = code[keep], row[keep], source[keep]
 
     def joined(self) -> None:
         """Hangul letters to syllables: a first and a middle letter, then a last one."""

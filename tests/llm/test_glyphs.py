@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from phraseworks.llm import glyphs
+from phraseworks.llm import glyphs, queries
 from tests.conftest import rows
 
 CASES = {
@@ -91,3 +91,32 @@ def test_confusables_of_all_scripts(spark):
     df = spark.createDataFrame([(1, "аррӏе"), (2, "ꓐank"), (3, "bank"), (4, None)], "id bigint, text string")
     assert rows(glyphs.inconsistent_rows(df, "id", "text")) == [(1,), (2,)]
     assert rows(glyphs.with_consistent_form(df, "text").select("id", "consistent")) == [(1, "appie"), (2, "Bank"), (3, "bank"), (4, None)]
+
+
+class WithoutIcu:
+    """The JVM of a session, where ICU is not on the class path."""
+
+    def __init__(self, jvm):
+        self.jvm = jvm
+
+    def __getattr__(self, name):
+        return getattr(self.jvm, name.replace("com.ibm.icu", "com.ibm.missing"))
+
+
+def test_no_result_without_the_confusables_data(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "ꓐank", None), (2, "ｂ", None)], "doc_id bigint, text string, loaded_at timestamp").write.parquet(f"{tmp_path}/session_docs.parquet")
+    spark.createDataFrame([(3, 1, "Ꭺpple"), (4, 1, "plain")], "phrase_id bigint, topic_key bigint, text string").write.parquet(f"{tmp_path}/phrase_rows.parquet")
+    assert rows(queries.p4_found(spark, str(tmp_path))) == [("phrase_rows", 3), ("session_docs", 1), ("session_docs", 2)]
+    monkeypatch.setattr(spark, "_jvm", WithoutIcu(spark._jvm))
+    for query in (queries.p4_found, queries.p4_session_docs, queries.p4_phrase_rows):
+        with pytest.raises(RuntimeError, match="confusables"):
+            query(spark, str(tmp_path)).collect()
+
+
+def test_runs_that_become_longer():
+    cases = {"q\u0344": "q\u0308\u0301", "\u0958\u0301": "\u0915\u093c\u0301", "\ufb2c\u05b0": "\u05e9\u05b0\u05bc\u05c1", "\u0344": "\u0308\u0301", "aq\u0344e\u0301q\u0344ｂ": "aq\u0308\u0301éq\u0308\u0301b"}
+    x = glyphs.consistent_batch(["zz", *cases, "e\u0301"])
+    assert x.rebuilt() == ["zz", *cases.values(), "é"] and x.changed.tolist() == [False, True, True, True, True, True, True]
+    assert x.sources()[5].tolist() == [0, 1, 2, 2, 3, 5, 6, 6, 7]
+    again = glyphs.consistent_batch([*cases.values()])
+    assert again.rebuilt() == [*cases.values()] and not again.changed.any()
