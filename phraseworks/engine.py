@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phraseworks.functions.text import safe_title, ws
-from phraseworks.operators import cooccurrence, matching, selection, terms, topics, vectors, whitelist
+from phraseworks.operators import cooccurrence, kmeans, matching, selection, terms, topics, vectors, whitelist
 from phraseworks.plans import render
 from phraseworks.plans.rules import Rule
 from phraseworks.plans.writer import DeterministicWriter, PolicyWriter, topic_refinement
@@ -79,7 +79,7 @@ class Engine:
         else:
             vocab = cut_lineage(vectors.vocabulary(whole))
             weights = vectors.tfidf(counts, vocab, n_docs)
-            labelled = cut_lineage(labels) if labels is not None else vectors.kmeans_labels(vectors.document_vectors(readable, vocab, n_docs), vectors.topic_count(n_docs, max_topics))
+            labelled = cut_lineage(labels) if labels is not None else kmeans.kmeans_labels(*vectors.document_counts(readable, vocab, n_docs), vectors.topic_count(n_docs, max_topics))
             found, names = topics.candidates(topics.centroid_weights(weights, labelled), stats, low, high), {}
         sizes = topics.topic_sizes(labelled, max_topics).collect()  # at most 20 rows
         found = cut_lineage(found)
